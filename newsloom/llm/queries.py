@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import compression_quality
+from newsloom.llm import audio, compression_quality, sharding
 from newsloom.llm.common import fold
 
 
@@ -22,6 +22,17 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store every document's bytes as 8-bit audio and describe it."""
+    return audio.digests(documents(spark, sf_dir))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deal all documents into 40 shards of near equal bytes."""
+    found = sharding.shard(documents(spark, sf_dir), shards=40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict:
     """Queries by name."""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
