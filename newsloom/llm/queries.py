@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import audio, compression_quality, sharding
+from newsloom.llm import audio, bpe, compression_quality, packing, records, sharding
 from newsloom.llm.common import fold
 
 
@@ -22,11 +22,34 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def tokenizer(name: str) -> str:
+    """The path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every document's ids as records in the order of doc_id and read them back."""
+    return records.write_and_read(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=0)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into sequences of 2048 ids."""
+    docs = documents(spark, sf_dir)
+    return packing.pack(packing.pieces(docs, tokenizer("word_bpe_49k.json"), 2048, end_id=1), docs.count(), 2048)
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every document's bytes as 8-bit audio and describe it."""
     return audio.digests(documents(spark, sf_dir))
 
 
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every document."""
+    return bpe.round_trip(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deal all documents into 40 shards of near equal bytes."""
     found = sharding.shard(documents(spark, sf_dir), shards=40)
