@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import audio, bpe, compression_quality, packing, records, sharding
+from newsloom.llm import audio, bpe, compression_quality, packing, records, sharding, substring_dedup
 from newsloom.llm.common import fold
 
 
@@ -22,6 +22,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove passages of 13 words that occur in an earlier document."""
+    return substring_dedup.deduplicate(documents(spark, sf_dir), 13)
+
+
 def tokenizer(name: str) -> str:
     """The path of a public tokenizer's file."""
     import public_tokenizers
