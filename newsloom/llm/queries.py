@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import audio, bpe, compression_quality, packing, records, sharding, substring_dedup
+from newsloom.llm import audio, bpe, compression_quality, ngram_jaccard, packing, records, sharding, substring_dedup
 from newsloom.llm.common import fold
 
 
@@ -14,6 +14,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link documents whose sets of 5-word shingles are alike by 0.8 or more."""
+    return ngram_jaccard.join(documents(spark, sf_dir), 5)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document with two zstandard dictionaries."""
     docs = documents(spark, sf_dir)
