@@ -63,7 +63,7 @@ def shingle_sets(raw: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.nda
 
 
 def profiles(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, key (null for an empty set), and for one row of each key in a pack: shared, its repeated n-grams, rarest first.
+    """doc_id, row_hash, n, key (null for an empty set), and for one row of each key in a pack: shared, its repeated n-grams, rarest first.
 
     key is 128 bits of the set; shared is null where so few n-grams are repeated that the set can have no partner.
     """
@@ -72,7 +72,7 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
     flagged = repeated(sketches(packs, lambda raw, starts: shingle_sets(raw, starts, size), buckets))
 
     def profiled(docs: pa.Table, found: pa.Table) -> pa.Table:
-        names, kinds = ["doc_id", "n", "key", "shared"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        names, kinds = ["doc_id", "row_hash", "n", "key", "shared"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         if not docs.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names)
         hashes, rows = shingle_sets(*text_bytes(docs.column("text")), size)
@@ -96,9 +96,9 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
             seen.add(key)
             mine = hashes[low:high][own]
             shared.append(mine[np.lexsort((mine, counts[at[low:high][own]]))].tobytes())
-        return pa.table([docs.column("doc_id").combine_chunks(), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(shared, pa.binary())], names)
+        return pa.table([docs.column("doc_id").combine_chunks(), docs.column("row_hash").combine_chunks(), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(shared, pa.binary())], names)
 
-    return packs.groupBy("_pack").cogroup(flagged.groupBy("_pack")).applyInArrow(profiled, "doc_id long, n long, key binary, shared binary")
+    return packs.groupBy("_pack").cogroup(flagged.groupBy("_pack")).applyInArrow(profiled, "doc_id long, row_hash long, n long, key binary, shared binary")
 
 
 def prefix_entries(sets: DataFrame) -> DataFrame:
@@ -239,7 +239,7 @@ def links(sets: DataFrame, most: int = 2_000_000) -> DataFrame:
 
 
 def join(docs: DataFrame, size: int = 5, most: int = 2_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id, text).
+    """doc_id, n_shingles, component_id (and row_hash, see windows.py) for every row of docs (doc_id, text).
 
     A set holds the distinct ``size``-word n-grams of a text in lower case (A-Z); a text of fewer words has one n-gram,
     of all its words; a null or empty text or one of white space has none and links with nothing. Sets link if their
@@ -256,4 +256,4 @@ def join(docs: DataFrame, size: int = 5, most: int = 2_000_000) -> DataFrame:
     several = named.where("key != component").select("component").distinct()
     smallest = named.join(several, "component", "left_semi").groupBy("component").agg(F.min("least").alias("smallest"))
     ids = named.join(smallest, "component", "left").select("key", F.coalesce("smallest", "least").alias("component_id"))
-    return found.join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return found.join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "row_hash")

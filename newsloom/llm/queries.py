@@ -16,7 +16,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Link documents whose sets of 5-word shingles are alike by 0.8 or more."""
-    return ngram_jaccard.join(documents(spark, sf_dir), 5)
+    return ngram_jaccard.join(documents(spark, sf_dir), 5).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

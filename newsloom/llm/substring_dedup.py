@@ -83,7 +83,7 @@ def covered(first: np.ndarray, words: int, size: int) -> np.ndarray:
 
 
 def deduplicate(docs: DataFrame, size: int = 13, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and text, the kept words) for every row of docs (doc_id, text).
+    """doc_id, n_words, n_removed, kept_sha256 (and row_hash and text, the kept words) for every row of docs (doc_id, text).
 
     A word goes if a window of ``size`` words over it also starts in a document with a smaller doc_id; windows are
     judged on the input. Null and empty texts have no words. A document without an id comes after all others: its words
@@ -94,8 +94,8 @@ def deduplicate(docs: DataFrame, size: int = 13, with_text: bool = False) -> Dat
     packs = pack_of(docs)
     flagged = repeated(sketches(packs, lambda raw, starts: occurrences(raw, starts, size), buckets))
     owners = first_owners(packs, flagged, size, buckets)
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.string()] * with_text
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["row_hash", "text"] * with_text
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.int64(), pa.string()] * with_text
 
     def cleaned(docs: pa.Table, found: pa.Table) -> pa.Table:
         if not docs.num_rows:
@@ -123,7 +123,7 @@ def deduplicate(docs: DataFrame, size: int = 13, with_text: bool = False) -> Dat
         data = text.tobytes()
         parts = [data[a : max(a, b - 1)] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         columns = [docs.column("doc_id").combine_chunks(), pa.array(n_words, pa.int64()), pa.array(n_words - n_kept, pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string())]
-        return pa.table(columns + [pa.array([p.decode() for p in parts], pa.string())] * with_text, names)
+        return pa.table(columns + ([docs.column("row_hash"), pa.array([p.decode() for p in parts], pa.string())] if with_text else []), names)
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", row_hash long, text string" * with_text
     return packs.groupBy("_pack").cogroup(owners.groupBy("_pack")).applyInArrow(cleaned, schema)

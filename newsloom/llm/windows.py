@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import in_slices, partitions, text_bytes
@@ -69,10 +69,15 @@ def window_hashes(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.nd
 
 
 def pack_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text and _pack, dealt by _pack: the exchange that all passes share."""
+    """doc_id, text, _pack and row_hash, dealt by _pack: the exchange that all passes share."""
     n = partitions(docs.sparkSession)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_pack", F.pmod(F.xxhash64("doc_id", "text"), F.lit(4 * n)).cast("int"))
-    return keyed.repartition(n, "_pack")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_hash", row_hash())
+    return keyed.select("doc_id", "text", F.pmod("row_hash", F.lit(4 * n)).cast("int").alias("_pack"), "row_hash").repartition(n, "_pack")
+
+
+def row_hash() -> Column:
+    """A hash of a document's id and text, by which results can be joined to documents again."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
 def planes(numbers: np.ndarray) -> bytes:
