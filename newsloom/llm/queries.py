@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import audio, bpe, compression_quality, ngram_jaccard, packing, records, sharding, substring_dedup
+from newsloom.llm import audio, bpe, compression_quality, ngram_jaccard, packing, records, sharding, substring_dedup, suffix_tree
 from newsloom.llm.common import fold
 
 
@@ -19,6 +19,11 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.join(documents(spark, sf_dir), 5).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document by a suffix tree learned from six sevenths of them."""
+    return suffix_tree.score(documents(spark, sf_dir))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document with two zstandard dictionaries."""
     docs = documents(spark, sf_dir)

@@ -68,11 +68,11 @@ def window_hashes(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.nd
     return mixed(total[first]), first
 
 
-def pack_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text, _pack and row_hash, dealt by _pack: the exchange that all passes share."""
+def pack_of(docs: DataFrame, each: int = 4) -> DataFrame:
+    """doc_id, text, _pack and row_hash, dealt by _pack, ``each`` packs to a partition: the exchange that all passes share."""
     n = partitions(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_hash", row_hash())
-    return keyed.select("doc_id", "text", F.pmod("row_hash", F.lit(4 * n)).cast("int").alias("_pack"), "row_hash").repartition(n, "_pack")
+    return keyed.select("doc_id", "text", F.pmod("row_hash", F.lit(each * n)).cast("int").alias("_pack"), "row_hash").repartition(n, "_pack")
 
 
 def row_hash() -> Column:
