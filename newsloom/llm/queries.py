@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import audio, bpe, compression_quality, ngram_jaccard, packing, records, sharding, substring_dedup, suffix_tree
+from newsloom.llm import audio, bpe, compression_quality, ngram_jaccard, nn_descent, packing, records, sharding, substring_dedup, suffix_tree
 from newsloom.llm.common import fold
 
 
@@ -37,6 +37,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(documents(spark, sf_dir), 13)
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth, by graph search."""
+    return nn_descent.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=100, k=10)
+
+
 def tokenizer(name: str) -> str:
     """The path of a public tokenizer's file."""
     import public_tokenizers
