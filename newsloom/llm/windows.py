@@ -151,7 +151,7 @@ def sketches(packs: DataFrame, windows, buckets: int) -> DataFrame:
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["bucket", "_pack", "cells", "counts"])
 
-    return packs.select("doc_id", "text", "_pack").mapInArrow(made, "bucket int, _pack int, cells binary, counts binary")
+    return packs.mapInArrow(made, "bucket int, _pack int, cells binary, counts binary")
 
 
 def repeated(shares: DataFrame) -> DataFrame:
