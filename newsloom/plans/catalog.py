@@ -1,13 +1,16 @@
-"""Queries over the driver's tables, one per operator, with their DuckDB equivalents."""
+"""All queries over the driver's tables, one or more for each operator, with their DuckDB equivalents."""
 
 from __future__ import annotations
 
+from newsloom.plans import assembly, incremental, ingestion, lakehouse, quality, ranking, search, texts  # noqa: F401  (they register queries)
+from newsloom.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
     """Every registered query."""
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
     """SQL of the queries that DuckDB can express."""
-    return {}
+    return dict(ORACLES)
