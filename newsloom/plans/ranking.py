@@ -47,7 +47,10 @@ def scoped_candidates(spark, sf_dir):
     return rerank.scoped(candidates(spark, sf_dir), F.col("primary_topic") == "de", 5).select("article_id", "scoped")
 
 
-@query(f"WITH {_CAND} SELECT article_id, 'relaxed_time' AS step FROM cand WHERE category = 'fr' AND published_at >= TIMESTAMP '2024-01-15'")
+@query(
+    f"""WITH {_CAND}, m AS (SELECT article_id, category = 'fr' AND published_at > TIMESTAMP '2025-01-01' AS a, category = 'fr' AND published_at >= TIMESTAMP '2024-01-15' AS b FROM cand), f AS (SELECT bool_or(a) AS fa, bool_or(b) AS fb FROM m)
+ SELECT article_id, CASE WHEN fa THEN 'strict' WHEN fb THEN 'relaxed_time' ELSE 'pre_filter' END AS step FROM m, f WHERE CASE WHEN fa THEN a WHEN fb THEN b ELSE true END"""
+)
 def fallback_ladder(spark, sf_dir):
     """The first condition that any candidate meets (F-06, F-16)."""
     steps = [("strict", (F.col("primary_topic") == "fr") & (F.col("published_at") > F.expr("timestamp_ntz '2025-01-01'"))), ("relaxed_time", (F.col("primary_topic") == "fr") & (F.col("published_at") >= F.expr("timestamp_ntz '2024-01-15'"))), ("pre_filter", F.lit(True))]
