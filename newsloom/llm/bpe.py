@@ -34,10 +34,11 @@ class Vocabulary:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        symbols = byte_symbols()
+            whole = json.load(f)
+        model, symbols = whole["model"], byte_symbols()
         names = model["vocab"]
-        size = max(names.values()) + 1
+        # added tokens have ids beyond the model's; they have no bytes here, and texts with one are decoded by the library
+        size = max([*names.values(), *(t["id"] for t in whole.get("added_tokens", ()))]) + 1
         self.token: list[bytes] = [b""] * size
         for name, i in names.items():
             if all(c in symbols for c in name):
