@@ -84,8 +84,7 @@ def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str =
         F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))).alias("_row"),
     )
     line = cut(line)  # 40 bytes a record, read several times from here on
-    whole = line.agg(F.sum("_size").alias("bytes")).first()
-    total = int(whole["bytes"] or 0)
+    total = int(line.agg(F.sum("_size").alias("bytes")).first()["bytes"] or 0)
     bounds = splitters(line, max(ranges, shards), total, oversample)
     ranged = looked_up(line, bounds, "_range")
     counted = {r._range: (r.b, r.n) for r in ranged.groupBy("_range").agg(F.sum("_size").alias("b"), F.count("*").alias("n")).collect()}
@@ -114,7 +113,9 @@ def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str =
         .withColumn("_n", F.row_number().over(within))
     )
     one = total / shards if total else 1.0
-    middle = F.when((F.col("_last") - F.col("_first")) <= one * together, (F.col("_first") + F.col("_last")) / 2).otherwise(F.col("_end") - F.col("_size") / 2)
+    cut_keys = sorted({k for k, r in bounds if r != LOWEST})  # keys so heavy that ranges part them: at most one for each range
+    whole = ~F.col("_key").isin(cut_keys) if cut_keys else F.lit(True)
+    middle = F.when(whole & ((F.col("_last") - F.col("_first")) <= one * together), (F.col("_first") + F.col("_last")) / 2).otherwise(F.col("_end") - F.col("_size") / 2)
     placed = placed.withColumn("shard", F.least(F.floor(middle / one), F.lit(shards - 1)).cast("int"))
     placed = cut(placed.select("doc_id", "_size", "_crc", "_range", "_n", "shard"))
     pieces = placed.groupBy("shard", "_range").agg(F.min("_n").alias("_low"), F.count("*").alias("_rows")).collect()  # about ranges + shards rows
