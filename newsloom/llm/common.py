@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have the driver forget finished plans at once, so that the cleaner removes their shuffle files from all disks.
+
+    Otherwise they stay until the driver's memory happens to fill. To be called where a large pass has been cut and
+    nothing refers to its plan any more.
+    """
+    for _ in range(2):  # Python's references reach the JVM with a delay, so the first round lets go and the second finds what is free
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def partitions(spark: SparkSession) -> int:
     """How many partitions the cluster wants for a shuffle of this input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -20,7 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from newsloom.llm.common import partitions, text_bytes
+from newsloom.llm.common import cut, partitions, text_bytes, tidy
 from newsloom.llm.pretoken import mixed
 from newsloom.llm.windows import bucket_of, from_planes, lowered, pack_of, planes, word_hashes
 
@@ -260,8 +260,13 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, depth: int = 2, least_
         columns = [docs.column("doc_id").combine_chunks(), pack.held, pack.ends - starts, sums[0].astype(np.int64), np.full(docs.num_rows, pack.n), sums[1] / np.log(10), sums[2] / np.log(10)]
         return pa.table([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    known = packs.groupBy("_pack").applyInArrow(ask_unigrams, SCHEMA).groupBy("bucket").applyInArrow(answered(owned_unigrams), SCHEMA)
+    # each depth's answers are cut: the next depths read them instead of making them again, and the disks hold one depth's requests
+    known = cut(packs.groupBy("_pack").applyInArrow(ask_unigrams, SCHEMA).groupBy("bucket").applyInArrow(answered(owned_unigrams), SCHEMA))
+    tidy(docs.sparkSession)
     for level in range(1, depth + 1):
         asked = packs.groupBy("_pack").cogroup(known.groupBy("_pack")).applyInArrow(ask(level), SCHEMA)
-        known = known.unionByName(asked.groupBy("bucket").applyInArrow(answered(owned_contexts), SCHEMA))
+        told = cut(asked.groupBy("bucket").applyInArrow(answered(owned_contexts), SCHEMA))
+        known = known.unionByName(told)
+        del asked
+        tidy(docs.sparkSession)
     return packs.groupBy("_pack").cogroup(known.groupBy("_pack")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
