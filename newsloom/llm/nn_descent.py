@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import cut
+from newsloom.llm.common import cut, tidy
 
 #: A node's address: its cell times 2**32, plus its place there.
 CELL = 32
@@ -35,9 +35,9 @@ def nodes(rows: DataFrame, keep: int) -> DataFrame:
     return few.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.element_at("ids", 1).alias("id"), "vec", "ids")
 
 
-def celled(found: DataFrame, size: int, least: int, seed: int) -> DataFrame:
+def celled(found: DataFrame, size: int, least: int, seed: int, total: int | None = None) -> DataFrame:
     """found with cell and place. Cells hold about ``size`` nodes or fewer, and at least ``least`` unless there is only one."""
-    total = found.count()
+    total = found.count() if total is None else total
     bits = max(0, int(np.log2(max(1, total / size))))
     dim = found.select(F.size("vec").alias("d")).first()
     directions = np.random.default_rng(seed).standard_normal((bits, dim["d"] if dim else 0))
@@ -284,19 +284,21 @@ def edges(state: DataFrame) -> DataFrame:
     return state.groupBy("cell").applyInArrow(made, "address long, next array<long>")
 
 
-def graph(found: DataFrame, k: int = 20, rounds: int = 5, cell: int = 400, trees: int = 4, seed: int = 7) -> DataFrame:
+def graph(found: DataFrame, k: int = 20, rounds: int = 4, cell: int = 400, trees: int = 4, seed: int = 7) -> DataFrame:
     """address, id, vec, ids, next for every node: the neighbour graph of found (id, vec, ids) after ``rounds`` of NN-descent.
 
     It begins with the nearest in the cells of several trees of projections, which overlap and so connect the graph.
     """
     placed = cut(celled(found, cell, max(64, 2 * k), seed).withColumn("address", F.shiftleft(F.col("cell").cast("long"), CELL) + F.col("place")))
-    state = begun(placed, k)
-    proposed = [grown(celled(placed.select("id", "address", "vec"), cell, max(64, 2 * k), seed + t), k) for t in range(1, trees)]
+    state, total = begun(placed, k), placed.count()
+    proposed = [grown(celled(placed.select("id", "address", "vec"), cell, max(64, 2 * k), seed + t, total), k) for t in range(1, trees)]
     for more in proposed[1:]:
         proposed[0] = proposed[0].unionByName(more)
     state = cut(merged(state, proposed[0], k) if proposed else state)
+    tidy(found.sparkSession)
     for _ in range(rounds):
         state = cut(descend(state, k))
+        tidy(found.sparkSession)
     return cut(placed.join(edges(state), "address").select("address", "id", "vec", "ids", "next"))
 
 
@@ -305,8 +307,8 @@ def distance(a: str, b: str):
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda total, x: total + x))
 
 
-def search(net: DataFrame, queries: DataFrame, width: int = 200, step: int = 24, rounds: int = 10) -> DataFrame:
-    """(query_id, id, ids, d): the nodes that greedy search reaches. queries: query_id, qvec, address of the start.
+def search(net: DataFrame, queries: DataFrame, keep: int, width: int = 160, step: int = 28, rounds: int = 6) -> DataFrame:
+    """(query_id, id, ids, d): the ``keep`` nearest nodes that greedy search reaches. queries: query_id, qvec, address of the start.
 
     Each round expands, for every query, the ``step`` nearest nodes found but not expanded, if among its ``width`` nearest.
     """
@@ -315,16 +317,15 @@ def search(net: DataFrame, queries: DataFrame, width: int = 200, step: int = 24,
     for _ in range(rounds):
         ranked = seen.withColumn("_rank", F.row_number().over(by_query)).withColumn("_open", F.when(~F.col("done") & (F.col("_rank") <= width), 1).otherwise(0))
         ranked = ranked.withColumn("_turn", (F.col("_open") == 1) & (F.sum("_open").over(by_query.rowsBetween(Window.unboundedPreceding, 0)) <= step))
-        ranked = cut(ranked.select("query_id", "address", "d", "done", "_turn"))
         turn = ranked.where("_turn").select("query_id", "address")
-        if turn.isEmpty():
-            break
         reached = turn.join(net.select("address", "next"), "address").select("query_id", F.explode("next").alias("address")).distinct()
         new = reached.join(ranked.select("query_id", "address"), ["query_id", "address"], "left_anti")
         measured = new.join(net.select("address", "vec"), "address").join(queries.select("query_id", "qvec"), "query_id")
         measured = measured.select("query_id", "address", distance("vec", "qvec").alias("d"), F.lit(False).alias("done"))
         seen = cut(ranked.select("query_id", "address", "d", (F.col("done") | F.col("_turn")).alias("done")).unionByName(measured))
-    return seen.join(net.select("address", "id", "ids"), "address").select("query_id", "id", "ids", "d")
+        tidy(net.sparkSession)
+    nearest = seen.withColumn("_rank", F.row_number().over(by_query)).where(F.col("_rank") <= keep)
+    return nearest.join(net.select("address", "id", "ids"), "address").select("query_id", "id", "ids", "d")
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, **settings) -> DataFrame:
@@ -340,7 +341,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, **settings) -> Da
     net = graph(found, **settings)
     asked = rows.where(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("query_id"), "vec").distinct()
     queries = cut(asked.join(net.select("vec", "address"), "vec").select("query_id", F.col("vec").alias("qvec"), "address"))
-    reached = search(net, queries)
+    reached = search(net, queries, k + 1)  # its own node and k more hold k other ids at least
     each = reached.select("query_id", "d", F.explode("ids").alias("vec_id")).where("vec_id != query_id")
     order = Window.partitionBy("query_id").orderBy("d", "vec_id")
     ranked = each.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
