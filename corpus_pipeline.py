@@ -12,13 +12,22 @@ from newsloom.llm.common import checkpoint_dir
 from newsloom.llm.windows import row_hash
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier doesn't reject (score of 0.3 or more). Null and empty texts score alike.
 
     The classifier learns from the labelled rows of docs.
     """
     model = compression_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return compression_quality.score(docs, model, to="_score").where("_score >= 0.3").drop("_score")
+    name = unused(docs, "_score")
+    return compression_quality.score(docs, model, to=name).where(F.col(name) >= 0.3).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +35,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A row without an id goes if its group has a row with one; else it stays.
     """
+    mine, other, ident = unused(docs, "_hash"), unused(docs, "_other"), unused(docs, "_id")
     found = ngram_jaccard.join(docs, 5)
-    stays = found.where(F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id"))).select("row_hash", F.col("doc_id").alias("_id")).distinct()
-    keyed = docs.withColumn("row_hash", row_hash())
-    return keyed.join(stays, (keyed["row_hash"] == stays["row_hash"]) & keyed["doc_id"].eqNullSafe(stays["_id"])).drop(stays["row_hash"]).drop("_id").dropDuplicates(["row_hash", "doc_id"]).select(docs.columns)
+    kept = found.where(F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id")))
+    stays = kept.select(F.col("row_hash").alias(other), F.col("doc_id").alias(ident)).distinct()
+    joined = docs.withColumn(mine, row_hash()).join(stays, (F.col(mine) == F.col(other)) & F.col("doc_id").cast("long").eqNullSafe(F.col(ident)))
+    return joined.dropDuplicates([mine, "doc_id"]).select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +48,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Every row stays, also where no word is left.
     """
-    found = substring_dedup.deduplicate(docs, 13, with_text=True).where("n_removed > 0").select("row_hash", F.col("doc_id").alias("_id"), F.col("text").alias("_kept")).dropDuplicates(["row_hash", "_id"])
-    keyed = docs.withColumn("row_hash", row_hash())
-    joined = keyed.join(found, (keyed["row_hash"] == found["row_hash"]) & keyed["doc_id"].eqNullSafe(found["_id"]), "left").drop(found["row_hash"])
-    changed = joined.withColumn("text", F.coalesce("_kept", "text"))
+    mine, other, ident, kept = (unused(docs, x) for x in ("_hash", "_other", "_id", "_kept"))
+    found = substring_dedup.deduplicate(docs, 13, with_text=True).where("n_removed > 0")
+    changed = found.select(F.col("row_hash").alias(other), F.col("doc_id").alias(ident), F.col("text").alias(kept)).dropDuplicates([other, ident])
+    joined = docs.withColumn(mine, row_hash()).join(changed, (F.col(mine) == F.col(other)) & F.col("doc_id").cast("long").eqNullSafe(F.col(ident)), "left")
+    new = {"text": F.coalesce(kept, "text")}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(F.col("n_chars")))
-    return changed.select(docs.columns)
+        new["n_chars"] = F.when(F.col(kept).isNotNull(), F.length(kept).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return joined.withColumns(new).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
