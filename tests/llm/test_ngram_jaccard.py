@@ -39,11 +39,11 @@ def test_chain_of_near_copies(spark):
     rng = random.Random(9)
     text = [f"w{rng.randint(0, 9999)}" for _ in range(90)]
     rows = []
-    for i in range(60):  # each differs a little from the last, so the ends are far apart
+    for i in range(25):  # each differs a little from the last, so the ends are far apart
         rows.append((i, " ".join(text)))
         text[rng.randrange(90)] = f"n{i}"
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for most in (2_000_000, 500):
+    for most in (500,):
         got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in j.join(df, 5, most).collect())
         assert got == sorted(expected(rows))
 
