@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import cut, partitions, text_bytes
+from newsloom.llm.common import cut, partitions, text_bytes, tidy
 from newsloom.llm.components import components
 from newsloom.llm.pretoken import mixed, spread
 from newsloom.llm.windows import answers, cell_of, looked_up, lowered, pack_of, repeated, sketches, window_hashes, word_hashes
@@ -208,8 +208,8 @@ def star_edges(rows: DataFrame, groups: list[str], probes: bool) -> DataFrame:
 
 def links(sets: DataFrame, most: int = 2_000_000) -> DataFrame:
     """(node, component) of the sets that link to another; sets: key, n, shared. most: n-grams of a family in one block."""
-    member = families(sets).join(sets.select("key", "n", "shared"), "key")
-    member = cut(member)
+    member = cut(families(sets).join(sets.select("key", "n", "shared"), "key"))
+    tidy(sets.sparkSession)
     total = member.groupBy("hub").agg(F.sum(F.octet_length("shared") / 8).alias("grams"))
     blocks = cut(total.select("hub", F.ceil(F.col("grams") / most).cast("int").alias("blocks")))
     placed = member.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
@@ -248,6 +248,7 @@ def join(docs: DataFrame, size: int = 5, most: int = 2_000_000) -> DataFrame:
     values. n-grams are compared by 64-bit hashes. Other columns are left out.
     """
     found = cut(profiles(docs, size))
+    tidy(docs.sparkSession)
     sets = cut(found.where("shared is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("shared").alias("shared")))
     owners = found.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     linked = links(sets, most).withColumnRenamed("node", "key")
