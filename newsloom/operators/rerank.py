@@ -126,9 +126,9 @@ def simple_score(vector: Column, query: str, text: Column, title: Column) -> Col
 
 def scoped(candidates: DataFrame, match: Column, least: int) -> DataFrame:
     """Only the matching candidates if there are ``least`` of them, else all; scoped tells which."""
-    n = F.sum(F.when(match, 1).otherwise(0)).over(Window.partitionBy())
-    marked = candidates.withColumn("_m", match).withColumn("scoped", n >= max(1, least))
-    return marked.where(~F.col("scoped") | F.col("_m")).drop("_m")
+    marked = candidates.withColumn("_m", match)
+    enough = marked.agg((F.count_if("_m") >= max(1, least)).alias("scoped"))  # one row
+    return marked.join(F.broadcast(enough)).where(~F.col("scoped") | F.col("_m")).drop("_m")
 
 
 def laddered(candidates: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
@@ -136,9 +136,8 @@ def laddered(candidates: DataFrame, steps: list[tuple[str, Column]]) -> DataFram
     marked = candidates
     for i, (_, condition) in enumerate(steps):
         marked = marked.withColumn(f"_s{i}", F.coalesce(condition, F.lit(False)))
-    every = Window.partitionBy()
-    first = F.coalesce(*(F.when(F.bool_or(f"_s{i}").over(every), F.lit(i)) for i in range(len(steps))))
-    marked = marked.withColumn("_first", first)
+    first = F.coalesce(*(F.when(F.bool_or(f"_s{i}"), F.lit(i)) for i in range(len(steps))))
+    marked = marked.join(F.broadcast(marked.agg(first.alias("_first"))))  # one row
     keep = reduce(lambda a, i: a | ((F.col("_first") == i) & F.col(f"_s{i}")), range(len(steps)), F.lit(False))
     name = F.element_at(F.array(*(F.lit(n) for n, _ in steps)), F.col("_first") + 1)
     return marked.where(keep).withColumn("step", name).drop("_first", *(f"_s{i}" for i in range(len(steps))))
