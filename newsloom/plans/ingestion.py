@@ -94,6 +94,14 @@ def article_chunks(spark, sf_dir):
 
 @query(f"WITH {ART} SELECT article_id, 'Title: ' || title || chr(10) || 'Source: ' || source || chr(10) || 'Text:' || chr(10) || left(content, 50) AS embedding_text FROM art")
 def embedding_texts(spark, sf_dir):
-    """The template of texts to embed (T-15, T-18)."""
-    parts = [F.concat(F.lit("Title: "), "title"), F.concat(F.lit("Source: "), "source"), F.concat(F.lit("Text:\n"), F.left("content", F.lit(50)))]
-    return articles(spark, sf_dir).select("article_id", F.concat_ws("\n", *parts).alias("embedding_text"))
+    """The texts of every chunk to embed and to index (T-15, T-18)."""
+    a = articles(spark, sf_dir).withColumn("summary", F.lit(None).cast("string"))
+    a = classify.topics(a, "category", "title", "summary", "content", lexicon=_LEX, aliases=[("de", "second")])
+    shown = F.create_map(*(F.lit(x) for topic, name in [*((t, n) for t, (n, _) in _LEX.items()), classify.GENERAL] for x in (topic, name)))
+    # explodes of one element: the folded text and the names are made once a row
+    a = a.select("*", F.explode(F.array(T.normalized(F.col("content")))).alias("_folded"))
+    a = a.select("*", F.explode(F.array(F.transform(classify.entities(F.col("_folded"), _NAMES), lambda e: e["name"]))).alias("entity_names"))
+    a = a.withColumns({"topic_name": shown[F.col("primary_topic")], "published": F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss")})
+    a = a.withColumns({"_embedding": chunking.embedding_head(), "_search": chunking.search_head()})
+    made = chunking.chunked(a, ("_embedding", "_search"))
+    return made.select("article_id", "chunk_id", F.concat("_embedding", "chunk_text").alias("embedding_text"), F.concat("_search", "chunk_text").alias("search_text"))

@@ -1,11 +1,14 @@
 """Queries over whole tables, on tables large enough that a cut of rows shows: the registered SQL without its cut gives the same rows."""
 
+import datetime
 import os
 
 import duckdb
 import pytest
 from test_oracles import ORACLES, QUERIES, plain
 
+from newsloom.operators import classify
+
 DATA = "/root/testdata/sf0.01"
 RANKING = ["reranked", "simple_rerank", "scoped_candidates", "fallback_ladder", "topic_guard", "evidence_gate", "filtered_candidates"]
 
@@ -30,3 +33,21 @@ def test_ranking_takes_every_article(spark, duck, name):
 
 def test_ids_beyond_the_old_cut(spark):
     assert QUERIES["reranked"](spark, DATA).where("article_id >= 500").count() > 0
+
+
+def test_texts_of_every_whole_chunk(spark):
+    chunks = {r.chunk_id: (r.article_id, r.chunk_text) for r in QUERIES["article_chunks"](spark, DATA).collect()}
+    topics = {r.article_id: r.primary_topic for r in QUERIES["article_topics"](spark, DATA).collect()}
+    entities = {}
+    for r in QUERIES["article_entities"](spark, DATA).orderBy("doc_id", "type", "name").collect():
+        entities.setdefault(r.doc_id, []).append(r.name)
+    titles = {r.doc_id: ((r.text or "").split("\n")[0], r.source) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    shown = {"first": "First", "second": "Second", "third": "Third", classify.GENERAL[0]: classify.GENERAL[1]}
+    got = QUERIES["embedding_texts"](spark, DATA).collect()
+    assert sorted(r.chunk_id for r in got) == sorted(chunks)
+    for r in got:
+        article, text = chunks[r.chunk_id]
+        (title, source), topic, names = titles[article], shown[topics[article]], entities.get(article, [])
+        date = (datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=article)).isoformat()
+        assert r.embedding_text == f"Tiêu đề: {title}\nTóm tắt: \nChủ đề: {topic}\nThực thể: {', '.join(names)}\nNguồn: {source}\nNgày đăng: {date}\nNội dung:\n{text}"
+        assert r.search_text == "\n".join([title, source, topic, ",".join(names), " ".join(names), text])
