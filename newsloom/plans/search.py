@@ -35,7 +35,7 @@ def bm25_filtered(spark, sf_dir):
 def postings_statistics(spark, sf_dir):
     """The index of all terms (A-15)."""
     p = retrieval.postings(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
-    return p.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences")).where("documents >= 5")
+    return p.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences"))
 
 
 @query("SELECT article_id, (3 * contains(lt, 'the')::INT + contains(lx, 'the')::INT + 3 * contains(lt, 'ation')::INT + contains(lx, 'ation')::INT)::DOUBLE AS lexical_score FROM (SELECT doc_id AS article_id, lower(strip_accents(split_part(text, chr(10), 1))) AS lt, lower(strip_accents(text)) AS lx FROM documents) WHERE contains(lx, 'the') OR contains(lx, 'ation') ORDER BY 2 DESC, 1 LIMIT 50")

@@ -51,3 +51,8 @@ def test_texts_of_every_whole_chunk(spark):
         date = (datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=article)).isoformat()
         assert r.embedding_text == f"Tiêu đề: {title}\nTóm tắt: \nChủ đề: {topic}\nThực thể: {', '.join(names)}\nNguồn: {source}\nNgày đăng: {date}\nNội dung:\n{text}"
         assert r.search_text == "\n".join([title, source, topic, ",".join(names), " ".join(names), text])
+
+
+def test_statistics_of_rare_terms(spark, duck):
+    same(spark, duck, "postings_statistics", " HAVING count(*) >= 5")
+    assert QUERIES["postings_statistics"](spark, DATA).where("documents < 5").count() > 0
