@@ -24,16 +24,22 @@ def latest_articles(chunks: DataFrame, article: str, published: str, score: str,
 
 
 def capped_articles(results: DataFrame, article: str, order: list[Column], each: int, articles: int) -> DataFrame:
-    """At most ``each`` results of an article and ``articles`` articles, in order."""
-    ranked = results.withColumn("_n", F.row_number().over(Window.partitionBy(article).orderBy(*order))).withColumn("_pos", F.row_number().over(Window.orderBy(*order))).where(F.col("_n") <= each)
-    first = ranked.withColumn("_first", F.min("_pos").over(Window.partitionBy(article)))
-    return first.withColumn("_rank", F.dense_rank().over(Window.orderBy("_first"))).where(F.col("_rank") <= articles).drop("_n", "_pos", "_first", "_rank")
+    """At most ``each`` results of an article and ``articles`` articles, in order. Articles are ranked by their first results."""
+    kept = results.withColumn("_n", F.row_number().over(Window.partitionBy(article).orderBy(*order))).where(F.col("_n") <= each)
+    few = kept.where("_n = 1").orderBy(*order).limit(articles).select(F.col(article).alias("_a"))
+    return kept.join(F.broadcast(few), F.col(article).eqNullSafe(F.col("_a")), "left_semi").drop("_n")
 
 
-def cited(results: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """key, citation: numbers in the order in which keys first appear. results are those of one answer."""
-    placed = results.withColumn("_pos", F.row_number().over(Window.orderBy(*order))).groupBy(key).agg(F.min("_pos").alias("_first"))
-    return placed.select(key, F.row_number().over(Window.orderBy("_first")).alias("citation"))
+def cited(results: DataFrame, key: str, score: str, order: str) -> DataFrame:
+    """key, citation: numbers in the order in which keys first appear, by falling score and then order.
+
+    Each key's first place comes before any ranking. Keys of one score are numbered together, after those of all higher scores.
+    """
+    first = results.groupBy(key).agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(order)).alias("o"))).alias("_f")).select(key, F.col("_f.s").alias("_s"), (-F.col("_f.o")).alias("_o"))
+    sizes = first.groupBy(F.col("_s").alias("_t")).agg(F.count("*").alias("_size"))
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy(F.desc("_t"))) - F.col("_size"))
+    placed = first.withColumn("_n", F.row_number().over(Window.partitionBy("_s").orderBy("_o"))).join(before, F.col("_s").eqNullSafe(F.col("_t")))
+    return placed.select(key, (F.col("_before") + F.col("_n")).cast("int").alias("citation"))
 
 
 def with_parent(chunks: DataFrame, parents: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -36,14 +36,13 @@ def latest_results(spark, sf_dir):
 )
 def diverse_chunks(spark, sf_dir):
     """Caps on chunks of an article and on articles (W-06)."""
-    best = _scored(spark, sf_dir).where("score > 0.9")
-    return assembly.capped_articles(best, "article_id", [F.desc("score"), F.col("ord")], 2, 15).select("article_id", "chunk_index")
+    return assembly.capped_articles(_scored(spark, sf_dir), "article_id", [F.desc("score"), F.col("ord")], 2, 15).select("article_id", "chunk_index")
 
 
 @query(f"WITH {_SCORED}, f AS (SELECT article_id, min(pos) AS p FROM (SELECT article_id, row_number() OVER (ORDER BY score DESC, ord) AS pos FROM s WHERE score > 0.95) GROUP BY 1) SELECT article_id, CAST(row_number() OVER (ORDER BY p) AS INTEGER) AS citation FROM f")
 def citations(spark, sf_dir):
     """Numbers in the order of first appearance (W-10, J-12)."""
-    return assembly.cited(_scored(spark, sf_dir).where("score > 0.95"), "article_id", [F.desc("score"), F.col("ord")])
+    return assembly.cited(_scored(spark, sf_dir), "article_id", "score", "ord")
 
 
 @query("SELECT o_orderkey, coalesce(nullif(CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END, ''), o_orderstatus) AS label FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 3 <> 0")

@@ -5,9 +5,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_oracles import ORACLES, QUERIES, plain
 
-from newsloom.operators import classify
+from newsloom.operators import assembly, classify
 
 DATA = "/root/testdata/sf0.01"
 RANKING = ["reranked", "simple_rerank", "scoped_candidates", "fallback_ladder", "topic_guard", "evidence_gate", "filtered_candidates"]
@@ -56,3 +57,15 @@ def test_texts_of_every_whole_chunk(spark):
 def test_statistics_of_rare_terms(spark, duck):
     same(spark, duck, "postings_statistics", " HAVING count(*) >= 5")
     assert QUERIES["postings_statistics"](spark, DATA).where("documents < 5").count() > 0
+
+
+def test_every_article_is_cited(spark, duck):
+    same(spark, duck, "citations", " WHERE score > 0.95")
+    same(spark, duck, "diverse_chunks", " WHERE score > 0.9")
+
+
+def test_few_articles_are_enough(spark):
+    chunks = spark.createDataFrame([(1, 10, 0.2), (1, 11, 0.1), (2, 20, 0.3), (2, 21, 0.3), (2, 22, 0.0), (3, 30, 0.2), (None, 40, 0.9)], "a int, o int, s double")
+    assert {r.a: r.citation for r in assembly.cited(chunks, "a", "s", "o").collect()} == {None: 1, 2: 2, 1: 3, 3: 4}
+    capped = assembly.capped_articles(chunks, "a", [F.desc("s"), F.col("o")], 2, 3).collect()
+    assert sorted(r.o for r in capped) == [10, 11, 20, 21, 40]
