@@ -284,10 +284,15 @@ def edges(state: DataFrame) -> DataFrame:
     return state.groupBy("cell").applyInArrow(made, "address long, next array<long>")
 
 
-def graph(found: DataFrame, k: int = 20, rounds: int = 4, cell: int = 400, trees: int = 4, seed: int = 7) -> DataFrame:
-    """address, id, vec, ids, next for every node: the neighbour graph of found (id, vec, ids) after ``rounds`` of NN-descent.
+def fresh_entries(state: DataFrame) -> int:
+    """How many entries of the lists came with the last round."""
+    return state.agg(F.expr("sum(length(hex(fresh)) - length(replace(hex(fresh), '1', '')))").alias("n")).first()["n"] or 0
 
-    It begins with the nearest in the cells of several trees of projections, which overlap and so connect the graph.
+
+def graph(found: DataFrame, k: int = 20, rounds: int | None = None, cell: int = 400, trees: int = 4, seed: int = 7, few: float = 0.001) -> DataFrame:
+    """address, id, vec, ids, next for every node: the neighbour graph of found (id, vec, ids) after NN-descent.
+
+    Rounds go on until no more than ``few`` of all list entries are new, or for ``rounds`` where that is given. It begins with the nearest in the cells of several trees of projections, which overlap and so connect the graph.
     """
     placed = cut(celled(found, cell, max(64, 2 * k), seed).withColumn("address", F.shiftleft(F.col("cell").cast("long"), CELL) + F.col("place")))
     state, total = begun(placed, k), placed.count()
@@ -296,9 +301,11 @@ def graph(found: DataFrame, k: int = 20, rounds: int = 4, cell: int = 400, trees
         proposed[0] = proposed[0].unionByName(more)
     state = cut(merged(state, proposed[0], k) if proposed else state)
     tidy(found.sparkSession)
-    for _ in range(rounds):
+    done = 0
+    while done != rounds and fresh_entries(state) > few * total * k:
         state = cut(descend(state, k))
         tidy(found.sparkSession)
+        done += 1
     return cut(placed.join(edges(state), "address").select("address", "id", "vec", "ids", "next"))
 
 
@@ -307,24 +314,27 @@ def distance(a: str, b: str):
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda total, x: total + x))
 
 
-def search(net: DataFrame, queries: DataFrame, keep: int, width: int = 160, step: int = 28, rounds: int = 6) -> DataFrame:
-    """(query_id, id, ids, d): the ``keep`` nearest nodes that greedy search reaches. queries: query_id, qvec, address of the start.
+def search(net: DataFrame, queries: DataFrame, keep: int, width: int = 200, step: int = 28) -> DataFrame:
+    """(query_id, id, ids, d): the ``keep`` nearest nodes that greedy search reaches, and all as near as the last of them. queries: query_id, qvec, address of the start.
 
-    Each round expands, for every query, the ``step`` nearest nodes found but not expanded, if among its ``width`` nearest.
+    Each round expands, for every query, the ``step`` nearest nodes found but not expanded, if among its ``width`` nearest, until
+    no query has such a node.
     """
     by_query = Window.partitionBy("query_id").orderBy("d", "address")
     seen = cut(queries.select("query_id", "address", F.lit(0.0).alias("d"), F.lit(False).alias("done")))
-    for _ in range(rounds):
+    while True:
         ranked = seen.withColumn("_rank", F.row_number().over(by_query)).withColumn("_open", F.when(~F.col("done") & (F.col("_rank") <= width), 1).otherwise(0))
         ranked = ranked.withColumn("_turn", (F.col("_open") == 1) & (F.sum("_open").over(by_query.rowsBetween(Window.unboundedPreceding, 0)) <= step))
-        turn = ranked.where("_turn").select("query_id", "address")
+        turn = cut(ranked.where("_turn").select("query_id", "address"))
+        if turn.isEmpty():
+            break
         reached = turn.join(net.select("address", "next"), "address").select("query_id", F.explode("next").alias("address")).distinct()
         new = reached.join(ranked.select("query_id", "address"), ["query_id", "address"], "left_anti")
         measured = new.join(net.select("address", "vec"), "address").join(queries.select("query_id", "qvec"), "query_id")
         measured = measured.select("query_id", "address", distance("vec", "qvec").alias("d"), F.lit(False).alias("done"))
         seen = cut(ranked.select("query_id", "address", "d", (F.col("done") | F.col("_turn")).alias("done")).unionByName(measured))
         tidy(net.sparkSession)
-    nearest = seen.withColumn("_rank", F.row_number().over(by_query)).where(F.col("_rank") <= keep)
+    nearest = seen.withColumn("_rank", F.rank().over(Window.partitionBy("query_id").orderBy("d"))).where(F.col("_rank") <= keep)
     return nearest.join(net.select("address", "id", "ids"), "address").select("query_id", "id", "ids", "d")
 
 

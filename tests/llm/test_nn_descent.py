@@ -40,3 +40,18 @@ def test_few_and_none(spark):
     assert sorted((r.query_id, r.rank, r.vec_id) for r in nn.nearest(few).collect()) == [(0, 1, 1), (0, 2, 100), (100, 1, 0), (100, 2, 1)]
     assert nn.nearest(few.limit(0)).count() == 0
     assert nn.nearest(few.where("vec_id = 0")).count() == 0
+
+
+def test_ties_at_the_last_distance(spark):
+    centre = [10.0] + [0.0] * 7
+    around = [[x + s * (i == j) for j, x in enumerate(centre)] for i in range(8) for s in (1, -1)]
+    rows = [(0, centre)] + [(i * 7 % 17 + 1, v) for i, v in enumerate(around)]
+    got = nn.nearest(spark.createDataFrame([(i, v, 1) for i, v in rows], SCHEMA), k=10, cell=8).collect()
+    assert sorted((r.score, r.vec_id) for r in got) == brute(rows, 100, 10)[0]
+
+
+def test_search_goes_on_while_nodes_are_open(spark):
+    n = 12
+    net = spark.createDataFrame([(i, i, [float(i)], [i], [i + 1] if i + 1 < n else []) for i in range(n)], "address long, id long, vec array<double>, ids array<long>, next array<long>")
+    queries = spark.createDataFrame([(0, [float(n - 1)], 0)], "query_id long, qvec array<double>, address long")
+    assert n - 1 in {r.id for r in nn.search(net, queries, 2).collect()}
