@@ -33,8 +33,8 @@ def query_terms(query: str) -> list[str]:
     return list(found)
 
 
-def bm25(chunks: DataFrame, key: str, text: str, query: str, top: int, where: Column | None = None) -> DataFrame:
-    """key, bm25_score, rank of the best chunks for a query. Statistics are those of all chunks; where filters only what is returned.
+def bm25(chunks: DataFrame, key: str, text: str, query: str, top: int | None, where: Column | None = None) -> DataFrame:
+    """key, bm25_score, rank of the best chunks for a query; without top all that score, unranked. Statistics are those of all chunks; where filters only what is returned.
 
     One pass counts the query's terms in each chunk without exploding it; only chunks that hold one are kept.
     """
@@ -56,7 +56,10 @@ def bm25(chunks: DataFrame, key: str, text: str, query: str, top: int, where: Co
         return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_length") / F.col("_avg")))
 
     score = reduce(lambda a, b: a + b, (part(i) for i in range(len(terms))), F.lit(0.0))
-    best = joined.select(key, score.alias("bm25_score")).where("bm25_score > 0").orderBy(F.desc("bm25_score"), key).limit(max(1, top))
+    scored = joined.select(key, score.alias("bm25_score")).where("bm25_score > 0")
+    if top is None:
+        return scored
+    best = scored.orderBy(F.desc("bm25_score"), key).limit(max(1, top))
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("bm25_score"), key)))
 
 

@@ -80,6 +80,6 @@ def hybrid_merge(spark, sf_dir):
 def diversified_topk(spark, sf_dir):
     """At most so many of a source (W-04, W-05)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    ranked = retrieval.bm25(d.drop("source"), "doc_id", "text", QUESTION, 1_000_000).join(d.select("doc_id", "source"), "doc_id")
+    ranked = retrieval.bm25(d.drop("source"), "doc_id", "text", QUESTION, None).join(d.select("doc_id", "source"), "doc_id")
     few = retrieval.diversified(ranked, "doc_id", "source", [F.desc("bm25_score"), F.col("doc_id")], 20)
     return few.select("doc_id", "source", F.round("bm25_score", 6).alias("bm25_score"))

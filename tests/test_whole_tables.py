@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_oracles import ORACLES, QUERIES, plain
 
-from newsloom.operators import assembly, classify
+from newsloom.operators import assembly, classify, retrieval
 
 DATA = "/root/testdata/sf0.01"
 RANKING = ["reranked", "simple_rerank", "scoped_candidates", "fallback_ladder", "topic_guard", "evidence_gate", "filtered_candidates"]
@@ -69,3 +69,9 @@ def test_few_articles_are_enough(spark):
     assert {r.a: r.citation for r in assembly.cited(chunks, "a", "s", "o").collect()} == {None: 1, 2: 2, 1: 3, 3: 4}
     capped = assembly.capped_articles(chunks, "a", [F.desc("s"), F.col("o")], 2, 3).collect()
     assert sorted(r.o for r in capped) == [10, 11, 20, 21, 40]
+
+
+def test_every_scored_document_is_diversified(spark):
+    docs = spark.createDataFrame([(i, "that letion" if i % 2 else "none") for i in range(40)], "d int, t string")
+    assert retrieval.bm25(docs, "d", "t", "that letion", None).count() == 20
+    assert "1000000" not in QUERIES["diversified_topk"](spark, DATA)._jdf.queryExecution().toString()
