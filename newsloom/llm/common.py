@@ -5,9 +5,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import time
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,55 @@ def tidy(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """df as written to Parquet in the shared folder and read back: cuts the lineage like cut(), and estimates of size follow the files.
+
+    A checkpoint keeps the estimate of the plan that made it; in a loop of joins that number grows with every round.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def located(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a folder's address; plain paths are local."""
+    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+
+
+def put(folder: str, name: str, data: bytes) -> None:
+    """Write a file whole under a name of its own, then give it its name; a repeated task replaces it."""
+    fs, base = located(folder)
+    fs.create_dir(base, recursive=True)
+    own = f"{base}/.{name}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(own) as out:
+        out.write(data)
+    fs.move(own, f"{base}/{name}")
+
+
+def got(folder: str, name: str) -> bytes:
+    """The content of a file that put() wrote."""
+    fs, base = located(folder)
+    with fs.open_input_stream(f"{base}/{name}") as f:
+        return f.read()
+
+
+def dropped(folder: str) -> None:
+    """Remove a folder of files that no later step reads."""
+    fs, base = located(folder)
+    if fs.get_file_info(base).type == pafs.FileType.Directory:
+        fs.delete_dir(base)
+
+
+def text_size(docs: DataFrame, text: str = "text") -> int:
+    """UTF-8 bytes of all texts together."""
+    return int(docs.agg(F.sum(F.octet_length(text).cast("long")).alias("bytes")).first()["bytes"] or 0)
+
+
+def share_count(size: int, most: int, spark: SparkSession, least: int = 1 << 20) -> int:
+    """Into how many shares to deal ``size`` bytes: as many as bytes ask for at ``most`` each; where these are fewer than partitions, smaller ones of ``least`` bytes."""
+    return max(1, -(-size // most), min(partitions(spark), -(-size // least)))
+
+
 def partitions(spark: SparkSession) -> int:
     """How many partitions the cluster wants for a shuffle of this input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -17,12 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import checkpoint_dir, in_slices, partitions, text_bytes
+from newsloom.llm.common import checkpoint_dir, in_slices, located, partitions, text_bytes
 from newsloom.llm.pretoken import library_words
 
 NO_ID = -(1 << 63)
@@ -67,11 +66,6 @@ def from_payload(payload: bytes) -> tuple[int | None, np.ndarray]:
     return (None if doc_id == NO_ID else doc_id), np.frombuffer(payload, f"<u{wide}", offset=16).astype("<u4")
 
 
-def located(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system and path of a folder's address; plain paths are local."""
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
-
-
 def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every whole text, append end_id, and write records in ascending order of ids into a new folder.
 

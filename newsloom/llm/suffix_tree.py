@@ -1,34 +1,47 @@
 """Language-model scores from a probabilistic suffix tree learned from all training documents.
 
-The tree's root holds each token's share of all training tokens. A context of one or two preceding tokens becomes a
+The tree's root holds each token's share of all training tokens. A context of one or more preceding tokens becomes a
 state if predicting its training occurrences from its own counts (each left out in turn) beats its parent's
 prediction: a divergence test that random counts fail. A state's distribution is smoothed by its parent's, with the
-weight of as many occurrences as the context has different next tokens. A token is scored in the longest suffix of its history that is a
-state.
-
-The tree lies spread over ranges of hashes. Packs of documents (windows.py) send the owner of each range the contexts and
-next tokens that they hold, with training counts, and get totals back in the order in which they asked. A context so
-frequent that it would fill more than its share of a range is dealt over several ranges by next token.
+weight of as many occurrences as the context has different next tokens. A token is scored in the longest suffix of its
+history that is a state.
+
+The tree grows by one token of context a level, over all documents at once, and lies spread over ranges of hashes. A
+pack of documents (about 8 MB of text of one input partition) sends the owner of each range the contexts and next
+tokens that it holds, with training counts, and gets totals back in the order in which it asked. Between two levels a
+pack's state lies in the shared checkpoint folder: only the places whose context can still have a state among its
+extensions. What cannot: a context seen once in training, and one whose training occurrences are together so well
+predicted that no extension could gain enough. Both rules lose nothing. A next token that is known to follow a shorter
+context once in training and in no other document is only counted, not named. A context so frequent that it would fill more than its share of a range is
+dealt over several ranges by next token. Tokens are named by the owner of their range, so next tokens are exact; contexts
+are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from newsloom.llm.common import cut, partitions, text_bytes, tidy
+from newsloom.llm.common import checkpoint_dir, cut, dropped, got, in_slices, partitions, put, share_count, text_bytes, text_size, tidy
 from newsloom.llm.pretoken import mixed
-from newsloom.llm.windows import bucket_of, from_planes, lowered, pack_of, planes, word_hashes
+from newsloom.llm.windows import bucket_of, from_planes, lowered, planes, word_hashes
 
 END = np.uint64(0x5E4D0F7E37A3C6B1)
 MIX = np.uint64(0x9FB21C651E98DF25)
 #: Steps of a nat in which a parent's log probability is sent, for the divergence test only.
-STEP = 0.125
-SCHEMA = "bucket int, _pack int, depth int, blob binary"
+STEP = 1 / 256
+#: Bytes of text of a pack and of a range.
+PACK, RANGE = 8 << 20, 12 << 20
+ASKED = "bucket int, pack long, blob binary"
+TOLD = "bucket int, pack long, blob binary, tokens long, different long"
 
 
 def squeezed(*parts: np.ndarray) -> bytes:
@@ -49,224 +62,341 @@ def unsqueezed(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-def steps(sorted_numbers: np.ndarray) -> np.ndarray:
+def steps(rising: np.ndarray) -> np.ndarray:
     """Differences of rising numbers."""
-    return np.diff(sorted_numbers, prepend=np.uint64(0))
-
-
-class Pack:
-    """The tokens of a pack's documents, and what is asked and known about them."""
-
-    def __init__(self, docs: pa.Table, folds: int, held: int):
-        raw, starts = text_bytes(docs.column("text"))
-        words, rows, _ = word_hashes(lowered(raw), starts)
-        n = docs.num_rows
-        counts = np.bincount(rows, minlength=n) + 1
-        self.ends = np.cumsum(counts)
-        self.row = np.repeat(np.arange(n), counts)
-        self.token = np.full(len(self.row), END)
-        inner = np.ones(len(self.row), bool)
-        inner[self.ends - 1] = False
-        self.token[inner] = words
-        ids = docs.column("doc_id").to_pylist()
-        self.held = np.array([zlib.crc32(b"" if i is None else str(i).encode()) % folds == held for i in ids], bool)
-        self.train = ~self.held[self.row]
-        self.names, self.local = np.unique(self.token, return_inverse=True)
-
-    def unigram_requests(self, buckets: int) -> list[tuple[int, bytes]]:
-        """For every range, this pack's tokens there with their training counts."""
-        counts = np.bincount(self.local[self.train], minlength=len(self.names)).astype(np.uint32)
-        bounds = np.searchsorted(bucket_of(self.names, buckets), np.arange(buckets + 1))
-        return [(b, squeezed(steps(self.names[low:high]), counts[low:high])) for b, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
-
-    def learn_unigrams(self, answers: list[tuple[int, bytes]]) -> None:
-        """Counts of this pack's tokens, of all tokens, and of different tokens; then the root's log probabilities."""
-        parts = [unsqueezed(blob, np.uint64, np.uint64) for _, blob in sorted(answers)]
-        totals = np.concatenate([p[1] for p in parts]).astype(np.int64)
-        self.n, self.v = int(sum(int(p[0][0]) for p in parts)), int(sum(int(p[0][1]) for p in parts))
-        self.count = totals[self.local]
-        self.base = np.log((self.count + 1.0) / (self.n + self.v + 1.0))
-        self.logp = self.base.copy()
-        self.context, self.times = self.token, self.count  # of the context that ends at each place
-
-    def contexts(self, depth: int, buckets: int) -> None:
-        """The places whose context of ``depth`` tokens occurs twice or more in training, and what to ask about them."""
-        place = np.arange(depth, len(self.row))
-        place = place[(self.row[place] == self.row[place - depth]) & (self.times[place - 1] >= 2)]
-        self.place = place
-        context, token = self.context[place - 1], self.token[place]
-        self.of_context, names_of = np.unique(context, return_inverse=True)
-        pair = (names_of.astype(np.int64) << 32) | self.local[place]
-        self.pair, self.pair_of = np.unique(pair, return_inverse=True)
-        first = np.zeros(len(self.pair), np.int64)
-        first[self.pair_of[::-1]] = np.arange(len(place))[::-1]
-        self.pair_context = (self.pair >> 32).astype(np.int64)
-        self.total = np.zeros(len(self.of_context), np.int64)
-        self.total[names_of] = self.times[place - 1]
-        self.asked = np.flatnonzero(self.count[place[first]] > 0)
-        owner, following = self.pair_context[self.asked], token[first][self.asked]
-        # a context is dealt over as many ranges as its occurrences would fill evenly
-        self.spread = np.minimum(buckets, np.maximum(1, -(-self.total * 4 * buckets // max(1, self.n))))
-        home = bucket_of(self.of_context, buckets).astype(np.int64)
-        part = (mixed(following ^ MIX) % self.spread[owner].astype(np.uint64)).astype(np.int64)
-        bucket = (home[owner] + part) % buckets
-        self.order = np.lexsort((following, owner, bucket))
-        local_counts = np.bincount(self.pair_of[self.train[place]], minlength=len(self.pair))
-        quantum = np.minimum(255, np.rint(-self.logp[place[first]] / STEP)).astype(np.uint8)
-        chosen = self.asked[self.order]
-        self.sent = (bucket[self.order], owner[self.order], (following[self.order] >> np.uint64(32)).astype(np.uint32), local_counts[chosen].astype(np.uint32), quantum[chosen])
+    return np.diff(rising, prepend=rising.dtype.type(0))
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the number of each key among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ordered[new], inverse
+
+
+def coded(counts: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Twice a training count, and one more where that is the only occurrence in all documents, held out or not."""
+    return np.minimum(counts, 0x7FFFFFFF).astype(np.uint32) * np.uint32(2) + ((counts == 1) & ~held).astype(np.uint32)
+
+
+class Places:
+    """What is known of a pack between two levels.
+
+    Rows: ids, absent (no id), held, size (tokens), known (tokens), base and total (log probabilities). Tokens: name (given by
+    the owner) and count of each distinct one. Places: where (number in the pack), token, open (to be asked about), and of the
+    open ones logp, own (a code of the training count of the context that ends there, see coded()), bound (at most that of the context before) and
+    shares (over how many ranges that one is dealt).
+    """
+
+    KINDS = (np.int64, np.uint8, np.uint8, np.uint32, np.uint32, np.float64, np.float64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint8, np.float32, np.uint32, np.uint32, np.uint32)
+
+    def __init__(self, blob: bytes):
+        (self.ids, self.absent, self.held, self.size, self.known, self.base, self.total, self.name, self.count, where, self.token, opened, self.logp, self.own, self.bound, self.shares) = unsqueezed(blob, *self.KINDS)
+        self.where = np.cumsum(where, dtype=np.int64)
+        self.open = np.flatnonzero(opened)
+        ends = np.cumsum(self.size, dtype=np.int64)
+        self.row = np.searchsorted(ends, self.where, side="right")
+        self.within = self.where - (ends - self.size)[self.row]
+
+    def blob(self) -> bytes:
+        opened = np.zeros(len(self.where), np.uint8)
+        opened[self.open] = 1
+        parts = (self.ids, self.absent, self.held, self.size, self.known, self.base, self.total, self.name, self.count, steps(self.where.astype(np.uint32)), self.token, opened, self.logp, self.own, self.bound, self.shares)
+        return squeezed(*(np.asarray(p).astype(k) for p, k in zip(parts, self.KINDS, strict=True)))
+
+    def narrowed(self, stay: np.ndarray, logp: np.ndarray, own: np.ndarray, bound: np.ndarray, shares: np.ndarray, reach: int) -> None:
+        """Close the open places that don't stay; drop places that no open one's contexts of up to ``reach`` tokens touch."""
+        self.total = self.total + np.bincount(self.row[self.open[~stay]], weights=logp[~stay], minlength=len(self.size))
+        self.open, self.logp, self.own, self.bound, self.shares = self.open[stay], logp[stay], own[stay], bound[stay], shares[stay]
+        marks = np.zeros(len(self.where) + 1, np.int64)
+        first = self.open - np.minimum(reach, self.within[self.open])  # places before an open one were kept with it
+        np.add.at(marks, first, 1)
+        np.add.at(marks, self.open + 1, -1)
+        kept = np.cumsum(marks[:-1]) > 0
+        moved = np.cumsum(kept) - 1
+        self.open = moved[self.open]
+        self.where, self.token, self.row, self.within = self.where[kept], self.token[kept], self.row[kept], self.within[kept]
+
+
+def dealt(times: np.ndarray, buckets: int, tokens: int) -> np.ndarray:
+    """Over how many ranges contexts of at most so many occurrences are dealt: as many as they would fill evenly."""
+    return np.minimum(buckets, np.maximum(1, -(-times.astype(np.int64) * 4 * buckets // max(1, tokens))))
+
+
+def tokenised(batch: pa.RecordBatch, folds: int, held: int) -> tuple[Places, np.ndarray, np.ndarray, np.ndarray]:
+    """A pack's places before anything is known; its distinct tokens' hashes, in order, their training counts here, and whether held-out documents have them."""
+    raw, starts = text_bytes(batch.column(1))
+    words, rows, _ = word_hashes(lowered(raw), starts)
+    n = batch.num_rows
+    size = np.bincount(rows, minlength=n) + 1
+    ends = np.cumsum(size)
+    token = np.full(int(ends[-1]), END)
+    inner = np.ones(len(token), bool)
+    inner[ends - 1] = False
+    token[inner] = words
+    hashes, local = numbered(token)
+    ids = batch.column(0).to_pylist()
+    away = np.array([zlib.crc32(b"" if i is None else str(i).encode()) % folds == held for i in ids], bool)
+    out = np.repeat(away, size)
+    train = np.bincount(local[~out], minlength=len(hashes)).astype(np.uint32)
+    elsewhere = np.bincount(local[out], minlength=len(hashes)) > 0
+    zero, none = np.zeros(n), np.zeros(0)
+    values = (np.array([i or 0 for i in ids]), [i is None for i in ids], away, size, zero, zero, zero, none, none, np.ones(len(token), np.uint32), local, none, none, none, none, none)
+    values[9][0] = 0
+    return Places(squeezed(*(np.asarray(v).astype(k) for v, k in zip(values, Places.KINDS, strict=True)))), hashes, train, elsewhere
+
+
+def unigram_requests(hashes: np.ndarray, train: np.ndarray, elsewhere: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """For each range, this pack's tokens there with their training counts and whether held-out documents have them."""
+    bounds = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
+    return [(b, squeezed(steps(hashes[low:high]), train[low:high], elsewhere[low:high].astype(np.uint8))) for b, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if low < high]
+
+
+def learn_unigrams(pack: Places, answers: list[tuple[int, bytes]], buckets: int, tokens: int, different: int, reach: int) -> None:
+    """Counts and names of this pack's tokens; then the root's log probabilities. All places but the first of a row open."""
+    parts = [(b, *unsqueezed(blob, np.uint64, np.uint64)) for b, blob in sorted(answers) if blob]
+    pack.count = np.concatenate([p[1] for p in parts]).astype(np.int64)
+    pack.name = np.concatenate([p[2] * np.uint64(buckets) + np.uint64(p[0]) for p in parts])
+    code = pack.count[pack.token]
+    count = code >> 1
+    logp = np.log((count + 1.0) / (tokens + different + 1.0))
+    rows = len(pack.size)
+    pack.known = np.bincount(pack.row, weights=count > 0, minlength=rows)
+    pack.base = np.bincount(pack.row, weights=logp, minlength=rows)
+    pack.open = np.arange(len(pack.where))
+    bound = np.concatenate(([0], count[:-1]))
+    pack.narrowed((pack.within > 0) & (bound >= 2), logp, code, bound, dealt(bound, buckets, tokens), reach)
+
+
+class Level:
+    """The contexts of ``depth`` tokens of a pack's open places: what is asked about them and what the answers tell."""
+
+    def __init__(self, pack: Places, depth: int, buckets: int, tokens: int):
+        self.pack, self.depth, self.buckets, self.tokens = pack, depth, buckets, tokens
+        names = pack.name[pack.token]
+        hashed = mixed(names[pack.open - 1] + MIX)
+        for back in range(2, depth + 1):
+            hashed = mixed(hashed * MIX + names[pack.open - back])
+        self.context, self.of = numbered(hashed)
+        train = pack.held[pack.row[pack.open]] == 0
+        logp = pack.logp.astype(np.float64)
+        surprise = np.minimum(0xFFFF, np.rint(-logp / STEP))
+        size = len(self.context)
+        self.lone = lone = (pack.own & 1) == 1
+        self.lone_count = np.bincount(self.of[lone], minlength=size)
+        self.lone_surprise = np.bincount(self.of[lone], weights=surprise[lone] * STEP, minlength=size)
+        self.named = np.flatnonzero(~lone & (pack.own > 1))
+        token = pack.token[pack.open[self.named]]
+        pair, self.pair_of = numbered((self.of[self.named] << 32) | token.astype(np.int64))
+        first = np.empty(len(pair), np.int64)
+        first[self.pair_of[::-1]] = self.named[::-1]
+        owner, following = pair >> 32, pack.name[pair & 0xFFFFFFFF]
+        counts = np.bincount(self.pair_of[train[self.named]], minlength=len(pair))
+        elsewhere = np.bincount(self.pair_of[~train[self.named]], minlength=len(pair)) > 0
+        shares = np.ones(size, np.int64)
+        shares[self.of] = pack.shares
+        home = bucket_of(self.context, buckets).astype(np.int64)
+        bucket = (home[owner] + (mixed(following ^ MIX) % shares[owner].astype(np.uint64)).astype(np.int64)) % buckets
+        # pairs are in the order of contexts, and so of ranges, but for those that are dealt
+        self.order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
+        self.sent = (bucket[self.order], owner[self.order], following[self.order], counts[self.order], surprise[first][self.order], elsewhere[self.order])
         # every context asks every range over which it is dealt, so that its sums are whole
-        entry_context = np.repeat(np.arange(len(self.of_context)), self.spread)
-        shift = np.arange(len(entry_context)) - np.repeat(np.cumsum(self.spread) - self.spread, self.spread)
-        entry_bucket = (home[entry_context] + shift) % buckets
-        order = np.lexsort((entry_context, entry_bucket))
-        self.entry_bucket, self.entry_context = entry_bucket[order], entry_context[order]
-
-    def requests(self, buckets: int) -> list[tuple[int, bytes]]:
-        """For each range: contexts, how many next tokens follow of each, the tokens, their counts, and the parent's log probabilities."""
-        bucket, owner, following, counts, quantum = self.sent
-        bounds = np.searchsorted(bucket, np.arange(buckets + 1))
-        entries = np.searchsorted(self.entry_bucket, np.arange(buckets + 1))
+        entry = np.repeat(np.arange(size), shares)
+        shift = np.arange(len(entry)) - np.repeat(np.cumsum(shares) - shares, shares)
+        entry_bucket = (home[entry] + shift) % buckets
+        order = np.lexsort((entry, entry_bucket))
+        self.entry_bucket, self.entry, self.entry_home = entry_bucket[order], entry[order], shift[order] == 0
+
+    def requests(self) -> list[tuple[int, bytes]]:
+        """For each range: contexts, their lone next tokens' number and surprise, and how many named ones follow; then those, with counts, surprise and whether held-out documents have them."""
+        bucket, owner, following, counts, surprise, elsewhere = self.sent
         out = []
-        for b in range(buckets):
-            low, high, e_low, e_high = bounds[b], bounds[b + 1], entries[b], entries[b + 1]
-            if e_low == e_high:
-                continue
-            of = self.entry_context[e_low:e_high]
-            fans = np.bincount(np.searchsorted(of, owner[low:high]), minlength=len(of)).astype(np.uint32)
-            out.append((b, squeezed(steps(self.of_context[of]), fans, following[low:high], counts[low:high], quantum[low:high])))
+        edges = np.flatnonzero(np.diff(self.entry_bucket, prepend=-1, append=-1))
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            b = int(self.entry_bucket[low])
+            a, z = np.searchsorted(bucket, (b, b + 1))
+            of, home = self.entry[low:high], self.entry_home[low:high]
+            fans = np.bincount(np.searchsorted(of, owner[a:z]), minlength=len(of)).astype(np.uint32)
+            lone = np.where(home, self.lone_count[of], 0).astype(np.uint32)
+            extra = np.where(home, self.lone_surprise[of], 0).astype(np.float32)[lone > 0]
+            out.append((b, squeezed(steps(self.context[of]), fans, lone, extra, following[a:z], counts[a:z].astype(np.uint32), surprise[a:z].astype(np.uint16), elsewhere[a:z].astype(np.uint8))))
         return out
 
-    def learn(self, answers: list[tuple[int, bytes]], least_gain: float) -> None:
-        """Totals of this depth; states among its contexts; log probabilities in the states."""
-        parts = [unsqueezed(blob, np.uint32, np.uint64, np.uint64, np.uint64, np.float32) for _, blob in sorted(answers)]
-        pairs = np.zeros(len(self.pair), np.int64)
+    def learn(self, answers: list[tuple[int, bytes]], least_gain: float, reach: int) -> int:
+        """Log probabilities in the states among these contexts, and which places stay open for longer ones; returns the number of states."""
+        pack, size = self.pack, len(self.context)
+        parts = [unsqueezed(blob, np.uint32, np.uint64, np.uint64, np.uint64, np.float64, np.float64, np.float64) for _, blob in sorted(answers) if blob]
+        pairs = np.zeros(len(self.sent[0]), np.int64)
         if parts:
-            pairs[self.asked[self.order]] = np.concatenate([p[0] for p in parts])
-        size = len(self.of_context)
-        fan, once, more, gained = (np.bincount(self.entry_context, weights=np.concatenate([p[k] for p in parts]).astype(np.float64), minlength=size) if parts else np.zeros(size) for k in (1, 2, 3, 4))
+            pairs[self.order] = np.concatenate([p[0] for p in parts])
+        fan, once, more, gained, inner, surprise = (np.bincount(self.entry, weights=np.concatenate([p[k] for p in parts]).astype(np.float64), minlength=size) if parts else np.zeros(size) for k in range(1, 7))
         n = once + more
         with np.errstate(divide="ignore", invalid="ignore"):
             gain = once * np.log(fan / (n - 1 + fan)) + gained - more * np.log(n - 1 + fan)
         state = (n >= 2) & (np.where(np.isfinite(gain), gain, -1.0) > least_gain)
-        of = self.pair_context[self.pair_of]
-        c = pairs[self.pair_of]
-        here = state[of]
-        at = self.place[here]
-        self.logp[at] = np.log((c[here] + fan[of[here]] * np.exp(self.logp[at])) / (n[of[here]] + fan[of[here]]))
-        self.states = int(state.sum())
-        times = np.zeros(len(self.row), np.int64)
-        times[self.place] = c
-        longer = np.zeros(len(self.row), np.uint64)
-        longer[1:] = mixed(self.context[:-1] * MIX + self.token[1:])
-        self.context, self.times = longer, times
-
-
-def owned_unigrams(table: pa.Table) -> list[bytes]:
-    """A range's answers: its numbers of tokens and of different tokens in training, and the counts of what each pack asked."""
-    asked = [unsqueezed(b, np.uint64, np.uint32) for b in table.column("blob").to_pylist()]
+        # an extension gains at most the surprise that is left, less one nat (n * log((n - 1) / n) is below -1)
+        left = np.where(state, n * (np.log(np.maximum(n + fan, 1)) + STEP / 2) - inner, surprise)
+        hopeful = (n >= 2) & (left > least_gain + 1)
+        own = np.zeros(len(pack.open), np.int64)
+        own[self.lone] = 3
+        own[self.named] = pairs[self.pair_of]
+        times = own >> 1
+        logp = pack.logp.astype(np.float64)
+        here = state[self.of]
+        of = self.of[here]
+        logp[here] = np.log((times[here] + fan[of] * np.exp(logp[here])) / (n[of] + fan[of]))
+        bound = np.minimum(pack.bound, n[self.of])
+        after = np.flatnonzero(np.diff(pack.open) == 1) + 1  # the place before is open too and tells how often the longer context occurs
+        bound[after] = np.minimum(bound[after], times[after - 1])
+        stay = hopeful[self.of] & (bound >= 2) & (pack.within[pack.open] > self.depth)
+        pack.narrowed(stay, logp, own, bound, dealt(n, self.buckets, self.tokens)[self.of], reach)
+        return int(state.sum())
+
+
+def owned_unigrams(blobs: list[bytes]) -> tuple[list[bytes], int, int]:
+    """A range's answers: the coded counts of what each pack asked, and each token's number here; its numbers of tokens and of different ones in training."""
+    asked = [unsqueezed(b, np.uint64, np.uint32, np.uint8) for b in blobs]
     names = [np.cumsum(a[0], dtype=np.uint64) for a in asked]
-    keys, inverse = np.unique(np.concatenate(names), return_inverse=True)
+    keys, inverse = numbered(np.concatenate(names))
     totals = np.bincount(inverse, weights=np.concatenate([a[1] for a in asked]), minlength=len(keys)).astype(np.uint64)
-    sums = np.array([totals.sum(), np.count_nonzero(totals)], np.uint64)
+    codes = coded(totals, np.bincount(inverse, weights=np.concatenate([a[2] for a in asked]), minlength=len(keys)) > 0).astype(np.uint64)
     bounds = np.cumsum([0] + [len(x) for x in names])
-    return [squeezed(sums, totals[inverse[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return [squeezed(codes[inverse[a:b]], inverse[a:b].astype(np.uint64)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], int(totals.sum()), int(np.count_nonzero(totals))
 
 
-def owned_contexts(table: pa.Table) -> list[bytes]:
-    """A range's answers: the training count of each next token asked, and each context's sums for the divergence test."""
-    asked = [unsqueezed(b, np.uint64, np.uint32, np.uint32, np.uint32, np.uint8) for b in table.column("blob").to_pylist()]
+def owned_contexts(blobs: list[bytes]) -> list[bytes]:
+    """A range's answers: the coded training count of each next token asked, and each context's sums for the divergence test and for what is left to gain."""
+    asked = [unsqueezed(b, np.uint64, np.uint32, np.uint32, np.float32, np.uint64, np.uint32, np.uint16, np.uint8) for b in blobs]
     names = [np.cumsum(a[0], dtype=np.uint64) for a in asked]
-    contexts, entry = np.unique(np.concatenate(names), return_inverse=True)
-    fans = np.concatenate([a[1] for a in asked])
-    pair = (np.repeat(entry, fans).astype(np.uint64) << np.uint64(32)) | np.concatenate([a[2] for a in asked])
-    pairs, at, inverse = np.unique(pair, return_index=True, return_inverse=True)
-    counts = np.bincount(inverse, weights=np.concatenate([a[3] for a in asked]), minlength=len(pairs))
-    parent = np.concatenate([a[4] for a in asked])[at] * STEP
-    of = (pairs >> np.uint64(32)).astype(np.int64)
+    contexts, entry = numbered(np.concatenate(names))
     size = len(contexts)
+    lone = np.concatenate([a[2] for a in asked])
+    lone_surprise = np.bincount(entry[lone > 0], weights=np.concatenate([a[3] for a in asked]), minlength=size)
+    lone = np.bincount(entry, weights=lone, minlength=size)
+    owner = np.repeat(entry, np.concatenate([a[1] for a in asked]))
+    following = np.concatenate([a[4] for a in asked])
+    bits = int(following.max(initial=0)).bit_length()
+    order = np.argsort((owner.astype(np.uint64) << np.uint64(bits)) | following) if bits + size.bit_length() <= 64 else np.lexsort((following, owner))
+    owner, following = owner[order], following[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (following[1:] != following[:-1])
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    of = owner[new]
+    counts = np.bincount(inverse, weights=np.concatenate([a[5] for a in asked]), minlength=len(of))
+    parent = np.concatenate([a[6] for a in asked])[order][new] * STEP
     several = counts >= 2
-    fan = np.bincount(of[counts >= 1], minlength=size).astype(np.uint64)
-    once = np.bincount(of[counts == 1], minlength=size).astype(np.uint64)
-    more = np.bincount(of[several], weights=counts[several], minlength=size).astype(np.uint64)
-    gained = np.bincount(of[several], weights=counts[several] * (np.log(counts[several] - 1) + parent[several]), minlength=size).astype(np.float32)
-    counts = np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
+    c, at = counts[several], of[several]
+    fan = (np.bincount(of[counts >= 1], minlength=size) + lone).astype(np.uint64)
+    once = (np.bincount(of[counts == 1], minlength=size) + lone).astype(np.uint64)
+    more = np.bincount(at, weights=c, minlength=size).astype(np.uint64)
+    gained = np.bincount(at, weights=c * (np.log(c - 1) + parent[several]), minlength=size)
+    inner = np.bincount(at, weights=c * np.log(c), minlength=size)
+    surprise = np.bincount(of, weights=counts * parent, minlength=size) + lone_surprise
+    codes = coded(counts, np.bincount(inverse, weights=np.concatenate([a[7] for a in asked]), minlength=len(of)) > 0)
     out, p, e = [], 0, 0
     for a, own in zip(asked, names, strict=True):
-        mine = entry[e : e + len(own)]
-        n = len(a[2])
-        out.append(squeezed(counts[inverse[p : p + n]], fan[mine], once[mine], more[mine], gained[mine]))
+        mine, n = entry[e : e + len(own)], len(a[4])
+        # sums in single precision, written in double: half the bytes are zero and vanish
+        out.append(squeezed(codes[inverse[p : p + n]], fan[mine], once[mine], more[mine], *(x[mine].astype(np.float32).astype(np.float64) for x in (gained, inner, surprise))))
         p, e = p + n, e + len(own)
     return out
 
 
-def score(docs: DataFrame, folds: int = 7, held: int = 2, depth: int = 2, least_gain: float = 2.0) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, held: int = 2, depth: int = 6, least_gain: float = 2.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
 
     Tokens are words in lower case (A-Z) and one end for each document. Documents whose crc32 of the id as text leaves
     ``held`` modulo ``folds`` are scored but not learned from; a null id counts as the empty text. base_score is the sum of
     log10((c+1)/(N+V+1)), score the log10 probability in the tree; an unknown token has the root's probability of one more token.
-    A null or empty text has only its end. Rows are kept whatever they hold; repeated rows count as often as they come. An empty
-    table gives no rows. Tokens and contexts are compared by 64-bit hashes, next tokens within a context by 32 bits.
+    Contexts grow up to ``depth`` tokens, or until none can gain more than ``least_gain`` nats. A null or empty text has only
+    its end. Rows are kept whatever they hold; repeated rows count as often as they come. An empty table gives no rows.
+    docs must give the same rows in the same partitions when read again, as tables do.
     """
-    buckets = partitions(docs.sparkSession)
-    packs = pack_of(docs, 2)
-    kinds = {"bucket": pa.int32(), "_pack": pa.int32(), "depth": pa.int32(), "blob": pa.binary()}
-
-    def rows_of(pack: int, level: int, found: list[tuple[int, bytes]]) -> pa.Table:
-        return pa.table([pa.array(c, k) for c, k in zip(([b for b, _ in found], [pack] * len(found), [level] * len(found), [x for _, x in found]), kinds.values(), strict=True)], list(kinds))
-
-    def rebuilt(docs: pa.Table, known: pa.Table | None, upto: int) -> Pack:
-        """The pack with all that the answers up to a depth tell."""
-        pack = Pack(docs, folds, held)
-        if known is None:
-            return pack
-        levels = {}
-        for bucket, level, blob in zip(*(known.column(c).to_pylist() for c in ("bucket", "depth", "blob")), strict=True):
-            levels.setdefault(level, []).append((bucket, blob))
-        pack.learn_unigrams(levels[0])
-        for level in range(1, upto + 1):
-            pack.contexts(level, buckets)
-            pack.learn(levels.get(level, []), least_gain)
-        return pack
-
-    def ask_unigrams(docs: pa.Table) -> pa.Table:
-        return rows_of(docs.column("_pack")[0].as_py(), 0, rebuilt(docs, None, 0).unigram_requests(buckets))
-
-    def answered(owned):
+    spark = docs.sparkSession
+    size, width = text_size(docs), partitions(spark)
+    buckets = share_count(size, RANGE, spark)
+    each = max(1, size // share_count(size, PACK, spark))
+    folder = f"{checkpoint_dir(spark)}/suffix-tree-{uuid.uuid4().hex}"
+
+    def asked(pack: int, requests: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        """Requests as rows, and one without content, so that every pack gets an answer."""
+        rows = [*requests, (pack % buckets, None)]
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([pack] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "pack", "blob"])
+
+    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch in enumerate(in_slices(batches, each)):
+            pack = (TaskContext.get().partitionId() << 32) + number
+            places, hashes, train, elsewhere = tokenised(batch, folds, held)
+            put(f"{folder}/0", str(pack), places.blob())
+            yield asked(pack, unigram_requests(hashes, train, elsewhere, buckets))
+
+    def told(owned):
+        def answered(table: pa.Table) -> pa.Table:
+            blobs = table.column("blob").to_pylist()
+            real = [i for i, b in enumerate(blobs) if b is not None]
+            found, tokens, different = [], None, None
+            if real:
+                found = owned([blobs[i] for i in real])
+                if isinstance(found, tuple):
+                    found, tokens, different = found
+            for i, b in zip(real, found, strict=True):
+                blobs[i] = b
+            bucket, pack = table.column("bucket").to_pylist(), table.column("pack").to_pylist()
+            if tokens is not None:  # the range's own numbers, for all
+                bucket, pack, blobs = [*bucket, bucket[0]], [*pack, -1], [*blobs, None]
+            sums = [[None] * (len(pack) - 1) + [x] for x in (tokens, different)]
+            return pa.table([pa.array(c, k) for c, k in zip((bucket, pack, blobs, *sums), (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["bucket", "pack", "blob", "tokens", "different"])
+
+        return answered
+
+    def learned(table: pa.Table, level: int, tokens: int, different: int) -> tuple[int, Places]:
+        """A pack after the answers of a level."""
+        pack = table.column("pack")[0].as_py()
+        places = Places(got(f"{folder}/{level}", str(pack)))
+        answers = list(zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True))
+        answers = [(b, x) for b, x in answers if x is not None]
+        if level == 0:
+            learn_unigrams(places, answers, buckets, tokens, different, depth)
+        elif len(places.open):
+            Level(places, level, buckets, tokens).learn(answers, least_gain, depth)
+        return pack, places
+
+    def asking(level: int, tokens: int, different: int):
         def made(table: pa.Table) -> pa.Table:
-            return table.drop_columns(["blob"]).append_column("blob", pa.array(owned(table), pa.binary())).select(list(kinds))
+            pack, places = learned(table, level - 1, tokens, different)
+            put(f"{folder}/{level}", str(pack), places.blob())
+            return pa.Table.from_batches([asked(pack, Level(places, level, buckets, tokens).requests() if len(places.open) else [])])
 
         return made
 
-    def ask(level: int):
-        def made(docs: pa.Table, known: pa.Table) -> pa.Table:
-            if not docs.num_rows:
-                return rows_of(0, level, [])
-            pack = rebuilt(docs, known, level - 1)
-            pack.contexts(level, buckets)
-            return rows_of(docs.column("_pack")[0].as_py(), level, pack.requests(buckets))
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+    def scoring(level: int, tokens: int, different: int):
+        def made(table: pa.Table) -> pa.Table:
+            _, places = learned(table, level, tokens, different)
+            total = places.total + np.bincount(places.row[places.open], weights=places.logp, minlength=len(places.size))
+            ids = pa.array(places.ids, mask=places.absent.astype(bool))
+            columns = [ids, places.held.astype(bool), places.size, places.known, np.full(len(places.size), tokens), places.base / np.log(10), total / np.log(10)]
+            return pa.table([c if isinstance(c, pa.Array) else pa.array(c).cast(t) for c, t in zip(columns, types, strict=True)], names)
 
         return made
 
-    def scored(docs: pa.Table, known: pa.Table) -> pa.Table:
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        if not docs.num_rows:
-            return pa.table([pa.array([], t) for t in types], names)
-        pack = rebuilt(docs, known, depth)
-        starts = np.concatenate(([0], pack.ends[:-1]))
-        sums = [np.add.reduceat(x, starts) for x in (pack.count > 0, pack.base, pack.logp)]
-        columns = [docs.column("doc_id").combine_chunks(), pack.held, pack.ends - starts, sums[0].astype(np.int64), np.full(docs.num_rows, pack.n), sums[1] / np.log(10), sums[2] / np.log(10)]
-        return pa.table([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-    # each depth's answers are cut: the next depths read them instead of making them again, and the disks hold one depth's requests
-    known = cut(packs.groupBy("_pack").applyInArrow(ask_unigrams, SCHEMA).groupBy("bucket").applyInArrow(answered(owned_unigrams), SCHEMA))
-    tidy(docs.sparkSession)
-    for level in range(1, depth + 1):
-        asked = packs.groupBy("_pack").cogroup(known.groupBy("_pack")).applyInArrow(ask(level), SCHEMA)
-        told = cut(asked.groupBy("bucket").applyInArrow(answered(owned_contexts), SCHEMA))
-        known = known.unionByName(told)
-        del asked
-        tidy(docs.sparkSession)
-    return packs.groupBy("_pack").cogroup(known.groupBy("_pack")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    requests = docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(begun, ASKED)
+    answers = cut(requests.repartition(width, "bucket").groupBy("bucket").applyInArrow(told(owned_unigrams), TOLD))
+    sums = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("different"), F.lit(0)).alias("different")).first()
+    tidy(spark)
+    level = 0
+    while level < depth and not answers.where("blob is not null").isEmpty():
+        level += 1
+        requests = answers.where("pack >= 0").select("bucket", "pack", "blob").repartition(width, "pack").groupBy("pack").applyInArrow(asking(level, *sums), ASKED)
+        answers = cut(requests.repartition(width, "bucket").groupBy("bucket").applyInArrow(told(owned_contexts), TOLD))
+        dropped(f"{folder}/{level - 1}")  # all answers of this level are saved: nothing reads that state any more
+        del requests
+        tidy(spark)
+    return answers.where("pack >= 0").select("bucket", "pack", "blob").repartition(width, "pack").groupBy("pack").applyInArrow(scoring(level, *sums), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
