@@ -40,6 +40,9 @@ MIX = np.uint64(0x9FB21C651E98DF25)
 STEP = 1 / 256
 #: Bytes of text of a pack and of a range.
 PACK, RANGE = 8 << 20, 12 << 20
+#: What a range is asked (Level.requests) and what it answers (owned_contexts).
+REQUEST = (np.uint64, np.uint8, np.uint32, np.uint32, np.float32, np.uint64, np.uint32, np.uint16, np.uint8)
+ANSWER = (np.uint32, np.uint8, np.uint32, np.uint32, *[np.uint32] * 3, *[np.float64] * 3)
 ASKED = "bucket int, pack long, blob binary"
 TOLD = "bucket int, pack long, blob binary, tokens long, different long"
 
@@ -84,42 +87,44 @@ def coded(counts: np.ndarray, held: np.ndarray) -> np.ndarray:
 
 
 class Places:
-    """What is known of a pack between two levels.
+    """A pack's tokens and what is known of its open places, those whose contexts are to grow.
 
-    Rows: ids, absent (no id), held, size (tokens), known (tokens), base and total (log probabilities). Tokens: name (given by
-    the owner) and count of each distinct one. Places: where (number in the pack), token, open (to be asked about), and of the
-    open ones logp, own (a code of the training count of the context that ends there, see coded()), bound (at most that of the context before) and
-    shares (over how many ranges that one is dealt).
+    Of each row: ids, absent (no id), held, size (tokens). Of each place: token (number among the pack's distinct ones), row,
+    within (place in the row). Of each distinct token: name (given by the owner), code (see coded()). Of the open places:
+    logp, own (code of the context that ends there), bound (at most the training count of the context before) and shares (over
+    how many ranges that one is dealt). total: each row's log probability in all places that are not open.
     """
 
-    KINDS = (np.int64, np.uint8, np.uint8, np.uint32, np.uint32, np.float64, np.float64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint8, np.float32, np.uint32, np.uint32, np.uint32)
+    TOKENS = {"ids": np.int64, "absent": np.uint8, "held": np.uint8, "size": np.uint32, "token": np.uint32}
+    NAMES = {"name": np.uint64, "code": np.uint32}
+    OPEN = {"total": np.float64, "open": np.uint32, "logp": np.float32, "own": np.uint32, "bound": np.uint32, "shares": np.uint32}
 
-    def __init__(self, blob: bytes):
-        (self.ids, self.absent, self.held, self.size, self.known, self.base, self.total, self.name, self.count, where, self.token, opened, self.logp, self.own, self.bound, self.shares) = unsqueezed(blob, *self.KINDS)
-        self.where = np.cumsum(where, dtype=np.int64)
-        self.open = np.flatnonzero(opened)
-        ends = np.cumsum(self.size, dtype=np.int64)
-        self.row = np.searchsorted(ends, self.where, side="right")
-        self.within = self.where - (ends - self.size)[self.row]
+    def packed(self, kinds: dict) -> bytes:
+        return squeezed(*(np.asarray(steps(self.open) if name == "open" else getattr(self, name)).astype(kind) for name, kind in kinds.items()))
 
-    def blob(self) -> bytes:
-        opened = np.zeros(len(self.where), np.uint8)
-        opened[self.open] = 1
-        parts = (self.ids, self.absent, self.held, self.size, self.known, self.base, self.total, self.name, self.count, steps(self.where.astype(np.uint32)), self.token, opened, self.logp, self.own, self.bound, self.shares)
-        return squeezed(*(np.asarray(p).astype(k) for p, k in zip(parts, self.KINDS, strict=True)))
+    def unpacked(self, blob: bytes, kinds: dict) -> None:
+        for name, x in zip(kinds, unsqueezed(blob, *kinds.values()), strict=True):
+            setattr(self, name, np.cumsum(x, dtype=np.int64) if name == "open" else x)
+        if "token" in kinds:
+            self.row = np.repeat(np.arange(len(self.size)), self.size)
+            ends = np.cumsum(self.size, dtype=np.int64)
+            self.within = np.arange(len(self.token)) - np.repeat(ends - self.size, self.size)
 
-    def narrowed(self, stay: np.ndarray, logp: np.ndarray, own: np.ndarray, bound: np.ndarray, shares: np.ndarray, reach: int) -> None:
-        """Close the open places that don't stay; drop places that no open one's contexts of up to ``reach`` tokens touch."""
+    def narrowed(self, stay: np.ndarray, logp: np.ndarray, own: np.ndarray, bound: np.ndarray, shares: np.ndarray) -> None:
+        """Close the open places that don't stay; new values of the others."""
         self.total = self.total + np.bincount(self.row[self.open[~stay]], weights=logp[~stay], minlength=len(self.size))
         self.open, self.logp, self.own, self.bound, self.shares = self.open[stay], logp[stay], own[stay], bound[stay], shares[stay]
-        marks = np.zeros(len(self.where) + 1, np.int64)
-        first = self.open - np.minimum(reach, self.within[self.open])  # places before an open one were kept with it
-        np.add.at(marks, first, 1)
-        np.add.at(marks, self.open + 1, -1)
-        kept = np.cumsum(marks[:-1]) > 0
-        moved = np.cumsum(kept) - 1
-        self.open = moved[self.open]
-        self.where, self.token, self.row, self.within = self.where[kept], self.token[kept], self.row[kept], self.within[kept]
+
+    def root(self, tokens: int, different: int) -> np.ndarray:
+        """Log probability of every place's token in the root."""
+        return np.log(((self.code >> 1) + 1.0) / (tokens + different + 1.0))[self.token]
+
+    def opened(self, buckets: int, tokens: int, different: int) -> None:
+        """Open all places whose context of one token occurs twice or more."""
+        code = self.code[self.token]
+        bound = np.concatenate(([0], code[:-1] >> 1))
+        self.open, self.total = np.arange(len(self.token)), np.zeros(len(self.size))
+        self.narrowed((self.within > 0) & (bound >= 2), self.root(tokens, different), code, bound, dealt(bound, buckets, tokens))
 
 
 def dealt(times: np.ndarray, buckets: int, tokens: int) -> np.ndarray:
@@ -139,15 +144,15 @@ def tokenised(batch: pa.RecordBatch, folds: int, held: int) -> tuple[Places, np.
     inner[ends - 1] = False
     token[inner] = words
     hashes, local = numbered(token)
+    places = Places()
     ids = batch.column(0).to_pylist()
-    away = np.array([zlib.crc32(b"" if i is None else str(i).encode()) % folds == held for i in ids], bool)
-    out = np.repeat(away, size)
+    places.ids, places.absent = np.array([i or 0 for i in ids]), np.array([i is None for i in ids])
+    places.held = np.array([zlib.crc32(b"" if i is None else str(i).encode()) % folds == held for i in ids], bool)
+    places.size, places.token = size, local
+    out = np.repeat(places.held, size)
     train = np.bincount(local[~out], minlength=len(hashes)).astype(np.uint32)
     elsewhere = np.bincount(local[out], minlength=len(hashes)) > 0
-    zero, none = np.zeros(n), np.zeros(0)
-    values = (np.array([i or 0 for i in ids]), [i is None for i in ids], away, size, zero, zero, zero, none, none, np.ones(len(token), np.uint32), local, none, none, none, none, none)
-    values[9][0] = 0
-    return Places(squeezed(*(np.asarray(v).astype(k) for v, k in zip(values, Places.KINDS, strict=True)))), hashes, train, elsewhere
+    return places, hashes, train, elsewhere
 
 
 def unigram_requests(hashes: np.ndarray, train: np.ndarray, elsewhere: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
@@ -156,20 +161,11 @@ def unigram_requests(hashes: np.ndarray, train: np.ndarray, elsewhere: np.ndarra
     return [(b, squeezed(steps(hashes[low:high]), train[low:high], elsewhere[low:high].astype(np.uint8))) for b, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if low < high]
 
 
-def learn_unigrams(pack: Places, answers: list[tuple[int, bytes]], buckets: int, tokens: int, different: int, reach: int) -> None:
-    """Counts and names of this pack's tokens; then the root's log probabilities. All places but the first of a row open."""
-    parts = [(b, *unsqueezed(blob, np.uint64, np.uint64)) for b, blob in sorted(answers) if blob]
-    pack.count = np.concatenate([p[1] for p in parts]).astype(np.int64)
-    pack.name = np.concatenate([p[2] * np.uint64(buckets) + np.uint64(p[0]) for p in parts])
-    code = pack.count[pack.token]
-    count = code >> 1
-    logp = np.log((count + 1.0) / (tokens + different + 1.0))
-    rows = len(pack.size)
-    pack.known = np.bincount(pack.row, weights=count > 0, minlength=rows)
-    pack.base = np.bincount(pack.row, weights=logp, minlength=rows)
-    pack.open = np.arange(len(pack.where))
-    bound = np.concatenate(([0], count[:-1]))
-    pack.narrowed((pack.within > 0) & (bound >= 2), logp, code, bound, dealt(bound, buckets, tokens), reach)
+def learn_unigrams(pack: Places, answers: list[tuple[int, bytes]], buckets: int) -> None:
+    """Counts and names of this pack's tokens."""
+    parts = [(b, *unsqueezed(blob, np.uint32, np.uint32)) for b, blob in sorted(answers)]
+    pack.code = np.concatenate([p[1] for p in parts])
+    pack.name = np.concatenate([p[2].astype(np.uint64) * np.uint64(buckets) + np.uint64(p[0]) for p in parts])
 
 
 class Level:
@@ -210,9 +206,10 @@ class Level:
         entry_bucket = (home[entry] + shift) % buckets
         order = np.lexsort((entry, entry_bucket))
         self.entry_bucket, self.entry, self.entry_home = entry_bucket[order], entry[order], shift[order] == 0
+        self.alone = (shares == 1)[self.entry]
 
     def requests(self) -> list[tuple[int, bytes]]:
-        """For each range: contexts, their lone next tokens' number and surprise, and how many named ones follow; then those, with counts, surprise and whether held-out documents have them."""
+        """For each range: contexts, whether dealt, their lone next tokens' number and surprise, and how many named ones follow; then those, with counts, surprise and whether held-out documents have them."""
         bucket, owner, following, counts, surprise, elsewhere = self.sent
         out = []
         edges = np.flatnonzero(np.diff(self.entry_bucket, prepend=-1, append=-1))
@@ -220,27 +217,30 @@ class Level:
             b = int(self.entry_bucket[low])
             a, z = np.searchsorted(bucket, (b, b + 1))
             of, home = self.entry[low:high], self.entry_home[low:high]
-            fans = np.bincount(np.searchsorted(of, owner[a:z]), minlength=len(of)).astype(np.uint32)
-            lone = np.where(home, self.lone_count[of], 0).astype(np.uint32)
-            extra = np.where(home, self.lone_surprise[of], 0).astype(np.float32)[lone > 0]
-            out.append((b, squeezed(steps(self.context[of]), fans, lone, extra, following[a:z], counts[a:z].astype(np.uint32), surprise[a:z].astype(np.uint16), elsewhere[a:z].astype(np.uint8))))
+            fans = np.bincount(np.searchsorted(of, owner[a:z]), minlength=len(of))
+            lone = np.where(home, self.lone_count[of], 0)
+            extra = np.where(home, self.lone_surprise[of], 0)[lone > 0]
+            values = (steps(self.context[of]), ~self.alone[low:high], fans, lone, extra, following[a:z], counts[a:z], surprise[a:z], elsewhere[a:z])
+            out.append((b, squeezed(*(np.asarray(v).astype(k) for v, k in zip(values, REQUEST, strict=True)))))
         return out
 
-    def learn(self, answers: list[tuple[int, bytes]], least_gain: float, reach: int) -> int:
-        """Log probabilities in the states among these contexts, and which places stay open for longer ones; returns the number of states."""
+    def learn(self, answers: list[tuple[int, bytes]], least_gain: float) -> None:
+        """Log probabilities in the states among these contexts, and which places stay open for longer ones."""
         pack, size = self.pack, len(self.context)
-        parts = [unsqueezed(blob, np.uint32, np.uint64, np.uint64, np.uint64, np.float64, np.float64, np.float64) for _, blob in sorted(answers) if blob]
+        parts = [unsqueezed(blob, *ANSWER) for _, blob in sorted(answers)]
+        codes, verdict, fans, totals, *sums = (np.concatenate([np.zeros(0), *c]) for c in zip(*parts, strict=True))
         pairs = np.zeros(len(self.sent[0]), np.int64)
-        if parts:
-            pairs[self.order] = np.concatenate([p[0] for p in parts])
-        fan, once, more, gained, inner, surprise = (np.bincount(self.entry, weights=np.concatenate([p[k] for p in parts]).astype(np.float64), minlength=size) if parts else np.zeros(size) for k in range(1, 7))
-        n = once + more
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = once * np.log(fan / (n - 1 + fan)) + gained - more * np.log(n - 1 + fan)
-        state = (n >= 2) & (np.where(np.isfinite(gain), gain, -1.0) > least_gain)
-        # an extension gains at most the surprise that is left, less one nat (n * log((n - 1) / n) is below -1)
-        left = np.where(state, n * (np.log(np.maximum(n + fan, 1)) + STEP / 2) - inner, surprise)
-        hopeful = (n >= 2) & (left > least_gain + 1)
+        pairs[self.order] = codes
+        # contexts of one range were judged there
+        fan, n, state, hopeful = np.zeros(size), np.zeros(size), np.zeros(size, bool), np.zeros(size, bool)
+        own_entry = self.entry[self.alone]
+        fan[own_entry], n[own_entry], verdict = fans, totals, verdict.astype(np.int64)
+        state[own_entry], hopeful[own_entry] = verdict & 1 > 0, verdict & 2 > 0
+        if len(sums[0]):  # the sums of dealt ones are added up here
+            dealt_entry = self.entry[~self.alone]
+            which, of = numbered(dealt_entry)
+            found = judged(*(np.bincount(of, weights=x.astype(np.float64), minlength=len(which)) for x in sums), least_gain)
+            fan[which], n[which], state[which], hopeful[which] = found
         own = np.zeros(len(pack.open), np.int64)
         own[self.lone] = 3
         own[self.named] = pairs[self.pair_of]
@@ -253,8 +253,18 @@ class Level:
         after = np.flatnonzero(np.diff(pack.open) == 1) + 1  # the place before is open too and tells how often the longer context occurs
         bound[after] = np.minimum(bound[after], times[after - 1])
         stay = hopeful[self.of] & (bound >= 2) & (pack.within[pack.open] > self.depth)
-        pack.narrowed(stay, logp, own, bound, dealt(n, self.buckets, self.tokens)[self.of], reach)
-        return int(state.sum())
+        pack.narrowed(stay, logp, own, bound, dealt(n, self.buckets, self.tokens)[self.of])
+
+
+def judged(fan: np.ndarray, once: np.ndarray, more: np.ndarray, gained: np.ndarray, inner: np.ndarray, surprise: np.ndarray, least_gain: float) -> tuple:
+    """Different next tokens and occurrences of contexts, which are states, and which can have states among their extensions."""
+    n = once + more
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = once * np.log(fan / (n - 1 + fan)) + gained - more * np.log(n - 1 + fan)
+    state = (n >= 2) & (np.where(np.isfinite(gain), gain, -1.0) > least_gain)
+    # an extension gains at most the surprise that is left, less one nat (n * log((n - 1) / n) is below -1)
+    left = np.where(state, n * (np.log(np.maximum(n + fan, 1)) + STEP / 2) - inner, surprise)
+    return fan, n, state, (n >= 2) & (left > least_gain + 1)
 
 
 def owned_unigrams(blobs: list[bytes]) -> tuple[list[bytes], int, int]:
@@ -263,22 +273,22 @@ def owned_unigrams(blobs: list[bytes]) -> tuple[list[bytes], int, int]:
     names = [np.cumsum(a[0], dtype=np.uint64) for a in asked]
     keys, inverse = numbered(np.concatenate(names))
     totals = np.bincount(inverse, weights=np.concatenate([a[1] for a in asked]), minlength=len(keys)).astype(np.uint64)
-    codes = coded(totals, np.bincount(inverse, weights=np.concatenate([a[2] for a in asked]), minlength=len(keys)) > 0).astype(np.uint64)
+    codes = coded(totals, np.bincount(inverse, weights=np.concatenate([a[2] for a in asked]), minlength=len(keys)) > 0)
     bounds = np.cumsum([0] + [len(x) for x in names])
-    return [squeezed(codes[inverse[a:b]], inverse[a:b].astype(np.uint64)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], int(totals.sum()), int(np.count_nonzero(totals))
+    return [squeezed(codes[inverse[a:b]], inverse[a:b].astype(np.uint32)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], int(totals.sum()), int(np.count_nonzero(totals))
 
 
-def owned_contexts(blobs: list[bytes]) -> list[bytes]:
-    """A range's answers: the coded training count of each next token asked, and each context's sums for the divergence test and for what is left to gain."""
-    asked = [unsqueezed(b, np.uint64, np.uint32, np.uint32, np.float32, np.uint64, np.uint32, np.uint16, np.uint8) for b in blobs]
+def owned_contexts(blobs: list[bytes], least_gain: float) -> list[bytes]:
+    """A range's answers: the coded training count of each next token asked; what each context is, or its sums here if it is dealt over several ranges."""
+    asked = [unsqueezed(b, *REQUEST) for b in blobs]
     names = [np.cumsum(a[0], dtype=np.uint64) for a in asked]
     contexts, entry = numbered(np.concatenate(names))
     size = len(contexts)
-    lone = np.concatenate([a[2] for a in asked])
-    lone_surprise = np.bincount(entry[lone > 0], weights=np.concatenate([a[3] for a in asked]), minlength=size)
+    joined = lambda k: np.concatenate([a[k] for a in asked])
+    several_ranges, lone = joined(1) > 0, joined(3)
+    lone_surprise = np.bincount(entry[lone > 0], weights=joined(4), minlength=size)
     lone = np.bincount(entry, weights=lone, minlength=size)
-    owner = np.repeat(entry, np.concatenate([a[1] for a in asked]))
-    following = np.concatenate([a[4] for a in asked])
+    owner, following = np.repeat(entry, joined(2)), joined(5)
     bits = int(following.max(initial=0)).bit_length()
     order = np.argsort((owner.astype(np.uint64) << np.uint64(bits)) | following) if bits + size.bit_length() <= 64 else np.lexsort((following, owner))
     owner, following = owner[order], following[order]
@@ -287,23 +297,28 @@ def owned_contexts(blobs: list[bytes]) -> list[bytes]:
     inverse = np.empty(len(order), np.int64)
     inverse[order] = np.cumsum(new) - 1
     of = owner[new]
-    counts = np.bincount(inverse, weights=np.concatenate([a[5] for a in asked]), minlength=len(of))
-    parent = np.concatenate([a[6] for a in asked])[order][new] * STEP
+    counts = np.bincount(inverse, weights=joined(6), minlength=len(of))
+    parent = joined(7)[order][new] * STEP
+    codes = coded(counts, np.bincount(inverse, weights=joined(8), minlength=len(of)) > 0)
     several = counts >= 2
     c, at = counts[several], of[several]
-    fan = (np.bincount(of[counts >= 1], minlength=size) + lone).astype(np.uint64)
-    once = (np.bincount(of[counts == 1], minlength=size) + lone).astype(np.uint64)
-    more = np.bincount(at, weights=c, minlength=size).astype(np.uint64)
-    gained = np.bincount(at, weights=c * (np.log(c - 1) + parent[several]), minlength=size)
-    inner = np.bincount(at, weights=c * np.log(c), minlength=size)
-    surprise = np.bincount(of, weights=counts * parent, minlength=size) + lone_surprise
-    codes = coded(counts, np.bincount(inverse, weights=np.concatenate([a[7] for a in asked]), minlength=len(of)) > 0)
+    sums = (
+        np.bincount(of[counts >= 1], minlength=size) + lone,
+        np.bincount(of[counts == 1], minlength=size) + lone,
+        np.bincount(at, weights=c, minlength=size),
+        np.bincount(at, weights=c * (np.log(c - 1) + parent[several]), minlength=size),
+        np.bincount(at, weights=c * np.log(c), minlength=size),
+        np.bincount(of, weights=counts * parent, minlength=size) + lone_surprise,
+    )
+    fan, n, state, hopeful = judged(*sums, least_gain)
+    verdict = state.astype(np.uint8) + hopeful.astype(np.uint8) * np.uint8(2)
     out, p, e = [], 0, 0
     for a, own in zip(asked, names, strict=True):
-        mine, n = entry[e : e + len(own)], len(a[4])
-        # sums in single precision, written in double: half the bytes are zero and vanish
-        out.append(squeezed(codes[inverse[p : p + n]], fan[mine], once[mine], more[mine], *(x[mine].astype(np.float32).astype(np.float64) for x in (gained, inner, surprise))))
-        p, e = p + n, e + len(own)
+        mine, k = entry[e : e + len(own)], len(a[5])
+        apart = several_ranges[e : e + len(own)]
+        values = (codes[inverse[p : p + k]], verdict[mine[~apart]], fan[mine[~apart]], n[mine[~apart]], *(x[mine[apart]] for x in sums))
+        out.append(squeezed(*(v.astype(kind) for v, kind in zip(values, ANSWER, strict=True))))
+        p, e = p + k, e + len(own)
     return out
 
 
@@ -332,7 +347,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, depth: int = 6, least_
         for number, batch in enumerate(in_slices(batches, each)):
             pack = (TaskContext.get().partitionId() << 32) + number
             places, hashes, train, elsewhere = tokenised(batch, folds, held)
-            put(f"{folder}/0", str(pack), places.blob())
+            put(f"{folder}/tokens", str(pack), places.packed(Places.TOKENS))
             yield asked(pack, unigram_requests(hashes, train, elsewhere, buckets))
 
     def told(owned):
@@ -355,21 +370,30 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, depth: int = 6, least_
         return answered
 
     def learned(table: pa.Table, level: int, tokens: int, different: int) -> tuple[int, Places]:
-        """A pack after the answers of a level."""
+        """A pack after the answers of a level; its names are saved with those of level 0."""
         pack = table.column("pack")[0].as_py()
-        places = Places(got(f"{folder}/{level}", str(pack)))
-        answers = list(zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True))
-        answers = [(b, x) for b, x in answers if x is not None]
+        answers = [(b, x) for b, x in zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True) if x is not None]
+        places = Places()
+        places.unpacked(got(f"{folder}/tokens", str(pack)), Places.TOKENS)
         if level == 0:
-            learn_unigrams(places, answers, buckets, tokens, different, depth)
-        elif len(places.open):
-            Level(places, level, buckets, tokens).learn(answers, least_gain, depth)
+            learn_unigrams(places, answers, buckets)
+            put(f"{folder}/names", str(pack), places.packed(Places.NAMES))
+        else:
+            places.unpacked(got(f"{folder}/names", str(pack)), Places.NAMES)
+        if level <= 1:
+            places.opened(buckets, tokens, different)
+        else:
+            places.unpacked(got(f"{folder}/{level}", str(pack)), Places.OPEN)
+        if level and answers:
+            Level(places, level, buckets, tokens).learn(answers, least_gain)
         return pack, places
 
     def asking(level: int, tokens: int, different: int):
         def made(table: pa.Table) -> pa.Table:
             pack, places = learned(table, level - 1, tokens, different)
-            put(f"{folder}/{level}", str(pack), places.blob())
+            if level > 1:
+                put(f"{folder}/{level}", str(pack), places.packed(Places.OPEN))
+                places.logp = places.logp.astype(np.float32)  # as it will be read
             return pa.Table.from_batches([asked(pack, Level(places, level, buckets, tokens).requests() if len(places.open) else [])])
 
         return made
@@ -382,7 +406,8 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, depth: int = 6, least_
             _, places = learned(table, level, tokens, different)
             total = places.total + np.bincount(places.row[places.open], weights=places.logp, minlength=len(places.size))
             ids = pa.array(places.ids, mask=places.absent.astype(bool))
-            columns = [ids, places.held.astype(bool), places.size, places.known, np.full(len(places.size), tokens), places.base / np.log(10), total / np.log(10)]
+            known, base = (np.bincount(places.row, weights=x, minlength=len(places.size)) for x in (places.code[places.token] > 1, places.root(tokens, different)))
+            columns = [ids, places.held.astype(bool), places.size, known, np.full(len(places.size), tokens), base / np.log(10), total / np.log(10)]
             return pa.table([c if isinstance(c, pa.Array) else pa.array(c).cast(t) for c, t in zip(columns, types, strict=True)], names)
 
         return made
@@ -395,8 +420,11 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, depth: int = 6, least_
     while level < depth and not answers.where("blob is not null").isEmpty():
         level += 1
         requests = answers.where("pack >= 0").select("bucket", "pack", "blob").repartition(width, "pack").groupBy("pack").applyInArrow(asking(level, *sums), ASKED)
-        answers = cut(requests.repartition(width, "bucket").groupBy("bucket").applyInArrow(told(owned_contexts), TOLD))
-        dropped(f"{folder}/{level - 1}")  # all answers of this level are saved: nothing reads that state any more
+        answers = cut(requests.repartition(width, "bucket").groupBy("bucket").applyInArrow(told(lambda blobs: owned_contexts(blobs, least_gain)), TOLD))
+        dropped(f"{folder}/{level - 1}")  # this level's answers are saved, so nothing reads the places of the last any more
         del requests
         tidy(spark)
-    return answers.where("pack >= 0").select("bucket", "pack", "blob").repartition(width, "pack").groupBy("pack").applyInArrow(scoring(level, *sums), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scores = answers.where("pack >= 0").select("bucket", "pack", "blob").repartition(width, "pack").groupBy("pack").applyInArrow(scoring(level, *sums), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scores = cut(scores)
+    dropped(folder)
+    return scores

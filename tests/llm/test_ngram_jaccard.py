@@ -35,19 +35,35 @@ def test_against_all_pairs(docs, rows, none):
     assert j.join(none).count() == 0
 
 
-def test_chain_of_near_copies(spark):
+def chain(n):
+    """Documents of which each differs by one word from the last, so the ends are far apart."""
     rng = random.Random(9)
     text = [f"w{rng.randint(0, 9999)}" for _ in range(90)]
     rows = []
-    for i in range(25):  # each differs a little from the last, so the ends are far apart
+    for i in range(n):
         rows.append((i, " ".join(text)))
         text[rng.randrange(90)] = f"n{i}"
+    return rows
+
+
+def test_chain_of_near_copies(spark):
+    rows = chain(60)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for most in (500,):
+    for most in (2_000_000, 500):
         got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in j.join(df, 5, most).collect())
         assert got == sorted(expected(rows))
 
 
+def test_long_chain(spark):
+    """2,000 documents in one component, dealt anew by a hash, in one block and in many."""
+    rows = chain(2000)
+    df = spark.createDataFrame([((i * 7919) % 2003, t) for i, t in rows], "doc_id long, text string")
+    want = {(i * 7919) % 2003 for i, _ in rows}
+    for most in (2_000_000, 20_000):
+        got = j.join(df, 5, most).collect()
+        assert {r.doc_id for r in got} == want and {r.component_id for r in got} == {0}
+
+
 def test_overlaps_are_exact():
     rng = np.random.default_rng(1)
     base = rng.choice(10_000, 200, replace=False).astype(np.uint64)
