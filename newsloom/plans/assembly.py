@@ -32,14 +32,14 @@ def latest_results(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_SCORED}, t AS (SELECT * FROM s WHERE score > 0.9), r AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY score DESC, ord) AS n, row_number() OVER (ORDER BY score DESC, ord) AS pos FROM t), f AS (SELECT *, min(pos) OVER (PARTITION BY article_id) AS first FROM r WHERE n <= 2), d AS (SELECT *, dense_rank() OVER (ORDER BY first) AS k FROM f) SELECT article_id, chunk_index FROM d WHERE k <= 15"""
+    f"""WITH {_SCORED}, t AS (SELECT * FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY score DESC, ord) AS n, row_number() OVER (ORDER BY score DESC, ord) AS pos FROM t), f AS (SELECT *, min(pos) OVER (PARTITION BY article_id) AS first FROM r WHERE n <= 2), d AS (SELECT *, dense_rank() OVER (ORDER BY first) AS k FROM f) SELECT article_id, chunk_index FROM d WHERE k <= 15"""
 )
 def diverse_chunks(spark, sf_dir):
     """Caps on chunks of an article and on articles (W-06)."""
     return assembly.capped_articles(_scored(spark, sf_dir), "article_id", [F.desc("score"), F.col("ord")], 2, 15).select("article_id", "chunk_index")
 
 
-@query(f"WITH {_SCORED}, f AS (SELECT article_id, min(pos) AS p FROM (SELECT article_id, row_number() OVER (ORDER BY score DESC, ord) AS pos FROM s WHERE score > 0.95) GROUP BY 1) SELECT article_id, CAST(row_number() OVER (ORDER BY p) AS INTEGER) AS citation FROM f")
+@query(f"WITH {_SCORED}, f AS (SELECT article_id, min(pos) AS p FROM (SELECT article_id, row_number() OVER (ORDER BY score DESC, ord) AS pos FROM s) GROUP BY 1) SELECT article_id, CAST(row_number() OVER (ORDER BY p) AS INTEGER) AS citation FROM f")
 def citations(spark, sf_dir):
     """Numbers in the order of first appearance (W-10, J-12)."""
     return assembly.cited(_scored(spark, sf_dir), "article_id", "score", "ord")

@@ -92,7 +92,7 @@ def article_chunks(spark, sf_dir):
     return chunking.chunked(articles(spark, sf_dir).withColumn("summary", F.lit(None).cast("string")))
 
 
-@query(f"WITH {ART} SELECT article_id, 'Title: ' || title || chr(10) || 'Source: ' || source || chr(10) || 'Text:' || chr(10) || left(content, 50) AS embedding_text FROM art")
+@query()
 def embedding_texts(spark, sf_dir):
     """The texts of every chunk to embed and to index (T-15, T-18)."""
     a = articles(spark, sf_dir).withColumn("summary", F.lit(None).cast("string"))

@@ -8,7 +8,7 @@ from newsloom.operators import rerank
 from newsloom.plans.registry import query
 from newsloom.sources.views import ART, articles
 
-_CAND = f"{ART}, cand AS (SELECT article_id, source, category, title, content, published_at, (article_id % 97) / 97.0::DOUBLE AS v, (article_id % 13)::DOUBLE AS b, (article_id % 29) / 29.0::DOUBLE AS h FROM art WHERE article_id < 500)"
+_CAND = f"{ART}, cand AS (SELECT article_id, source, category, title, content, published_at, (article_id % 97) / 97.0::DOUBLE AS v, (article_id % 13)::DOUBLE AS b, (article_id % 29) / 29.0::DOUBLE AS h FROM art)"
 _B = "CASE WHEN {0} <= 0 THEN 0 WHEN {0} <= 1 THEN {0} ELSE {0} / (1 + {0}) END"
 
 

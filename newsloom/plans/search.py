@@ -31,7 +31,7 @@ def bm25_filtered(spark, sf_dir):
     return retrieval.bm25(d, "doc_id", "text", QUESTION, 10, F.lower("source") == "src3").select("doc_id", F.round("bm25_score", 6).alias("bm25_score"))
 
 
-@query(f"WITH {_TOKENS} SELECT token AS term, count(*) AS documents, sum(f)::BIGINT AS occurrences FROM (SELECT doc_id, token, count(*) AS f FROM t GROUP BY 1, 2) GROUP BY 1 HAVING count(*) >= 5")
+@query(f"WITH {_TOKENS} SELECT token AS term, count(*) AS documents, sum(f)::BIGINT AS occurrences FROM (SELECT doc_id, token, count(*) AS f FROM t GROUP BY 1, 2) GROUP BY 1")
 def postings_statistics(spark, sf_dir):
     """The index of all terms (A-15)."""
     p = retrieval.postings(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
