@@ -9,6 +9,7 @@ words with an incompatible pair are merged step by step.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,7 +45,10 @@ class Vocabulary:
             if all(c in symbols for c in name):
                 self.token[i] = bytes(symbols[c] for c in name)
         self.id = {t: i for i, t in enumerate(self.token) if t}
-        self.longest = max(map(len, self.token))
+        #: The longest entry that begins with one or two given bytes, so that no longer one is tried.
+        self.reach: dict[bytes, int] = {}
+        for t in self.id:
+            self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 0))
         self.rank, self.left, self.right = np.full(size, -1, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
@@ -90,26 +94,39 @@ class Vocabulary:
         return good
 
     def longest_match(self, word: bytes) -> list[int]:
-        """Greedy proposal: the longest entry at each place."""
-        out, at, n, find = [], 0, len(word), self.id.get
+        """Greedy proposal: the longest entry at each place; ValueError if a byte has none."""
+        out, at, n, find, reach = [], 0, len(word), self.id.get, self.reach.get
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
-                token = find(word[at:end])
-                if token is not None:
-                    out.append(token)
-                    at = end
-                    break
+            end = min(n, at + reach(word[at : at + 2], 1))
+            while (token := find(word[at:end])) is None:
+                end -= 1
+                if end == at:
+                    raise ValueError(f"the vocabulary has no entry for byte {word[at]}")
+            out.append(token)
+            at = end
         return out
 
     def exact_merge(self, word: bytes) -> list[int]:
-        """Merging by rank, step by step."""
-        parts = [self.id[bytes((b,))] for b in word]
-        while len(parts) > 1:
-            rank, i = min((self.merge.get(pair, (1 << 40, 0))[0], i) for i, pair in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 40:
-                break
-            parts[i : i + 2] = [self.merge[parts[i], parts[i + 1]][1]]
-        return parts
+        """Merging by rank, the leftmost of equal ranks first. Pairs wait in a heap, so n bytes take about n log n steps."""
+        part = [self.id[bytes((b,))] for b in word]
+        n, find = len(part), self.merge.get
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(found[0], i, part[i], part[i + 1]) for i in range(n - 1) if (found := find((part[i], part[i + 1])))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, x, y = heapq.heappop(heap)
+            j = after[i]
+            if part[i] != x or j >= n or part[j] != y:
+                continue  # one of the two has been merged since
+            part[i], part[j] = find((x, y))[1], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if found := find((part[i], part[k])):
+                    heapq.heappush(heap, (found[0], i, part[i], part[k]))
+            if (h := before[i]) >= 0 and (found := find((part[h], part[i]))):
+                heapq.heappush(heap, (found[0], h, part[h], part[i]))
+        return [p for p in part if p >= 0]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Exact ids of each word: proposals, one test of all neighbours, and merging only where it fails."""

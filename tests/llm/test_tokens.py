@@ -1,5 +1,7 @@
 import hashlib
+import json
 import random
+import time
 import zlib
 
 import numpy as np
@@ -42,6 +44,27 @@ def test_failing_words_are_merged():
     assert proposals != exact and v.encode_words(words) == exact
 
 
+def test_very_long_words():
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(20_000)), "a" * 30_000, "ab" * 10_000, "é" * 5_000]
+    v = bpe.vocabulary(BYTE)
+    for w in words:
+        assert v.exact_merge(w.encode()) == ids(BYTE, w)
+    began = time.time()
+    assert [v.encode_words([w])[0] for w in words] == [ids(BYTE, w) for w in words]
+    v.exact_merge(words[0].encode() * 10)
+    assert time.time() - began < 60
+
+
+def test_a_byte_without_entry(tmp_path):
+    tiny = {"model": {"vocab": {"a": 0, "b": 1, "ab": 2}, "merges": ["a b"]}, "added_tokens": []}
+    (tmp_path / "tiny.json").write_text(json.dumps(tiny))
+    v = bpe.Vocabulary(str(tmp_path / "tiny.json"))
+    assert v.longest_match(b"aba") == [2, 0]
+    with pytest.raises(ValueError):
+        v.longest_match(b"ac")
+
+
 def test_round_trip(docs, rows, none):
     got = sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(docs, BYTE).collect()), key=order)
     want = []
