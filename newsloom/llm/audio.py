@@ -2,7 +2,8 @@
 
 Features of a clip: the samples are resampled by a polyphase filter, cut into overlapping windows whose spectra
 are summed into log-mel bands, and segmented by energy with two thresholds (hysteresis). Band frames are stored as
-fixed-shape tensors of ``PATCH`` frames each, with the time span that each covers.
+fixed-shape tensors of ``PATCH`` frames each, with the time span that each covers, in Arrow's stream format. All is done
+in blocks of frames, so a long clip takes little more memory than its samples.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-RATE, UP, DOWN = 16_000, 1, 2
+from newsloom.llm.common import in_slices
+
+RATE, UP, DOWN = 16_000, 5, 8
 WINDOW, HOP, BANDS, PATCH = 200, 80, 24, 16
 #: Segments begin above the upper share of the clip's loudest frame and last until below the lower one.
 UPPER, LOWER = 0.5, 0.25
@@ -53,21 +56,31 @@ def low_pass(up: int, down: int, taps_per_phase: int = 12) -> np.ndarray:
     return h.reshape(-1, up).T.astype(np.float32)
 
 
-def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
-    """Polyphase resampling by up/down: each output sample takes only the taps of its own phase."""
-    if up == down:
-        return x.astype(np.float32)
+def resampled(length: int, up: int = UP, down: int = DOWN) -> int:
+    """How many samples resampling gives."""
+    return -(-length * up // down)
+
+
+def resample(x: np.ndarray, up: int = UP, down: int = DOWN, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Samples ``first`` to ``last`` of x resampled by up/down: each takes only the taps of its own phase.
+
+    Samples beyond either end of x are zero. x may be unsigned 8-bit, then 128 is zero and the range -1 to 1.
+    """
+    last = resampled(len(x), up, down) if last is None else last
     phases = low_pass(up, down)
-    taps = phases.shape[1]
-    delay = (phases.size // 2) // up
-    padded = np.pad(x.astype(np.float32), (taps - 1, taps))
-    n = -(-len(x) * up // down)
-    out = np.empty(n, np.float32)
-    windows = np.lib.stride_tricks.sliding_window_view(padded, taps)
-    where = np.arange(n) * down
-    for phase in range(up):
-        own = np.flatnonzero(where % up == phase)
-        out[own] = windows[np.minimum(where[own] // up + delay, len(windows) - 1)] @ phases[phase][::-1]
+    taps, delay = phases.shape[1], (phases.size // 2) // up
+    low, high = first * down // up + delay - taps + 1, max(0, last - 1) * down // up + delay + 1
+    part = x[max(0, low) : max(0, high)]
+    part = (part.astype(np.float32) - 128) / 128 if x.dtype == np.uint8 else part.astype(np.float32)
+    left = max(0, -low)
+    part = np.pad(part, (left, max(0, high - low - left - len(part))))
+    windows = np.lib.stride_tricks.sliding_window_view(part, taps)
+    out = np.empty(max(0, last - first), np.float32)
+    for at in range(first, min(last, first + up)):
+        place = at * down  # every up-th sample from here has the same phase
+        rows = windows[place // up + delay - taps + 1 - low :: down]
+        own = out[at - first :: up]
+        own[:] = rows[: len(own)] @ phases[place % up][::-1]
     return out
 
 
@@ -82,14 +95,12 @@ def mel_bank(rate: int, size: int, bands: int) -> np.ndarray:
     return np.maximum(0, np.minimum(up, down)).astype(np.float32)
 
 
-def log_mel(x: np.ndarray, rate: int, window: int = WINDOW, hop: int = HOP, bands: int = BANDS, block: int = 2048) -> np.ndarray:
-    """Frames by bands, in blocks of frames so that long clips take bounded memory; at least one frame."""
-    x = np.pad(x, (0, max(0, window - len(x))))
-    frames = np.lib.stride_tricks.sliding_window_view(x, window)[::hop]
+def log_mel(frames: np.ndarray, rate: int, bands: int = BANDS) -> np.ndarray:
+    """Log energies of mel bands of each frame."""
+    window = frames.shape[1]
     size = 1 << (window - 1).bit_length()
-    taper, bank = np.hanning(window).astype(np.float32), mel_bank(rate, size, bands)
-    out = [np.log10(1e-6 + np.abs(np.fft.rfft(frames[at : at + block] * taper, size)).astype(np.float32) ** 2 @ bank) for at in range(0, len(frames), block)]
-    return np.concatenate(out)
+    spectrum = np.fft.rfft(frames * np.hanning(window).astype(np.float32), size)
+    return np.log10(1e-6 + np.abs(spectrum).astype(np.float32) ** 2 @ mel_bank(rate, size, bands))
 
 
 def segments(energy: np.ndarray, upper: float = UPPER, lower: float = LOWER) -> np.ndarray:
@@ -103,19 +114,22 @@ def segments(energy: np.ndarray, upper: float = UPPER, lower: float = LOWER) ->
     return runs[loud[runs[:, 1]] > loud[runs[:, 0]]]
 
 
-def features(samples: bytes, rate: int = RATE) -> dict:
-    """Log-mel frames, their time spans in patches, and active spans in seconds, of 8-bit samples."""
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-    y = resample(x)
-    new_rate = rate * UP // DOWN
-    mel = log_mel(y, new_rate)
-    y = np.pad(y, (0, max(0, WINDOW - len(y))))
-    squares = np.concatenate(([0.0], np.cumsum(y.astype(np.float64) ** 2)))
-    starts = np.arange(len(mel)) * HOP
-    energy = np.sqrt(np.maximum(0, squares[starts + WINDOW] - squares[starts]) / WINDOW)
-    active = segments(energy)
+def features(samples: bytes, rate: int = RATE, block: int = 4096) -> dict:
+    """Log-mel frames, their time spans in patches, and active spans in seconds, of 8-bit samples; in blocks of frames."""
+    x = np.frombuffer(samples, np.uint8)
+    new_rate, n = rate * UP // DOWN, resampled(len(x))
+    count = max(1, 1 + (n - WINDOW) // HOP)
+    mel, energy = np.empty((count, BANDS), np.float32), np.empty(count)
+    for at in range(0, count, block):
+        end = min(count, at + block)
+        stop = (end - 1) * HOP + WINDOW
+        y = resample(x, first=at * HOP, last=min(n, stop))
+        y = np.pad(y, (0, max(0, stop - at * HOP - len(y))))
+        frames = np.lib.stride_tricks.sliding_window_view(y, WINDOW)[::HOP]
+        mel[at:end] = log_mel(frames, new_rate)
+        energy[at:end] = np.sqrt((frames.astype(np.float64) ** 2).mean(axis=1))
     step = HOP / new_rate
-    spans = [(float(a * step), float((b - 1) * step + WINDOW / new_rate)) for a, b in active]
+    spans = [(float(a * step), float((b - 1) * step + WINDOW / new_rate)) for a, b in segments(energy)]
     patches = np.pad(mel, ((0, -len(mel) % PATCH), (0, 0)), constant_values=-6).reshape(-1, PATCH, BANDS)
     times = [(float(i * PATCH * step), float(min((i + 1) * PATCH, len(mel)) * step - step + WINDOW / new_rate)) for i in range(len(patches))]
     return {"mel": mel, "patches": patches, "patch_spans": times, "active_spans": spans, "energy": energy}
@@ -126,17 +140,52 @@ def tensor_column(patches: np.ndarray) -> pa.FixedShapeTensorArray:
     return pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(patches, dtype=np.float32))
 
 
+def stored_tensors(clips: list[dict]) -> bytes:
+    """The features of clips in Arrow's stream format: clip, start_s, end_s, active (a span of sound) or a tensor of PATCH frames by BANDS."""
+    out = io.BytesIO()
+    if not clips:
+        return b""
+    patches = np.concatenate([c["patches"] for c in clips])
+    spans = [(i, *span) for i, c in enumerate(clips) for span in c["patch_spans"]]
+    active = [(i, *span) for i, c in enumerate(clips) for span in c["active_spans"]]
+    kinds = (pa.int32(), pa.float64(), pa.float64())
+    table = pa.table([*(pa.array([s[k] for s in spans], kind) for k, kind in enumerate(kinds)), tensor_column(patches)], ["clip", "start_s", "end_s", "tensor"])
+    sounds = pa.table([pa.array([s[k] for s in active], kind) for k, kind in enumerate(kinds)], ["clip", "start_s", "end_s"])
+    for one in (table, sounds):
+        with pa.ipc.new_stream(out, one.schema) as writer:
+            writer.write_table(one)
+    return out.getvalue()
+
+
+def read_tensors(data: bytes) -> list[dict]:
+    """The clips of stored_tensors(): patches, patch_spans, active_spans; clips are numbered as they were."""
+    source = io.BytesIO(data)
+    if not data:
+        return []
+    table, sounds = (pa.ipc.open_stream(source).read_all() for _ in range(2))
+    patches = table.column("tensor").combine_chunks().to_numpy_ndarray()
+    spans = [np.column_stack([t.column(c).to_numpy() for c in ("clip", "start_s", "end_s")]) for t in (table, sounds)]
+    out = []
+    for i in range(int(spans[0][-1, 0]) + 1):
+        low, high = np.searchsorted(spans[0][:, 0], (i, i + 1))
+        a, z = np.searchsorted(spans[1][:, 0], (i, i + 1))
+        out.append({"patches": patches[low:high], "patch_spans": spans[0][low:high, 1:], "active_spans": spans[1][a:z, 1:]})
+    return out
+
+
 def summary(found: dict) -> str:
-    """A short text of the features: frames, active spans, mean energy, and a checksum of the tensors in steps of 1/16."""
-    tensor = np.rint(tensor_column(found["patches"]).to_numpy_ndarray() * 16).astype("<i2")
-    return f"frames={len(found['mel'])};patches={len(tensor)};spans={len(found['active_spans'])};energy={found['energy'].mean():.3f};mel={zlib.crc32(tensor.tobytes()):08x}"
+    """A short text of features as read back: patches, active spans and their seconds, checksums of the tensors (in steps of 1/16) and of all times (in milliseconds)."""
+    tensor = np.rint(found["patches"] * 16).astype("<i2")
+    times = np.rint(np.concatenate((found["patch_spans"], found["active_spans"])) * 1000).astype("<i8")
+    seconds = float((found["active_spans"][:, 1] - found["active_spans"][:, 0]).sum())
+    return f"patches={len(tensor)};active={len(found['active_spans'])};seconds={seconds:.3f};mel={zlib.crc32(tensor.tobytes()):08x};times={zlib.crc32(times.tobytes()):08x}"
 
 
-def stored(payload: bytes) -> tuple:
-    """Everything that the digest reports of one payload, from the bytes as stored and read back."""
+def stored(payload: bytes) -> tuple[tuple, dict]:
+    """Sizes and checksums of one payload as stored and read back, and the features of what was read."""
     media = to_wav(payload)
     back, rate = from_wav(media)
-    return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), summary(features(back, rate))
+    return (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest()), features(back, rate)
 
 
 def text_payload(data: bytes) -> bytes:
@@ -145,21 +194,21 @@ def text_payload(data: bytes) -> bytes:
 
 
 def clips(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every whole text as a clip: doc_id, media (WAV bytes), and its patches as rows of fixed-size tensors with time spans.
+    """The patches of every whole text's clip as rows: doc_id, patch, start_s, end_s, tensor (PATCH * BANDS values).
 
-    One row for each patch: doc_id, patch, start_s, end_s, tensor (PATCH * BANDS values). Null texts are empty clips
-    of 64 zero samples. Rows are independent of each other, so repeated rows give repeated clips.
+    Null texts are empty clips of 64 zero samples. Rows are independent of each other, so repeated rows give repeated
+    clips; an empty table gives no rows.
     """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, 1 << 20, text):
             for key, value in zip(batch.column(0), batch.column(1), strict=True):
                 found = features(*from_wav(to_wav(text_payload((value.as_py() or "").encode()))))
-                n = len(found["patches"])
-                tensors = tensor_column(found["patches"]).storage
-                spans = np.array(found["patch_spans"])
-                columns = [pa.array([key.as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(spans[:, 0]), pa.array(spans[:, 1]), tensors.cast(pa.list_(pa.float32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "patch", "start_s", "end_s", "tensor"])
+                spans, patches = np.array(found["patch_spans"]), found["patches"]
+                for at in range(0, len(patches), 1024):
+                    part, times = patches[at : at + 1024], spans[at : at + 1024]
+                    columns = [pa.array([key.as_py()] * len(part), pa.int64()), pa.array(range(at, at + len(part)), pa.int32()), pa.array(times[:, 0]), pa.array(times[:, 1]), tensor_column(part).storage.cast(pa.list_(pa.float32()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "patch", "start_s", "end_s", "tensor"])
 
     return docs.select(doc_id, text).mapInArrow(made, "doc_id long, patch int, start_s double, end_s double, tensor array<float>")
 
@@ -167,16 +216,20 @@ def clips(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: sizes and checksums of its clip as stored and read back, and its features as text.
 
-    A null text is empty. Equal texts give equal values; ids may be null or repeated; other columns are left out.
+    The features of a slice of rows are stored as tensors and time spans and read back before they are summed up. A null text
+    is empty. Equal texts give equal values; ids may be null or repeated; other columns are left out. An empty table gives no rows.
     """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
+        for batch in in_slices(batches, 1 << 20, text):
+            rows, found = [], []
             for value in batch.column(1):
                 data = (value.as_py() or "").encode()
-                rows.append((len(data), *stored(text_payload(data))))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
+                sizes, feature = stored(text_payload(data))
+                rows.append((len(data), *sizes))
+                found.append(feature)
+            texts = [summary(f) for f in read_tensors(stored_tensors(found))]
+            columns = [*zip(*rows, strict=True), texts]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))],

@@ -33,13 +33,69 @@ def test_signal():
     found = audio.features(samples)
     assert len(found["active_spans"]) == 1 and abs(found["active_spans"][0][0] - 0.3) < 0.05 and abs(found["active_spans"][0][1] - 0.6) < 0.05
     low, high = (audio.resample(np.sin(2 * np.pi * f * t).astype(np.float32)) for f in (1000, 7000))
-    assert len(low) == 8000 and abs(np.abs(low[100:-100]).max() - 1) < 0.05 and np.abs(high[100:-100]).max() < 0.05
+    assert len(low) == 10000 and abs(np.abs(low[100:-100]).max() - 1) < 0.05 and np.abs(high[100:-100]).max() < 0.05
     assert np.allclose(audio.resample(np.ones(400, np.float32), 3, 2)[50:-50], 1, atol=0.02)
     peak = np.argmax(found["mel"][len(found["mel"]) // 2 - 5])
-    centre = 2595 * np.log10(1 + 1000 / 700) / (2595 * np.log10(1 + 4000 / 700)) * (audio.BANDS + 1) - 1
+    centre = 2595 * np.log10(1 + 1000 / 700) / (2595 * np.log10(1 + 5000 / 700)) * (audio.BANDS + 1) - 1
     assert abs(peak - centre) <= 1
 
 
+def slow_features(samples):
+    """The same features by their definitions, sample by sample."""
+    x = (np.frombuffer(samples, np.uint8).astype(float) - 128) / 128
+    up, down = audio.UP, audio.DOWN
+    n = 12 * max(up, down)
+    t = np.arange(-n, n + 1)
+    h = np.sinc(t / max(up, down)) / max(up, down) * np.hamming(2 * n + 1) * up
+    wide = np.zeros(len(x) * up)
+    wide[::up] = x
+    length = -(-len(x) * up // down)
+    shift = (len(np.pad(h, (0, -len(h) % up))) // 2) // up * up  # the filter's middle, in whole input samples
+    full = np.convolve(wide, h)
+    y = np.array([full[k] if (k := m * down + shift) < len(full) else 0.0 for m in range(length)])
+    y = np.pad(y, (0, max(0, audio.WINDOW - length)))
+    rate = audio.RATE * up // down
+    bank = audio.mel_bank(rate, 256, audio.BANDS)
+    mel, energy = [], []
+    for at in range(0, len(y) - audio.WINDOW + 1, audio.HOP):
+        frame = y[at : at + audio.WINDOW]
+        energy.append(np.sqrt((frame**2).mean()))
+        power = np.abs(np.fft.rfft(frame * np.hanning(audio.WINDOW), 256)) ** 2
+        mel.append([np.log10(1e-6 + sum(power[b] * bank[b, m] for b in range(129))) for m in range(audio.BANDS)])
+    return np.array(mel), np.array(energy)
+
+
+def test_features_by_definition_and_in_blocks():
+    rng = np.random.default_rng(6)
+    for n in (64, 320, 3200, 40_000):
+        samples = rng.integers(0, 256, n, dtype=np.uint8).tobytes()
+        mel, energy = slow_features(samples)
+        for block in (7, 4096):
+            found = audio.features(samples, block=block)
+            assert found["mel"].shape == mel.shape and np.allclose(found["mel"], mel, atol=2e-3)
+            assert np.allclose(found["energy"], energy, atol=1e-4)
+    assert audio.low_pass(audio.UP, audio.DOWN).shape[0] == audio.UP > 1
+
+
+def test_tensors_are_stored_with_their_spans():
+    clips = [audio.features(bytes([128]) * 64), audio.features(np.random.default_rng(1).integers(0, 256, 9000, dtype=np.uint8).tobytes())]
+    back = audio.read_tensors(audio.stored_tensors(clips))
+    for a, b in zip(clips, back, strict=True):
+        assert np.array_equal(a["patches"], b["patches"]) and np.allclose(a["patch_spans"], b["patch_spans"])
+        assert np.allclose(np.array(a["active_spans"]).reshape(-1, 2), b["active_spans"])
+    assert audio.read_tensors(audio.stored_tensors([])) == []
+
+
+def test_a_very_long_text_takes_bounded_memory():
+    import tracemalloc
+
+    samples = np.random.default_rng(2).integers(0, 256, 8 << 20, dtype=np.uint8).tobytes()
+    tracemalloc.start()
+    audio.features(samples)
+    assert tracemalloc.get_traced_memory()[1] < 8 * len(samples)
+    tracemalloc.stop()
+
+
 def test_hysteresis():
     energy = np.array([0, 3, 9, 3, 0, 3, 3, 0, 10, 0], float)
     assert audio.segments(energy).tolist() == [[1, 4], [8, 9]]
