@@ -91,13 +91,15 @@ class Places:
 
     Of each row: ids, absent (no id), held, size (tokens). Of each place: token (number among the pack's distinct ones), row,
     within (place in the row). Of each distinct token: name (given by the owner), code (see coded()). Of the open places:
-    logp, own (code of the context that ends there), bound (at most the training count of the context before) and shares (over
-    how many ranges that one is dealt). total: each row's log probability in all places that are not open.
+    logp, own (code of the context that ends there) and shares (over how many ranges the context before is dealt). total: each
+    row's log probability in all places that are not open. While contexts have one token only, fan, times and state say for
+    each distinct token what it is as a context; logp then follows from these and needs no room.
     """
 
-    TOKENS = {"ids": np.int64, "absent": np.uint8, "held": np.uint8, "size": np.uint32, "token": np.uint32}
+    TOKENS = {"ids": np.int64, "absent": np.uint8, "held": np.uint8, "size": np.uint32, "token": np.uint32, "order": np.uint32}
     NAMES = {"name": np.uint64, "code": np.uint32}
-    OPEN = {"total": np.float64, "open": np.uint32, "logp": np.float32, "own": np.uint32, "bound": np.uint32, "shares": np.uint32}
+    OPEN = {"total": np.float64, "open": np.uint32, "logp": np.float32, "own": np.uint32, "shares": np.uint32}
+    FIRST = {"total": np.float64, "open": np.uint32, "own": np.uint32, "shares": np.uint32, "fan": np.uint32, "times": np.uint32, "state": np.uint8}
 
     def packed(self, kinds: dict) -> bytes:
         return squeezed(*(np.asarray(steps(self.open) if name == "open" else getattr(self, name)).astype(kind) for name, kind in kinds.items()))
@@ -110,10 +112,10 @@ class Places:
             ends = np.cumsum(self.size, dtype=np.int64)
             self.within = np.arange(len(self.token)) - np.repeat(ends - self.size, self.size)
 
-    def narrowed(self, stay: np.ndarray, logp: np.ndarray, own: np.ndarray, bound: np.ndarray, shares: np.ndarray) -> None:
+    def narrowed(self, stay: np.ndarray, logp: np.ndarray, own: np.ndarray, shares: np.ndarray) -> None:
         """Close the open places that don't stay; new values of the others."""
         self.total = self.total + np.bincount(self.row[self.open[~stay]], weights=logp[~stay], minlength=len(self.size))
-        self.open, self.logp, self.own, self.bound, self.shares = self.open[stay], logp[stay], own[stay], bound[stay], shares[stay]
+        self.open, self.logp, self.own, self.shares = self.open[stay], logp[stay], own[stay], shares[stay]
 
     def root(self, tokens: int, different: int) -> np.ndarray:
         """Log probability of every place's token in the root."""
@@ -122,9 +124,21 @@ class Places:
     def opened(self, buckets: int, tokens: int, different: int) -> None:
         """Open all places whose context of one token occurs twice or more."""
         code = self.code[self.token]
-        bound = np.concatenate(([0], code[:-1] >> 1))
+        times = np.concatenate(([0], code[:-1] >> 1))
         self.open, self.total = np.arange(len(self.token)), np.zeros(len(self.size))
-        self.narrowed((self.within > 0) & (bound >= 2), self.root(tokens, different), code, bound, dealt(bound, buckets, tokens))
+        self.narrowed((self.within > 0) & (times >= 2), self.root(tokens, different), code, dealt(times, buckets, tokens))
+
+    def after_first(self, tokens: int, different: int) -> None:
+        """logp of the open places where contexts of one token are known."""
+        context = self.token[self.open - 1]
+        self.logp = smoothed(self.root(tokens, different)[self.open], self.own >> 1, self.state[context] > 0, self.fan[context].astype(np.float64), self.times[context].astype(np.float64))
+
+
+def smoothed(logp: np.ndarray, count: np.ndarray, state: np.ndarray, fan: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Log probabilities in contexts: those of the parent, or in a state the smoothed ones."""
+    out = logp.astype(np.float64)
+    out[state] = np.log((count[state] + fan[state] * np.exp(out[state])) / (times[state] + fan[state]))
+    return out
 
 
 def dealt(times: np.ndarray, buckets: int, tokens: int) -> np.ndarray:
@@ -148,7 +162,11 @@ def tokenised(batch: pa.RecordBatch, folds: int, held: int) -> tuple[Places, np.
     ids = batch.column(0).to_pylist()
     places.ids, places.absent = np.array([i or 0 for i in ids]), np.array([i is None for i in ids])
     places.held = np.array([zlib.crc32(b"" if i is None else str(i).encode()) % folds == held for i in ids], bool)
-    places.size, places.token = size, local
+    # frequent tokens get small numbers, which take less room
+    places.order = np.argsort(-np.bincount(local), kind="stable")
+    rank = np.empty(len(hashes), np.int64)
+    rank[places.order] = np.arange(len(hashes))
+    places.size, places.token = size, rank[local]
     out = np.repeat(places.held, size)
     train = np.bincount(local[~out], minlength=len(hashes)).astype(np.uint32)
     elsewhere = np.bincount(local[out], minlength=len(hashes)) > 0
@@ -164,8 +182,8 @@ def unigram_requests(hashes: np.ndarray, train: np.ndarray, elsewhere: np.ndarra
 def learn_unigrams(pack: Places, answers: list[tuple[int, bytes]], buckets: int) -> None:
     """Counts and names of this pack's tokens."""
     parts = [(b, *unsqueezed(blob, np.uint32, np.uint32)) for b, blob in sorted(answers)]
-    pack.code = np.concatenate([p[1] for p in parts])
-    pack.name = np.concatenate([p[2].astype(np.uint64) * np.uint64(buckets) + np.uint64(p[0]) for p in parts])
+    pack.code = np.concatenate([p[1] for p in parts])[pack.order]
+    pack.name = np.concatenate([p[2].astype(np.uint64) * np.uint64(buckets) + np.uint64(p[0]) for p in parts])[pack.order]
 
 
 class Level:
@@ -245,15 +263,16 @@ class Level:
         own[self.lone] = 3
         own[self.named] = pairs[self.pair_of]
         times = own >> 1
-        logp = pack.logp.astype(np.float64)
-        here = state[self.of]
-        of = self.of[here]
-        logp[here] = np.log((times[here] + fan[of] * np.exp(logp[here])) / (n[of] + fan[of]))
-        bound = np.minimum(pack.bound, n[self.of])
+        logp = smoothed(pack.logp, times, state[self.of], fan[self.of], n[self.of])
+        bound = n[self.of]
         after = np.flatnonzero(np.diff(pack.open) == 1) + 1  # the place before is open too and tells how often the longer context occurs
         bound[after] = np.minimum(bound[after], times[after - 1])
         stay = hopeful[self.of] & (bound >= 2) & (pack.within[pack.open] > self.depth)
-        pack.narrowed(stay, logp, own, bound, dealt(n, self.buckets, self.tokens)[self.of])
+        if self.depth == 1:
+            pack.fan, pack.times, pack.state = (np.zeros(len(pack.name), kind) for kind in (np.uint32, np.uint32, np.uint8))
+            context = pack.token[pack.open - 1]
+            pack.fan[context], pack.times[context], pack.state[context] = fan[self.of], n[self.of], state[self.of]
+        pack.narrowed(stay, logp, own, dealt(n, self.buckets, self.tokens)[self.of])
 
 
 def judged(fan: np.ndarray, once: np.ndarray, more: np.ndarray, gained: np.ndarray, inner: np.ndarray, surprise: np.ndarray, least_gain: float) -> tuple:
@@ -273,9 +292,11 @@ def owned_unigrams(blobs: list[bytes]) -> tuple[list[bytes], int, int]:
     names = [np.cumsum(a[0], dtype=np.uint64) for a in asked]
     keys, inverse = numbered(np.concatenate(names))
     totals = np.bincount(inverse, weights=np.concatenate([a[1] for a in asked]), minlength=len(keys)).astype(np.uint64)
+    number = np.empty(len(keys), np.uint32)
+    number[np.argsort(-totals.astype(np.int64), kind="stable")] = np.arange(len(keys))  # frequent tokens get small numbers
     codes = coded(totals, np.bincount(inverse, weights=np.concatenate([a[2] for a in asked]), minlength=len(keys)) > 0)
     bounds = np.cumsum([0] + [len(x) for x in names])
-    return [squeezed(codes[inverse[a:b]], inverse[a:b].astype(np.uint32)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], int(totals.sum()), int(np.count_nonzero(totals))
+    return [squeezed(codes[inverse[a:b]], number[inverse[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], int(totals.sum()), int(np.count_nonzero(totals))
 
 
 def owned_contexts(blobs: list[bytes], least_gain: float) -> list[bytes]:
@@ -382,6 +403,9 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, depth: int = 6, least_
             places.unpacked(got(f"{folder}/names", str(pack)), Places.NAMES)
         if level <= 1:
             places.opened(buckets, tokens, different)
+        elif level == 2:
+            places.unpacked(got(f"{folder}/{level}", str(pack)), Places.FIRST)
+            places.after_first(tokens, different)
         else:
             places.unpacked(got(f"{folder}/{level}", str(pack)), Places.OPEN)
         if level and answers:
@@ -391,7 +415,11 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, depth: int = 6, least_
     def asking(level: int, tokens: int, different: int):
         def made(table: pa.Table) -> pa.Table:
             pack, places = learned(table, level - 1, tokens, different)
-            if level > 1:
+            if level == 2:
+                if not hasattr(places, "fan"):  # no place of this pack has a context
+                    places.fan = places.times = places.state = np.zeros(len(places.name))
+                put(f"{folder}/{level}", str(pack), places.packed(Places.FIRST))
+            elif level > 2:
                 put(f"{folder}/{level}", str(pack), places.packed(Places.OPEN))
                 places.logp = places.logp.astype(np.float32)  # as it will be read
             return pa.Table.from_batches([asked(pack, Level(places, level, buckets, tokens).requests() if len(places.open) else [])])
