@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,22 +23,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaning(spark: SparkSession):
+    """What is executed within leaves no shuffle files behind once it has ended; a plan executed again makes them again."""
+    before = spark.conf.get(CLEAN)
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df once in the shared checkpoint folder and cut its lineage."""
+    """Materialise df once in the shared checkpoint folder, cut its lineage, and remove the shuffle files that it took."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+    with cleaning(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a plan made here knows of the setting
 
-def tidy(spark: SparkSession) -> None:
-    """Have the driver forget finished plans at once, so that the cleaner removes their shuffle files from all disks.
 
-    Otherwise they stay until the driver's memory happens to fill. To be called where a large pass has been cut and
-    nothing refers to its plan any more.
-    """
-    for _ in range(2):  # Python's references reach the JVM with a delay, so the first round lets go and the second finds what is free
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+def released(df: DataFrame) -> None:
+    """Remove the checkpoint that cut() made for df, which nothing may read any more."""
+    found = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if found.isDefined():
+        dropped(found.get())
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -48,7 +57,8 @@ def saved(df: DataFrame) -> DataFrame:
     A checkpoint keeps the estimate of the plan that made it; in a loop of joins that number grows with every round.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/saved-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with cleaning(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import checkpoint_dir, cut, dropped, got, in_slices, partitions, put, share_count, text_bytes, text_size, tidy
+from newsloom.llm.common import checkpoint_dir, cut, dropped, got, in_slices, partitions, put, released, share_count, text_bytes, text_size
 from newsloom.llm.pretoken import mixed
 from newsloom.llm.windows import bucket_of, from_planes, lowered, planes, word_hashes
 
@@ -443,16 +443,15 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, depth: int = 6, least_
     requests = docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(begun, ASKED)
     answers = cut(requests.repartition(width, "bucket").groupBy("bucket").applyInArrow(told(owned_unigrams), TOLD))
     sums = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("different"), F.lit(0)).alias("different")).first()
-    tidy(spark)
     level = 0
     while level < depth and not answers.where("blob is not null").isEmpty():
         level += 1
         requests = answers.where("pack >= 0").select("bucket", "pack", "blob").repartition(width, "pack").groupBy("pack").applyInArrow(asking(level, *sums), ASKED)
-        answers = cut(requests.repartition(width, "bucket").groupBy("bucket").applyInArrow(told(lambda blobs: owned_contexts(blobs, least_gain)), TOLD))
+        earlier, answers = answers, cut(requests.repartition(width, "bucket").groupBy("bucket").applyInArrow(told(lambda blobs: owned_contexts(blobs, least_gain)), TOLD))
         dropped(f"{folder}/{level - 1}")  # this level's answers are saved, so nothing reads the places of the last any more
-        del requests
-        tidy(spark)
+        released(earlier)
     scores = answers.where("pack >= 0").select("bucket", "pack", "blob").repartition(width, "pack").groupBy("pack").applyInArrow(scoring(level, *sums), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     scores = cut(scores)
     dropped(folder)
+    released(answers)
     return scores
