@@ -1,8 +1,8 @@
 """Packing of documents into training sequences by first-fit decreasing.
 
-Texts are encoded, closed with an end id and cut into pieces of at most one sequence. Whole pieces fill a sequence
-alone. The rest are dealt into groups by a hash, and each group is packed by itself: pieces in order of falling
-length go into the first open sequence with room, found by walking down a tournament tree of free space.
+Texts are encoded, closed with an end id and cut into pieces of at most one sequence. Documents are dealt into groups at
+random, all pieces of one together, and each group is packed by itself: pieces in order of falling length go into the
+first open sequence with room, found by walking down a tournament tree of free space.
 """
 
 from __future__ import annotations
@@ -12,13 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import in_slices, text_bytes
 from newsloom.llm.pretoken import library_words
 
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: deal is a number for each row of documents, by which its pieces are dealt; pack() drops it.
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,13 +52,14 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = 2048, end_id: int = 1, style: str = "word", with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's ids and end_id, cut into pieces of ``sequence`` and a rest; with_ids adds them as bytes (4 each, little-endian).
 
-    A null or empty text gives one piece that holds only end_id. Ids of rows may be null or repeated.
+    A null or empty text gives one piece that holds only end_id. Ids of rows may be null or repeated. An empty table gives no pieces.
     """
     schema = PIECE + (", ids binary" if with_ids else "")
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = library_words(tokenizer_path, style)
+        deal = TaskContext.get().partitionId() << 40  # rows of one input partition are numbered, so that repeated rows part
         for batch in in_slices(batches, 2 << 20, text):
             ids, bounds = words.encode(*text_bytes(batch.column(1)))
             rows = []
@@ -64,8 +67,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = 2048, end_id: i
                 own = np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end_id)).astype("<u4")
                 for at in range(0, len(own), sequence):
                     data = own[at : at + sequence].tobytes()
-                    rows.append((key, at, len(data) // 4, zlib.crc32(data), len(own), *([data] if with_ids else [])))
-            kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
+                    rows.append((key, at, len(data) // 4, zlib.crc32(data), len(own), deal, *([data] if with_ids else [])))
+                deal += 1
+            kinds = [pa.int64()] * 6 + [pa.binary()] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return docs.select(F.col(doc_id).cast("long").alias(doc_id), text).mapInArrow(made, schema)
@@ -75,11 +79,11 @@ def pack(cut: DataFrame, documents: int, sequence: int = 2048, group: int = 4096
     """cut with sequence_id and offset: each sequence holds at most ``sequence`` ids, gapless from offset 0.
 
     ``documents`` is about how many rows there are: groups have about ``group`` of them each, however many there are,
-    which bounds a task's memory. Groups are dealt by a hash of the piece; repeated rows may share one.
-    sequence_id is the group's number times 2**32 plus the sequence's number in its group.
+    which bounds a task's memory, whatever the rows hold. sequence_id is the group's number times 2**32 plus the sequence's
+    number in its group. An empty table gives no rows.
     """
     groups = max(1, -(-documents // group))
-    keyed = cut.withColumn("_group", F.pmod(F.xxhash64(F.lit("packing"), "doc_id", "start", "ids_crc32"), F.lit(groups)))
+    keyed = cut.withColumn("_group", F.pmod(F.xxhash64(F.lit("packing"), "deal"), F.lit(groups))).drop("deal")
 
     def packed(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
@@ -87,7 +91,7 @@ def pack(cut: DataFrame, documents: int, sequence: int = 2048, group: int = 4096
         first = table.column("_group").to_numpy() << 32
         return table.drop_columns(["_group"]).append_column("sequence_id", pa.array(first + bins)).append_column("offset", pa.array(offsets))
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name != "deal") + ", sequence_id long, offset long"
     return keyed.groupBy("_group").applyInArrow(packed, schema)
 
 
