@@ -92,18 +92,21 @@ def calibrate(x: np.ndarray, good: np.ndarray, rounds: int = 50) -> tuple[float,
     return float(w[0] / scale), float(w[1])
 
 
-def fit(documents: DataFrame, labels: DataFrame, per_class: int = 600, dictionary_bytes: int = 64 << 10, block: int = 1024, level: int = 3, folds: int = 5) -> QualityModel:
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = 600, dictionary_bytes: int = 64 << 10, block: int = 1024, level: int = 3, folds: int = 5, text_bytes: int = 1 << 20) -> QualityModel:
     """Learn from labelled documents whose fold is not 0.
 
-    per_class bounds the sample: that many labelled rows of either class, the first by a hash of the id, so the
-    same rows at any parallelism. Half of them build the dictionaries, the other half calibrates. Without any
-    usable label (empty tables, null labels) the model scores every text 0.5.
+    per_class and text_bytes bound the sample: that many labelled ids of either class, the first by a hash of the id, so
+    the same rows at any parallelism, and of each at most so many characters. An id labelled both ways teaches nothing; of
+    several texts with one id the least in order counts. Half of the sample builds the dictionaries, the other half calibrates.
+    Without any usable label (empty tables, null labels) the model scores every text 0.5.
     """
-    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != 0)).select("doc_id", F.col("quality").alias("_good"))
-    picked = [usable.where(F.col("_good") == kind).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for kind in (0, 1)]
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != 0)).groupBy("doc_id")
+    usable = known.agg(F.min("quality").alias("_good"), F.max("quality").alias("_other")).where("_good = _other").select("doc_id", "_good")
+    picked = [usable.where(F.col("_good") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for kind in (0, 1)]
     # at most 2 * per_class ids of 12 bytes: the parameter bounds what is broadcast
     sample = F.broadcast(picked[0].unionByName(picked[1]))
-    rows = documents.select("doc_id", "text").join(sample, "doc_id").where(F.length("text") > 0).collect()
+    texts_of = documents.select("doc_id", "text").join(sample, "doc_id").where(F.length("text") > 0).groupBy("doc_id", "_good").agg(F.min("text").alias("text"))
+    rows = texts_of.select("doc_id", "_good", F.left("text", F.lit(text_bytes)).alias("text")).collect()
     texts: dict[int, list[bytes]] = {0: [], 1: []}
     for row in sorted(rows, key=lambda r: (r.doc_id * 2654435761 % 2**32, r.doc_id, r.text)):
         texts[row._good].append(row.text.encode())

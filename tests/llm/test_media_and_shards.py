@@ -1,7 +1,10 @@
+import bisect
 import hashlib
+import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from newsloom.llm import audio, sharding
 
@@ -118,3 +121,35 @@ def test_shards_are_even_with_a_hot_text(spark):
     for r in got:
         sizes[r.shard] = sizes.get(r.shard, 0) + r.size
     assert len(sizes) == 8 and max(sizes.values()) < 1.05 * min(sizes.values())
+
+
+def test_ranges_are_looked_up_exactly(spark):
+    """Several hundred ranges, some of them divided keys, against a search in a list."""
+    rng = random.Random(3)
+    keys = sorted({rng.randrange(-(1 << 63), 1 << 63) for _ in range(400)} | {-(1 << 63), -1, 0, (1 << 63) - 1})
+    ranges = [(k, 1 + 3 * (i % 9 == 0)) for i, k in enumerate(keys)]
+    points = [(k + d, rng.randrange(-(1 << 63), 1 << 63)) for k in keys for d in (-1, 0, 1) if -(1 << 63) <= k + d < 1 << 63]
+    points += [(rng.randrange(-(1 << 63), 1 << 63), rng.randrange(-(1 << 63), 1 << 63)) for _ in range(2000)]
+    firsts = [sum(p for _, p in ranges[:i]) for i in range(len(ranges))]
+    df = spark.createDataFrame(points, "_key long, _row long")
+    for r in sharding.ranged(df, ranges).collect():
+        i = bisect.bisect_right(keys, r._key) - 1
+        parts = ranges[i][1]
+        part = min(int((r._row / 2**64 + 0.5) * parts), parts - 1)
+        assert (r._range, r._whole) == (firsts[i] + part, parts == 1)
+    assert {r._range for r in sharding.ranged(df, []).collect()} == {0}
+
+
+def test_placement_is_the_line_of_all_bytes(spark):
+    """Every shard holds a run of keys, as a plain walk over the sorted texts would give it, up to the one text at either border."""
+    rng = random.Random(4)
+    rows = [(i, f"{rng.random()} " * rng.randint(1, 60)) for i in range(2500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in sharding.shard(df, 8, ranges=300).collect()}
+    key = {r.doc_id: r.k for r in df.select("doc_id", F.xxhash64("text").alias("k")).collect()}
+    total, at = sum(r.size for r in got.values()), 0
+    for i in sorted(key, key=key.get):
+        assert got[i].shard == min(7, int((at + got[i].size / 2) // (total / 8)))
+        at += got[i].size
+    order = [got[i].shard for i in sorted(key, key=key.get)]
+    assert order == sorted(order)

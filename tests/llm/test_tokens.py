@@ -123,6 +123,19 @@ def test_packing(docs, rows, none):
     assert packing.pack(packing.pieces(none, WORD, 64), 0, 64).count() == 0
 
 
+def test_groups_are_of_documents_and_bounded(spark):
+    rows = [(7, "one same text of some words")] * 900 + [(i, "a b c " * (i % 50)) for i in range(100)]
+    cut = packing.pieces(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), WORD, 16)
+    got = packing.pack(cut, 1000, 16, group=50).collect()
+    groups, of = {}, {}
+    for r in got:
+        groups.setdefault(r.sequence_id >> 32, []).append(r)
+        if r.doc_id != 7:
+            of.setdefault(r.doc_id, set()).add(r.sequence_id >> 32)
+    assert max(len({(r.doc_id, r.start, r.sequence_id, r.offset) for r in g if r.start == 0}) for g in groups.values()) < 110
+    assert all(len(g) == 1 for g in of.values())
+
+
 def test_first_fit_decreasing():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 65, 300)
