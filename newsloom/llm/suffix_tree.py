@@ -265,14 +265,16 @@ class Level:
         times = own >> 1
         logp = smoothed(pack.logp, times, state[self.of], fan[self.of], n[self.of])
         bound = n[self.of]
-        after = np.flatnonzero(np.diff(pack.open) == 1) + 1  # the place before is open too and tells how often the longer context occurs
+        # where the place before is open too, it tells how often the longer context occurs; whether it is open follows from the
+        # context alone, so all packs have the same bound for a context and deal it alike
+        after = np.flatnonzero(np.diff(pack.open) == 1) + 1
         bound[after] = np.minimum(bound[after], times[after - 1])
         stay = hopeful[self.of] & (bound >= 2) & (pack.within[pack.open] > self.depth)
         if self.depth == 1:
             pack.fan, pack.times, pack.state = (np.zeros(len(pack.name), kind) for kind in (np.uint32, np.uint32, np.uint8))
             context = pack.token[pack.open - 1]
             pack.fan[context], pack.times[context], pack.state[context] = fan[self.of], n[self.of], state[self.of]
-        pack.narrowed(stay, logp, own, dealt(n, self.buckets, self.tokens)[self.of])
+        pack.narrowed(stay, logp, own, dealt(bound, self.buckets, self.tokens))
 
 
 def judged(fan: np.ndarray, once: np.ndarray, more: np.ndarray, gained: np.ndarray, inner: np.ndarray, surprise: np.ndarray, least_gain: float) -> tuple:
