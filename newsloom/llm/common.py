@@ -38,17 +38,25 @@ def cleaning(spark: SparkSession):
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df once in the shared checkpoint folder, cut its lineage, and remove the shuffle files that it took."""
-    checkpoint_dir(df.sparkSession)
-    with cleaning(df.sparkSession):
-        return df.select("*").checkpoint(eager=True)  # a plan made here knows of the setting
+    """Materialise df once in the shared checkpoint folder, cut its lineage, and remove the shuffle files that it took.
+
+    What comes back has no estimate of its size: a checkpoint keeps that of its plan, which in a loop of joins or
+    cogroups is a product that grows with every round until the planner can't hold it.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    with cleaning(spark):
+        made = df.select("*").checkpoint(eager=True)._jdf  # a plan made here knows of the setting
+    found = made.queryExecution().logical().rdd().getCheckpointFile()
+    plain = DataFrame(spark._jsparkSession.internalCreateDataFrame(made.queryExecution().toRdd(), made.schema(), False), spark)
+    plain.checkpoint_file = found.get() if found.isDefined() else None
+    return plain
 
 
 def released(df: DataFrame) -> None:
     """Remove the checkpoint that cut() made for df, which nothing may read any more."""
-    found = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
-    if found.isDefined():
-        dropped(found.get())
+    if getattr(df, "checkpoint_file", None):
+        dropped(df.checkpoint_file)
 
 
 def saved(df: DataFrame) -> DataFrame:

@@ -3,17 +3,21 @@
 Equal vectors are one node. Nodes are dealt into cells by the signs of random projections and begin with their
 nearest within the cells of a few such trees. Then neighbours of neighbours are joined: each cell asks the others for the vectors of its
 nodes' neighbours, compares the neighbours of each node with each other, and proposes close pairs to their
-cells, which keep the nearest. Queries start at their own place in the graph and expand the nearest nodes found so far.
+cells, which keep the nearest. Queries start at their own place in the graph and expand the nearest nodes found so far;
+how many of these are worth expanding (the width) is doubled until a sample of the queries finds its true neighbours.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import cut
+from newsloom.llm.common import cut, partitions
 
 #: A node's address: its cell times 2**32, plus its place there.
 CELL = 32
@@ -273,15 +277,29 @@ def descend(state: DataFrame, k: int) -> DataFrame:
     return merged(state, proposed, k)
 
 
+NET = "cell int, n int, vectors binary, first binary, next binary"
+
+
 def edges(state: DataFrame) -> DataFrame:
-    """(address, next): each node's neighbours in both directions."""
+    """NET: each cell's vectors and the neighbours of its nodes in both directions (addresses; first: where each node's begin)."""
 
-    def made(table: pa.Table) -> pa.Table:
-        mine = Cell(table.to_pylist()[0])
-        lists = [np.unique(row[row >= 0]) for row in mine.around()]
-        return pa.table({"address": pa.array(np.arange(mine.n) + (mine.cell << CELL), pa.int64()), "next": pa.array([x.tolist() for x in lists], pa.list_(pa.int64()))})
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                mine = Cell(row)
+                lists = [np.unique(x[x >= 0]) for x in mine.around()]
+                yield net_row(mine.cell, mine.vectors, lists).to_batches()[0]
 
-    return state.groupBy("cell").applyInArrow(made, "address long, next array<long>")
+    return state.mapInArrow(made, NET)
+
+
+def net_row(cell: int, vectors: np.ndarray, lists: list[np.ndarray]) -> pa.Table:
+    """One row of NET."""
+    first = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+    parts = {"cell": pa.array([cell], pa.int32()), "n": pa.array([len(vectors)], pa.int32())}
+    for name, x in (("vectors", vectors.astype(np.float32)), ("first", first.astype(np.int32)), ("next", np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64))):
+        parts[name] = pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())
+    return pa.table(parts)
 
 
 def fresh_entries(state: DataFrame) -> int:
@@ -289,8 +307,8 @@ def fresh_entries(state: DataFrame) -> int:
     return state.agg(F.expr("sum(length(hex(fresh)) - length(replace(hex(fresh), '1', '')))").alias("n")).first()["n"] or 0
 
 
-def graph(found: DataFrame, k: int = 20, rounds: int | None = None, cell: int = 400, trees: int = 4, seed: int = 7, few: float = 0.001) -> DataFrame:
-    """address, id, vec, ids, next for every node: the neighbour graph of found (id, vec, ids) after NN-descent.
+def graph(found: DataFrame, k: int = 20, rounds: int | None = None, cell: int = 400, trees: int = 4, seed: int = 7, few: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """(address, id, vec, ids) of every node, and NET: the neighbour graph of found (id, vec, ids) after NN-descent.
 
     Rounds go on until no more than ``few`` of all list entries are new, or for ``rounds`` where that is given. It begins with the nearest in the cells of several trees of projections, which overlap and so connect the graph.
     """
@@ -304,7 +322,7 @@ def graph(found: DataFrame, k: int = 20, rounds: int | None = None, cell: int =
     while done != rounds and fresh_entries(state) > few * total * k:
         state = cut(descend(state, k))
         done += 1
-    return cut(placed.join(edges(state), "address").select("address", "id", "vec", "ids", "next"))
+    return placed.select("address", "id", "vec", "ids"), cut(edges(state))
 
 
 def distance(a: str, b: str):
@@ -312,27 +330,208 @@ def distance(a: str, b: str):
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda total, x: total + x))
 
 
-def search(net: DataFrame, queries: DataFrame, keep: int, width: int = 200, step: int = 28) -> DataFrame:
-    """(query_id, id, ids, d): the ``keep`` nearest nodes that greedy search reaches, and all as near as the last of them. queries: query_id, qvec, address of the start.
+BEAM = "part int, open long, blob binary"
+#: Queries of one part of a beam.
+PART = 64
+
+
+def blob(*columns: np.ndarray) -> bytes:
+    """Columns of one length, end to end."""
+    return np.int64(len(columns[0])).tobytes() + b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+
+
+def unblob(data: bytes, *kinds) -> list[np.ndarray]:
+    """The columns of blob()."""
+    n, at, out = int(np.frombuffer(data, np.int64, 1)[0]), 8, []
+    for kind in kinds:
+        out.append(np.frombuffer(data, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
+FOUND = (np.int32, np.int64, np.float32, np.bool_)
+
+
+def together(blobs: list[bytes], *kinds) -> list[np.ndarray]:
+    """The columns of many blobs, one after the other."""
+    parts = [unblob(b, *kinds) for b in blobs]
+    return [np.concatenate([np.zeros(0, kind), *(p[i] for p in parts)]) for i, kind in enumerate(kinds)]
+
+
+def turn(owner: np.ndarray, done: np.ndarray, width: int, step: int) -> np.ndarray:
+    """Which nodes to expand: of each query the ``step`` nearest that are not expanded, among its ``width`` nearest. In order of owner and distance."""
+    rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    open_ = ~done & (rank < width)
+    before = np.cumsum(open_) - open_
+    return open_ & (before - before[np.searchsorted(owner, owner)] < step)
+
+
+def by_cell(owner: np.ndarray, address: np.ndarray) -> pa.Table:
+    """(cell, blob): queries and places, by the cell to which the addresses belong; each pair once."""
+    order = np.lexsort((owner, address))
+    owner, address = owner[order], address[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (address[1:] != address[:-1])
+    owner, address = owner[new], address[new]
+    cell = address >> CELL
+    edge = np.flatnonzero(np.diff(cell, prepend=-1, append=-1)) if len(cell) else np.zeros(0, np.int64)
+    rows = [(int(cell[a]), blob(owner[a:z].astype(np.int32), (address[a:z] & 0xFFFFFFFF).astype(np.int32))) for a, z in zip(edge[:-1], edge[1:], strict=True)]
+    return pa.table({"cell": pa.array([c for c, _ in rows], pa.int32()), "blob": pa.array([x for _, x in rows], pa.binary())})
+
+
+def true_nearest(net: DataFrame, wanted: np.ndarray, keep: int) -> np.ndarray:
+    """Addresses of the ``keep`` nearest nodes of each wanted vector, by comparing with all; a few vectors, one pass in blocks."""
+
+    def merged(d: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(d, axis=1, kind="stable")[:, :keep]
+        return np.take_along_axis(d, order, 1), np.take_along_axis(at, order, 1)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d, at = np.zeros((len(wanted), 0), np.float32), np.zeros((len(wanted), 0), np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                x = np.frombuffer(row["vectors"], np.float32).reshape(row["n"], -1)
+                here = np.tile(np.arange(row["n"]) + (row["cell"] << CELL), (len(wanted), 1))
+                d, at = merged(np.concatenate((d, squares(wanted, x)), axis=1), np.concatenate((at, here), axis=1))
+        yield pa.RecordBatch.from_pydict({"d": pa.array([d.tobytes()], pa.binary()), "at": pa.array([at.tobytes()], pa.binary())})
+
+    d, at = np.zeros((len(wanted), 0), np.float32), np.zeros((len(wanted), 0), np.int64)
+    for r in net.mapInArrow(made, "d binary, at binary").toLocalIterator():  # at most ``keep`` of each wanted vector from a partition
+        d, at = merged(np.concatenate((d, np.frombuffer(r["d"], np.float32).reshape(len(wanted), -1)), axis=1), np.concatenate((at, np.frombuffer(r["at"], np.int64).reshape(len(wanted), -1)), axis=1))
+    return at
+
+
+def search(net: DataFrame, queries: DataFrame, keep: int, width: int = 200, goal: float = 0.96, at_once: int = 20_000) -> DataFrame:
+    """(query_id, address) of the ``keep`` nearest nodes that greedy search reaches, and all about as near as the last of them.
 
-    Each round expands, for every query, the ``step`` nearest nodes found but not expanded, if among its ``width`` nearest, until
-    no query has such a node.
+    queries: query_id, qvec, address of the start. Each round expands, for every query, the nearest nodes found but not
+    expanded, if among its ``width`` nearest, until no query has such a node. Then the first queries' lists are compared with
+    their true neighbours; while fewer than ``goal`` of these were found, the width is doubled and the search goes on.
+    Queries are searched ``at_once`` together (this bounds what is broadcast: their vectors), in an order given by a hash.
     """
-    by_query = Window.partitionBy("query_id").orderBy("d", "address")
-    seen = cut(queries.select("query_id", "address", F.lit(0.0).alias("d"), F.lit(False).alias("done")))
+    spark = net.sparkSession
+    n = partitions(spark)
+    net = net.repartition(n, "cell").persist(StorageLevel.MEMORY_AND_DISK)  # every round reads it where it lies
+    total = queries.count()
+    batches = max(1, -(-total // at_once))
+    found = None
+    for number in range(batches):
+        mine = sorted(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == number).collect(), key=lambda r: (r["query_id"] * 0x9E3779B97F4A7C15 % 2**64, r["query_id"]))
+        if not mine:
+            continue
+        part, wide = beam(net, np.array([r["qvec"] for r in mine], np.float32), np.array([r["address"] for r in mine], np.int64), keep, width, goal, n)
+        width = wide
+        ids = spark.sparkContext.broadcast(np.array([r["query_id"] for r in mine], np.int64))  # at_once numbers at most
+
+        def emitted(rows: Iterator[pa.RecordBatch], ids=ids) -> Iterator[pa.RecordBatch]:
+            for batch in rows:
+                for data in batch.column(2).to_pylist():
+                    owner, address, d, _ = unblob(data, *FOUND)
+                    rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+                    at = np.flatnonzero(rank == keep - 1)
+                    limit = dict(zip(owner[at].tolist(), d[at].tolist(), strict=True))
+                    last = np.array([limit.get(o, np.inf) for o in owner.tolist()])
+                    near = d <= last * (1 + 1e-4) + 1e-6  # ties of exact distances may differ in single precision
+                    yield pa.RecordBatch.from_arrays([pa.array(ids.value[owner[near]]), pa.array(address[near])], ["query_id", "address"])
+
+        rows = cut(part.mapInArrow(emitted, "query_id long, address long"))
+        found = rows if found is None else found.unionByName(rows)
+    net.unpersist()
+    return found if found is not None else spark.createDataFrame([], "query_id long, address long")
+
+
+def beam(net: DataFrame, vectors: np.ndarray, start: np.ndarray, keep: int, width: int, goal: float, n: int) -> tuple[DataFrame, int]:
+    """BEAM of the queries with these vectors, begun at these addresses, and the width at which the goal is met."""
+    spark = net.sparkSession
+    shared = spark.sparkContext.broadcast(vectors)
+    spare = 4  # nodes beyond the width are kept for the next width
+
+    def asked(width: int, step: int):
+        def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in rows:
+                for data in batch.column(2).to_pylist():
+                    owner, address, _, done = unblob(data, *FOUND)
+                    now = turn(owner, done, width, step)
+                    yield from by_cell(owner[now], address[now]).to_batches()
+
+        return made
+
+    def followed(asks: pa.Table, own: pa.Table) -> pa.Table:
+        """Queries at places of a cell go on to the neighbours of these."""
+        owner, place = together(asks.column("blob").to_pylist(), np.int32, np.int32)
+        first, after = np.frombuffer(own.column("first")[0].as_py(), np.int32).astype(np.int64), np.frombuffer(own.column("next")[0].as_py(), np.int64)
+        count = first[place + 1] - first[place]
+        at = np.repeat(first[place] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return by_cell(np.repeat(owner, count), after[at])
+
+    def measured(asks: pa.Table, own: pa.Table) -> pa.Table:
+        """(part, blob): distances of queries and the nodes of a cell that they reached."""
+        owner, place = together(asks.column("blob").to_pylist(), np.int32, np.int32)
+        pair = np.unique(owner.astype(np.int64) << 32 | place)
+        owner, place = (pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int64)
+        x = np.frombuffer(own.column("vectors")[0].as_py(), np.float32).reshape(own.column("n")[0].as_py(), -1)
+        d = np.concatenate([np.zeros(0, np.float32), *(((x[place[at : at + 65536]] - shared.value[owner[at : at + 65536]]) ** 2).sum(axis=1) for at in range(0, len(owner), 65536))])
+        address, group = place + (own.column("cell")[0].as_py() << CELL), owner // PART
+        edge = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+        rows = [(int(group[a]), blob(owner[a:z], address[a:z], d[a:z])) for a, z in zip(edge[:-1], edge[1:], strict=True)]
+        return pa.table({"part": pa.array([g for g, _ in rows], pa.int32()), "blob": pa.array([x for _, x in rows], pa.binary())})
+
+    def merged(width: int, step: int):
+        def made(state: pa.Table, told: pa.Table) -> pa.Table:
+            owner, address, d, done = unblob(state.column("blob")[0].as_py(), *FOUND)
+            done = done | turn(owner, done, width, step)
+            new_owner, new_address, new_d = together(told.column("blob").to_pylist(), np.int32, np.int64, np.float32)
+            owner, address, d = np.concatenate((owner, new_owner)), np.concatenate((address, new_address)), np.concatenate((d, new_d))
+            done = np.concatenate((done, np.zeros(len(new_owner), bool)))
+            order = np.lexsort((~done, address, owner))  # of one node known twice the expanded entry stays
+            owner, address, d, done = owner[order], address[order], d[order], done[order]
+            first = np.ones(len(owner), bool)
+            first[1:] = (owner[1:] != owner[:-1]) | (address[1:] != address[:-1])
+            owner, address, d, done = owner[first], address[first], d[first], done[first]
+            order = np.lexsort((address, d, owner))
+            owner, address, d, done = owner[order], address[order], d[order], done[order]
+            rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            stay = rank < spare * width
+            left = int((~done & (rank < width)).sum())
+            return pa.table({"part": state.column("part"), "open": pa.array([left], pa.int64()), "blob": pa.array([blob(owner[stay], address[stay], d[stay], done[stay])], pa.binary())})
+
+        return made
+
+    rows = []
+    for at in range(0, len(start), PART):
+        own = start[at : at + PART]
+        rows.append((at // PART, len(own), bytearray(blob(np.arange(at, at + len(own), dtype=np.int32), own, np.zeros(len(own), np.float32), np.zeros(len(own), bool)))))
+    state = spark.createDataFrame(rows, BEAM)
+    sample = min(PART, len(start))
+    wanted = true_nearest(net, vectors[:sample], keep)
+    cells = net.groupBy("cell")
     while True:
-        ranked = seen.withColumn("_rank", F.row_number().over(by_query)).withColumn("_open", F.when(~F.col("done") & (F.col("_rank") <= width), 1).otherwise(0))
-        ranked = ranked.withColumn("_turn", (F.col("_open") == 1) & (F.sum("_open").over(by_query.rowsBetween(Window.unboundedPreceding, 0)) <= step))
-        turn = cut(ranked.where("_turn").select("query_id", "address"))
-        if turn.isEmpty():
-            break
-        reached = turn.join(net.select("address", "next"), "address").select("query_id", F.explode("next").alias("address")).distinct()
-        new = reached.join(ranked.select("query_id", "address"), ["query_id", "address"], "left_anti")
-        measured = new.join(net.select("address", "vec"), "address").join(queries.select("query_id", "qvec"), "query_id")
-        measured = measured.select("query_id", "address", distance("vec", "qvec").alias("d"), F.lit(False).alias("done"))
-        seen = cut(ranked.select("query_id", "address", "d", (F.col("done") | F.col("_turn")).alias("done")).unionByName(measured))
-    nearest = seen.withColumn("_rank", F.rank().over(Window.partitionBy("query_id").orderBy("d"))).where(F.col("_rank") <= keep)
-    return nearest.join(net.select("address", "id", "ids"), "address").select("query_id", "id", "ids", "d")
+        step = max(32, width // 6)
+        while True:
+            asks = state.mapInArrow(asked(width, step), "cell int, blob binary").repartition(n, "cell")
+            reached = asks.groupBy("cell").cogroup(cells).applyInArrow(only(followed), "cell int, blob binary").repartition(n, "cell")
+            told = reached.groupBy("cell").cogroup(cells).applyInArrow(only(measured), "part int, blob binary")
+            state = cut(state.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(merged(width, step), BEAM))
+            if not state.agg(F.sum("open").alias("open")).first()["open"]:
+                break
+        owner, address, _, _ = unblob(bytes(state.where("part = 0").first()["blob"]), *FOUND)
+        rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        hits = sum(len(np.intersect1d(address[(owner == i) & (rank < keep)], wanted[i])) for i in range(sample))
+        # a list's own node is in both; it counts on neither side
+        if hits - sample >= goal * (wanted.size - sample) or width >= 1 << 20:
+            return state, width
+        width *= 2
+
+
+def only(f):
+    """f where both sides have rows; else nothing."""
+
+    def made(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"cell": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())}) if f.__name__ == "followed" else pa.table({"part": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
+        return f(left, right)
+
+    return made
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, **settings) -> DataFrame:
@@ -345,11 +544,12 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, **settings) -> Da
     """
     rows = cut(usable(vectors.select("vec_id", "embedding")))
     found = cut(nodes(rows, k + 1))
-    net = graph(found, **settings)
+    placed, net = graph(found, **settings)
     asked = rows.where(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("query_id"), "vec").distinct()
-    queries = cut(asked.join(net.select("vec", "address"), "vec").select("query_id", F.col("vec").alias("qvec"), "address"))
+    queries = cut(asked.join(placed.select("vec", "address"), "vec").select("query_id", F.col("vec").alias("qvec"), "address"))
     reached = search(net, queries, k + 1)  # its own node and k more hold k other ids at least
-    each = reached.select("query_id", "d", F.explode("ids").alias("vec_id")).where("vec_id != query_id")
+    exact = reached.join(placed, "address").join(queries.select("query_id", "qvec"), "query_id")
+    each = exact.select("query_id", distance("vec", "qvec").alias("d"), F.explode("ids").alias("vec_id")).where("vec_id != query_id")
     order = Window.partitionBy("query_id").orderBy("d", "vec_id")
     ranked = each.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", F.col("d").alias("score"))

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from newsloom.llm import nn_descent as nn
 
@@ -51,7 +52,25 @@ def test_ties_at_the_last_distance(spark):
 
 
 def test_search_goes_on_while_nodes_are_open(spark):
-    n = 12
-    net = spark.createDataFrame([(i, i, [float(i)], [i], [i + 1] if i + 1 < n else []) for i in range(n)], "address long, id long, vec array<double>, ids array<long>, next array<long>")
+    """A chain of nodes over several cells: the query's neighbour is at its other end."""
+    n, each = 12, 4
+    cells = [nn.net_row(c, np.arange(c * each, (c + 1) * each, dtype=np.float32)[:, None], [np.array([((i + 1) // each << nn.CELL) + (i + 1) % each] if i + 1 < n else [], np.int64) for i in range(c * each, (c + 1) * each)]) for c in range(n // each)]
+    net = spark.createDataFrame([r for c in cells for r in c.to_pylist()], nn.NET)
     queries = spark.createDataFrame([(0, [float(n - 1)], 0)], "query_id long, qvec array<double>, address long")
-    assert n - 1 in {r.id for r in nn.search(net, queries, 2).collect()}
+    assert ((n - 1) // each << nn.CELL) + (n - 1) % each in {r.address for r in nn.search(net, queries, 2).collect()}
+
+
+def test_width_grows_until_true_neighbours_are_found(spark):
+    """Vectors without any structure: a width of 4 finds few neighbours, so the search has to widen by itself."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], SCHEMA)
+    found = nn.cut(nn.nodes(nn.cut(nn.usable(df)), 11))
+    placed, net = nn.graph(found, k=8, rounds=1)
+    queries = nn.cut(placed.where("id % 30 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"), "address"))
+    got = {}
+    for r in nn.search(net, queries, 11, width=4).join(placed, "address").collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    hits = [len(set(np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[1:11].tolist()) & ids) for q, ids in got.items()]
+    assert len(hits) == 100 and sum(hits) >= 0.9 * 10 * len(hits)
