@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import cut, partitions, text_bytes
 from newsloom.llm.components import components
 from newsloom.llm.pretoken import mixed, spread
-from newsloom.llm.windows import answers, cell_of, looked_up, lowered, pack_of, repeated, sketches, window_hashes, word_hashes
+from newsloom.llm.windows import answers, cell_of, looked_up, lowered, packed, repeated, sketches, window_hashes, word_hashes
 
 #: Links need similarity of at least NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -67,8 +67,7 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
 
     key is 128 bits of the set; shared is null where so few n-grams are repeated that the set can have no partner.
     """
-    buckets = partitions(docs.sparkSession)
-    packs = pack_of(docs)
+    packs, buckets = packed(docs)
     flagged = repeated(sketches(packs, lambda raw, starts: shingle_sets(raw, starts, size), buckets))
 
     def profiled(docs: pa.Table, found: pa.Table) -> pa.Table:
@@ -185,9 +184,13 @@ def linked_groups(sets: list[np.ndarray], n: np.ndarray, probes: np.ndarray | No
 
 
 def star_edges(rows: DataFrame, groups: list[str], probes: bool) -> DataFrame:
-    """Edges from each set to the least of its component among the rows of its group; rows: groups, key, n, shared (and probe)."""
+    """Edges from each set to the least of its component among the rows of its group; rows: groups, blocks, key, n, shared (and probe).
+
+    Many small families are worked on together; each block of a large one alone.
+    """
     n = partitions(rows.sparkSession)
-    dealt = rows.withColumn("_task", F.pmod(F.xxhash64(*groups), F.lit(8 * n)).cast("int"))
+    small = F.pmod(F.xxhash64(*groups), F.lit(32 * n))
+    dealt = rows.withColumn("_task", F.when(F.col("blocks") > 1, F.xxhash64(F.lit("block"), *groups)).otherwise(small)).drop("blocks").repartition(n, "_task")
 
     def joined(table: pa.Table) -> pa.Table:
         table = table.sort_by([*((g, "ascending") for g in groups), ("n", "ascending"), ("key", "ascending")])
@@ -206,7 +209,7 @@ def star_edges(rows: DataFrame, groups: list[str], probes: bool) -> DataFrame:
     return dealt.groupBy("_task").applyInArrow(joined, "a binary, b binary").where("a != b")
 
 
-def links(sets: DataFrame, most: int = 2_000_000) -> DataFrame:
+def links(sets: DataFrame, most: int = 500_000) -> DataFrame:
     """(node, component) of the sets that link to another; sets: key, n, shared. most: n-grams of a family in one block."""
     member = cut(families(sets).join(sets.select("key", "n", "shared"), "key"))
     total = member.groupBy("hub").agg(F.sum(F.octet_length("shared") / 8).alias("grams"))
@@ -226,18 +229,18 @@ def links(sets: DataFrame, most: int = 2_000_000) -> DataFrame:
         apart.join(shares, "hub")
         .withColumn("share", F.pmod(F.xxhash64("key", F.lit("share")), F.col("shares")).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("hub", "block", "share", "key", "n", "shared", F.lit(True).alias("probe"))
+        .select("hub", "block", "share", "blocks", "key", "n", "shared", F.lit(True).alias("probe"))
     )
     built = (
         wide.join(shares, "hub")
         .withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-        .select("hub", "block", "share", "key", "n", "shared", F.lit(False).alias("probe"))
+        .select("hub", "block", "share", "blocks", "key", "n", "shared", F.lit(False).alias("probe"))
     )
     more = star_edges(probing.unionByName(built), ["hub", "block", "share"], probes=True)
     return components(cut(edges.unionByName(more)))
 
 
-def join(docs: DataFrame, size: int = 5, most: int = 2_000_000) -> DataFrame:
+def join(docs: DataFrame, size: int = 5, most: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id (and row_hash, see windows.py) for every row of docs (doc_id, text).
 
     A set holds the distinct ``size``-word n-grams of a text in lower case (A-Z); a text of fewer words has one n-gram,

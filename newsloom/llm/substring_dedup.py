@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from newsloom.llm.common import partitions, text_bytes
+from newsloom.llm.common import text_bytes
 from newsloom.llm.pretoken import spread
-from newsloom.llm.windows import answers, bucket_of, cell_of, deltas, from_deltas, from_planes, looked_up, occurrences, pack_of, planes, repeated, sketches, window_hashes, word_hashes
+from newsloom.llm.windows import answers, bucket_of, cell_of, deltas, from_deltas, from_planes, looked_up, occurrences, packed, planes, repeated, sketches, window_hashes, word_hashes
 
 NONE = np.iinfo(np.int64).max
 
@@ -90,8 +90,7 @@ def deduplicate(docs: DataFrame, size: int = 13, with_text: bool = False) -> Dat
     may go, and it takes no other's. Rows that share an id do not take each other's words. Hashes have 64 bits: two
     different windows are taken for one with a chance of about 1e-19 a pair. Other columns are left out.
     """
-    buckets = partitions(docs.sparkSession)
-    packs = pack_of(docs)
+    packs, buckets = packed(docs)
     flagged = repeated(sketches(packs, lambda raw, starts: occurrences(raw, starts, size), buckets))
     owners = first_owners(packs, flagged, size, buckets)
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["row_hash", "text"] * with_text

@@ -1,10 +1,11 @@
 """Words and word windows of whole batches of text as 64-bit hashes, and which of them occur more than once.
 
-Documents are first dealt by a hash into many small packs; a pack is the unit that asks and gets answers. Each pack
-sends, for each range of hashes, a sketch of the windows it holds: sorted 32-bit cells and a count for each. The
+Documents are first dealt by a hash into many small packs of about 4 MB of text; a pack is the unit that asks and gets
+answers. Each pack sends, for each range of hashes in which it has any, a sketch of the windows it holds: sorted 32-bit cells and a count for each. The
 owner of the range adds the sketches of all packs up (a count-min sketch of one row, 2**32 cells wide for each
 range), which can only overestimate a window's count, and sends each pack those of its cells that count 2 or more.
-A pack sends a cell once however often it holds it, so a very common window costs one entry a pack.
+A pack sends a cell once however often it holds it, so a very common window costs one entry a pack. Packs and ranges
+follow the bytes of text. They exchange one message for each pair that shares windows, so never more than there are windows.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import in_slices, partitions, text_bytes
+from newsloom.llm.common import in_slices, partitions, share_count, text_bytes, text_size
 from newsloom.llm.pretoken import mixed, span_hashes
 
-SLICE = 8 << 20
+#: Bytes of text read at once, of a pack, and of a range.
+SLICE, PACK, RANGE = 4 << 20, 4 << 20, 16 << 20
 
 
 def word_spans(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,11 +70,17 @@ def window_hashes(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.nd
     return mixed(total[first]), first
 
 
-def pack_of(docs: DataFrame, each: int = 4) -> DataFrame:
-    """doc_id, text, _pack and row_hash, dealt by _pack, ``each`` packs to a partition: the exchange that all passes share."""
-    n = partitions(docs.sparkSession)
+def packed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, text, _pack and row_hash, dealt by _pack: the exchange that all passes share; and into how many ranges to deal hashes.
+
+    Rows alike in id and text are dealt by their input partition too, so that many of them don't meet in one pack.
+    """
+    spark = docs.sparkSession
+    size = text_size(docs)
+    packs = share_count(size, PACK, spark, PACK >> 4)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_hash", row_hash())
-    return keyed.select("doc_id", "text", F.pmod("row_hash", F.lit(each * n)).cast("int").alias("_pack"), "row_hash").repartition(n, "_pack")
+    dealt = keyed.select("doc_id", "text", F.pmod(F.xxhash64("row_hash", F.spark_partition_id()), F.lit(packs)).cast("int").alias("_pack"), "row_hash")
+    return dealt.repartition(partitions(spark), "_pack"), share_count(size, RANGE, spark)
 
 
 def row_hash() -> Column:
