@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.plans import assembly, incremental, ingestion, lakehouse, quality, ranking, search, texts  # noqa: F401  (they register queries)
+from newsloom.plans import assembly, incremental, ingestion, lakehouse, quality, ranking, routing, search, texts  # noqa: F401  (they register queries)
 from newsloom.plans.registry import ORACLES, QUERIES
 
 
