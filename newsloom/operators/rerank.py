@@ -27,6 +27,48 @@ WEIGHTS = {
 SOURCES = {"vnexpress": 1.0, "cafef": 0.95, "genk": 0.9, "diendandoanhnghiep": 0.85}
 
 
+#: What speaks for a finance article, for one on the whole market, for one on a single share, and what mentions a bank by the way only.
+STRONG_FINANCE = ("chung khoan", "co phieu", "vn-index", "vnindex", "hnx", "upcom", "hose", "thanh khoan", "khop lenh", "tang tran", "giam san", "sac tim", "ma co phieu", "khoi ngoai", "tu doanh", "von hoa", "bluechip")
+WEAK_FINANCE = ("doanh nghiep", "cong ty", "ngan hang", "tai chinh")
+OVERVIEW = ("vn-index", "vnindex", "vn index", "hnx-index", "hnx", "upcom", "thi truong chung khoan", "chung khoan viet nam", "thanh khoan", "nhom nganh", "khoi ngoai", "nha dau tu", "co phieu ngan hang", "co phieu chung khoan", "san hose", "hose", "tang diem", "giam diem", "sac xanh", "sac do", "thi truong", "chi so")
+SINGLE_SHARE = ("giai trinh", "tang tran", "tran nhieu phien", "tran 8 phien", "chia co tuc", "tang von", "len san", "doanh thu nhieu quy", "co phieu tang gia gap ruoi", "phat hanh rieng le")
+TRANSFERS = ("chuyen nham", "chuyen tien", "giao dich", "doi lai tien")
+INCIDENTAL = ("chuyen nham", "so tai khoan", "chu tai khoan", "khong quen biet", "doi lai tien", "bat can")
+
+
+def hits(text: Column, words: tuple[str, ...]) -> Column:
+    """How many of the words folded text holds."""
+    return reduce(lambda a, w: a + F.when(text.contains(w), 1).otherwise(0), words, F.lit(0))
+
+
+def finance_score(topic: str, text: Column, strong: tuple[str, ...] = STRONG_FINANCE, weak: tuple[str, ...] = WEAK_FINANCE) -> Column:
+    """For a finance question 0.24 for each strong word of folded text and 0.04 for each weak one (0.16 at most), 1 at most; 0 without a strong word."""
+    if topic != "economy_finance_stock":
+        return F.lit(0.0)
+    n = hits(text, strong)
+    return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), n * 0.24 + F.least(F.lit(0.16), hits(text, weak) * 0.04)))
+
+
+def overview_quality(intent: str, text: Column, overview: tuple[str, ...] = OVERVIEW, single: tuple[str, ...] = SINGLE_SHARE) -> Column:
+    """For a question on the whole market: a quarter for each word on it, 1 at most, less 0.25 for an article on a single share; 0 at least."""
+    if intent != "stock_market_overview":
+        return F.lit(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), hits(text, overview) / 4) - F.when(hits(text, single) > 0, 0.25).otherwise(0.0))
+
+
+def peripheral_penalty(question: str, entities: tuple[str, ...], text: Column, bank: str = "techcombank", transfers: tuple[str, ...] = TRANSFERS, incidental: tuple[str, ...] = INCIDENTAL) -> Column:
+    """0.3 for a text that mentions an asked bank only as the place of a wrong transfer, unless transfers are asked about."""
+    if bank not in entities or any(t in question for t in transfers):
+        return F.lit(0.0)
+    return F.when(hits(text, incidental) > 0, 0.30).otherwise(0.0)
+
+
+def chunk_score(question: str, score: Column, text: Column, about: Column) -> Column:
+    """How a chunk ranks within its article: 0.55 of its score, 0.3 of the question's words in its text, 0.15 in its title and categories."""
+    words = T.terms(F.lit(question))
+    return score * 0.55 + T.overlap(words, T.terms(text)) * 0.3 + T.overlap(words, T.terms(about)) * 0.15
+
+
 @dataclass(frozen=True)
 class Question:
     """What is asked, as far as ranking needs it."""
@@ -88,12 +130,15 @@ def rerank(candidates: DataFrame, q: Question, as_of: Column, order: list[Column
     keyword = F.when(F.size(found) == 0, 0.0).otherwise(T.overlap(words, found))
     match = topic_score(q.topic, F.col("primary_topic"), F.col("secondary_topics"))
     hint = T.overlap(T.terms(F.lit(" ".join(q.hints))), found) if q.hints else F.lit(0.0)
+    plain_body = T.folded(body)
     topic = F.greatest(match, hint)
+    keyword = F.greatest(keyword, finance_score(q.topic, plain_body))
     if q.entities:
         wanted = F.array(*(F.lit(e) for e in q.entities))
         named = F.size(F.array_intersect(wanted, F.transform("entity_names", T.folded))) / len(q.entities)
         inside = reduce(lambda a, e: a + F.when(T.folded(body).contains(e), 1).otherwise(0), q.entities, F.lit(0)) / len(q.entities)
-        entity = F.greatest(F.coalesce(named, F.lit(0.0)), inside)
+        entity = F.greatest(F.coalesce(named, F.lit(0.0)), inside) - peripheral_penalty(folded_question(q.text), q.entities, T.folded(body))
+        entity = F.greatest(F.lit(0.0), F.least(F.lit(1.0), entity))
     else:
         entity = F.lit(0.0)
     penalty = topic_penalty(q, match)
@@ -111,13 +156,21 @@ def rerank(candidates: DataFrame, q: Question, as_of: Column, order: list[Column
             "source_score": source_score(F.col("source"), q.preferred_sources),
             "diversity_penalty": repeated,
             "image_score": image,
+            "quality_score": overview_quality(q.intent, plain_body),
         }
     )
     scored = scored.withColumn("relevance_score", relevance(F.col("vector_score"), F.col("bm25_score"), F.col("hybrid_score"), F.col("keyword_score"), q.requires_lexical))
-    final = F.col("relevance_score") * w[0] + F.col("recency_score") * w[1] + F.col("entity_score") * w[2] + F.col("topic_score") * w[3] + F.col("source_score") * 0.05 + F.col("image_score") - F.col("diversity_penalty") - F.col("topic_penalty")
+    final = F.col("relevance_score") * w[0] + F.col("recency_score") * w[1] + F.col("entity_score") * w[2] + F.col("topic_score") * w[3] + F.col("quality_score") * w[4] + F.col("source_score") * 0.05 + F.col("image_score") - F.col("diversity_penalty") - F.col("topic_penalty")
     return scored.withColumn("final_score", final)
 
 
+def folded_question(text: str) -> str:
+    """A question folded as texts are."""
+    import unicodedata
+
+    return "".join(c for c in unicodedata.normalize("NFD", text.casefold()) if unicodedata.category(c) != "Mn").replace("đ", "d")
+
+
 def simple_score(vector: Column, query: str, text: Column, title: Column) -> Column:
     """0.7 of the vector score, 0.25 of the query's words in the text, 0.05 in the title."""
     words = T.terms(F.lit(query))

@@ -111,6 +111,31 @@ def weights_for(query: str, requires_lexical: bool) -> tuple[float, float]:
     return (0.45, 0.55) if requires_lexical or re.search(r"\b[A-Z]{2,8}\b", query) else (0.65, 0.35)
 
 
+def exact_bonus(query: str, text: Column, title: Column) -> Column:
+    """Up to 0.15: the share of the query's tokens that a candidate's text or title holds."""
+    terms = query_terms(query)
+    body = F.lower(T.strip_accents(F.concat_ws(" ", F.coalesce(text, F.lit("")), F.coalesce(title, F.lit("")))))
+    hits = reduce(lambda a, t: a + F.when(body.contains(t.lower()) | body.contains(t), 1).otherwise(0), terms, F.lit(0))
+    return F.least(F.lit(0.15), hits / len(terms) * 0.15) if terms else F.lit(0.0)
+
+
+def entity_bonus(terms: tuple[str, ...], title: Column, names: Column) -> Column:
+    """Up to 0.15: the share of asked names (each as often as it is asked) in a candidate's title and entities."""
+    body = F.lower(T.strip_accents(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.array_join(names, ","))))
+    hits = reduce(lambda a, t: a + F.when(body.contains(F.lower(T.strip_accents(F.lit(t)))), 1).otherwise(0), terms, F.lit(0))
+    return F.least(F.lit(0.15), hits / len(terms) * 0.15) if terms else F.lit(0.0)
+
+
+def source_bonus(preferred: tuple[str, ...], source: Column) -> Column:
+    """0.08 for a preferred source, in any case of letters."""
+    return F.when(F.lower(source).isin(*(p.lower() for p in preferred)) & (source != ""), 0.08).otherwise(0.0) if preferred else F.lit(0.0)
+
+
+def image_bonus(wanted: bool, has_images: Column) -> Column:
+    """0.1 for a candidate with images where they are wanted."""
+    return F.when(T.truthy(has_images), 0.1).otherwise(0.0) if wanted else F.lit(0.0)
+
+
 def diversified(results: DataFrame, article: str, source: str, order: list[Column], top: int, per_article: int = 2, per_source: int = 3) -> DataFrame:
     """The best results with at most so many of an article and of a source; an article has one source. Results are few: a list for one question."""
     a = results.withColumn("_a", F.row_number().over(Window.partitionBy(article).orderBy(*order))).where(F.col("_a") <= per_article)

@@ -95,7 +95,7 @@ _NAMED = f"""list_filter([CASE WHEN {_bounded('ukraine')} THEN 'Ukraine' END, CA
  SELECT conv_id, turn, n AS normalized_query, intent, CASE WHEN intent = 'stock_market_overview' THEN 'synthesis' WHEN {_holds(R.CITATION)} THEN 'citation' WHEN {_holds(R.FOLLOW_UP)} THEN 'followup' WHEN {_holds(R.SYNTHESIS)} OR intent NOT IN ('entity_news', 'article_summary', 'article_qa') THEN 'synthesis' ELSE 'citation' END AS answer_mode,
   primary_topic, CASE WHEN has_symbol > 0 THEN 'tai_chinh' {' '.join(f"WHEN primary_topic = '{t}' THEN '{d}'" for t, d in R.DOMAINS.items())} ELSE 'all' END AS domain, coalesce(symbols_[1], '') AS ticker, array_to_string(symbols_, ',') AS symbols,
   len(entities) > 0 OR has_symbol > 0 OR len(caps) > 0 OR source IS NOT NULL OR len(list_filter(string_split(n, ' '), lambda w: w <> '')) <= 5 OR regexp_matches(question, '[0-9]') AS requires_lexical,
-  array_to_string(list_sort(entities), ',') AS names, time_range, day AS start_date, day + 1 AS end_date, time_range <> 'all' AS needs_recent, need_images,
+  array_to_string(list_sort(entities), ',') AS names, time_range, CAST(day AS VARCHAR) AS start_date, CAST(day + 1 AS VARCHAR) AS end_date, time_range <> 'all' AS needs_recent, need_images,
   CASE WHEN need_images THEN coalesce(greatest(1, least(12, coalesce(nullif(regexp_extract(n, '([0-9]{{1,2}})\\s*{_WORDS}', 1), '')::INT, nullif(regexp_extract(n, '{_WORDS}\\s*([0-9]{{1,2}})', 1), '')::INT))), 4) ELSE 0 END AS image_limit, source, {_holds(R.TIMELINE)} AS need_timeline,
   CASE WHEN sport IS NOT NULL THEN 'structured_sports' ELSE 'article_rag' END AS data_source, CASE WHEN sure THEN 1.0 WHEN NOT has_topic THEN 0.0 WHEN top.h OR top.s >= 5 THEN 1.0 WHEN top.s >= 3 THEN 0.7 ELSE 0.35 END::DOUBLE AS topic_confidence, sure OR (has_topic AND (top.h OR top.s >= 4)) AS explicit_topic, top.s AS top_score FROM i"""
 )
@@ -103,7 +103,7 @@ def routed_questions(spark, sf_dir):
     """Plans of questions (R-06, R-07, R-08, X-11, X-46, X-73, J-14): every branch of topic, intent, time, image, source and sports."""
     found = R.route(questions(spark, sf_dir), "question", LEXICON, year=F.lit(2024))
     return found.select(
-        "conv_id", "turn", "normalized_query", "intent", "answer_mode", "primary_topic", "domain", "ticker", F.array_join("stock_symbols", ",").alias("symbols"), "requires_lexical", F.array_join(F.array_sort("entities"), ",").alias("names"), "time_range", "start_date", "end_date",
+        "conv_id", "turn", "normalized_query", "intent", "answer_mode", "primary_topic", "domain", "ticker", F.array_join("stock_symbols", ",").alias("symbols"), "requires_lexical", F.array_join(F.array_sort("entities"), ",").alias("names"), "time_range", F.col("start_date").cast("string").alias("start_date"), F.col("end_date").cast("string").alias("end_date"),
         "needs_recent", "need_images", "image_limit", "source", "need_timeline", "data_source", "topic_confidence", "explicit_topic", F.array_max(F.map_values("topic_scores")).alias("top_score"),
     )
 
@@ -127,3 +127,104 @@ def candidate_counts(spark, sf_dir):
     intent = F.when(F.col("conv_id") % 4 == 0, "latest_news").when(F.col("conv_id") % 4 == 1, "topic_news").otherwise("entity_news")
     span = F.when(F.col("turn") % 3 == 0, "all").when(F.col("turn") % 3 == 1, "7d").otherwise("date")
     return questions(spark, sf_dir).select("conv_id", "turn", R.candidate_count(F.col("conv_id") % 12, intent, span, normalized(F.col("question"))).alias("candidates"))
+
+
+_CANDIDATES = f"""art AS (SELECT doc_id AS article_id, source, lang AS category, text AS content, split_part(text, chr(10), 1) AS title, TIMESTAMP '2024-01-01' + to_hours(doc_id) AS published_at FROM documents),
+ cand AS (SELECT article_id, source, category, title, content, published_at, (article_id % 97) / 97.0::DOUBLE AS v, (article_id % 13)::DOUBLE AS b, (article_id % 29) / 29.0::DOUBLE AS h, CASE article_id % 5 WHEN 0 THEN ['The Ents', 'Open AI'] WHEN 1 THEN ['Der-Ung'] ELSE [] END AS names,
+ {FOLD.format("title || ' ' || text")} AS body, {FOLD.format('title')} AS head FROM (SELECT *, content AS text FROM art))"""
+
+
+def candidates(spark, sf_dir):
+    """The candidates of ranking, with names of entities."""
+    from newsloom.plans import ranking
+
+    i = F.col("article_id")
+    names = F.when(i % 5 == 0, F.array(F.lit("The Ents"), F.lit("Open AI"))).when(i % 5 == 1, F.array(F.lit("Der-Ung"))).otherwise(F.array().cast("array<string>"))
+    return ranking.candidates(spark, sf_dir).withColumn("entity_names", names)
+
+
+@query(
+    f"""WITH {_CANDIDATES}, m AS (SELECT article_id, least(0.15, ((CASE WHEN contains(body, 'ation') THEN 1 ELSE 0 END) + (CASE WHEN contains(body, 'der') THEN 1 ELSE 0 END)) / 2.0 * 0.15) AS exact, least(0.15, ((CASE WHEN contains(head || ' ' || lower(array_to_string(names, ',')), 'open ai') THEN 1 ELSE 0 END) + (CASE WHEN contains(head || ' ' || lower(array_to_string(names, ',')), 'the') THEN 1 ELSE 0 END)) / 2.0 * 0.15) AS entity,
+  CASE WHEN lower(source) IN ('src1', 'src4') THEN 0.08 ELSE 0.0 END AS preferred, CASE WHEN article_id % 2 = 0 THEN 0.1 ELSE 0.0 END AS image FROM cand) SELECT article_id, round(exact + entity + preferred + image, 9) AS bonus FROM m"""
+)
+def hybrid_bonuses(spark, sf_dir):
+    """What a hybrid score gains by words, entities, source and images (X-54)."""
+    from newsloom.operators import retrieval as V
+
+    bonus = V.exact_bonus("ation der", F.col("text"), F.col("title")) + V.entity_bonus(("Open AI", "thé"), F.col("title"), F.col("entity_names")) + V.source_bonus(("SRC1", "src4"), F.col("source")) + V.image_bonus(True, F.col("has_images"))
+    return candidates(spark, sf_dir).select("article_id", F.round(bonus, 9).alias("bonus"))
+
+
+def _hits(field: str, words) -> str:
+    return "(" + " + ".join(f"(CASE WHEN contains({field}, '{w}') THEN 1 ELSE 0 END)" for w in words) + ")"
+
+
+_STRONG, _WEAK, _OVER, _SINGLE, _BY = ("ation", "chaft", "ment"), ("the", "der", "les", "la", "un"), ("tion", "ing", "ver", "ent", "que"), ("schl", "blen"), ("wh", "zz")
+
+
+@query(
+    f"""WITH {_CANDIDATES} SELECT article_id, CASE WHEN {_hits('body', _STRONG)} = 0 THEN 0.0 ELSE round(least(1.0, {_hits('body', _STRONG)} * 0.24 + least(0.16, {_hits('body', _WEAK)} * 0.04)), 9) END AS finance,
+ round(greatest(0.0, least(1.0, {_hits('body', _OVER)} / 4) - CASE WHEN {_hits('body', _SINGLE)} > 0 THEN 0.25 ELSE 0 END), 9) AS overview, CASE WHEN {_hits('body', _BY)} > 0 THEN 0.3 ELSE 0.0 END AS peripheral,
+ round(v * 0.55 + 0.3 * regexp_matches(' ' || {FOLD.format('content')} || ' ', '[^\\pL\\pN_]the[^\\pL\\pN_]')::INT + 0.15 * regexp_matches(' ' || head || ' ', '[^\\pL\\pN_]the[^\\pL\\pN_]')::INT, 9) AS in_article FROM cand"""
+)
+def topical_scores(spark, sf_dir):
+    """Finance words, market overviews, articles on one share, mentions by the way, and chunks within an article (X-60, X-61, X-64)."""
+    from newsloom.functions import text as T
+    from newsloom.operators import rerank as K
+
+    body = T.folded(F.concat_ws(" ", "title", "text"))
+    return candidates(spark, sf_dir).select(
+        "article_id",
+        F.round(K.finance_score("economy_finance_stock", body, _STRONG, _WEAK), 9).alias("finance"),
+        F.round(K.overview_quality("stock_market_overview", body, _OVER, _SINGLE), 9).alias("overview"),
+        K.peripheral_penalty("ask about bank", ("bank",), body, "bank", ("transfer",), _BY).alias("peripheral"),
+        F.round(K.chunk_score("the", F.col("vector_score"), F.col("text"), F.col("title")), 9).alias("in_article"),
+    )
+
+
+_NAME = "(list_contains(list_transform(names, lambda x: lower(x)), 'open ai') OR list_contains(list_transform(names, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')), 'openai') OR len(list_filter(names, lambda x: contains(lower(x), 'open ai') OR contains(lower(x), 'openai') OR contains('open ai', lower(x)) OR contains('openai', lower(x)))) > 0 OR contains(body, 'open ai') OR contains(body, 'openai'))"
+_RELAXED = f"({_NAME} OR contains(body, 'schaftl'))"
+
+
+def _ladder(topic: str, strict: str, time: str, source: str = "true") -> str:
+    return f"""s AS (SELECT *, count(*) FILTER (WHERE {strict}) OVER () >= 5 AS scoped FROM cand), i AS (SELECT *, NOT scoped OR {strict} AS inside FROM s),
+ m AS (SELECT *, inside AND {strict} AND {_NAME} AND {time} AND {source} AS ma, inside AND {_RELAXED} AND {source} AS mb, inside AND {topic} AND {_RELAXED} AND {source} AS mc, {_RELAXED} AND {source} AS md FROM i),
+ f AS (SELECT bool_or(ma) AS fa, bool_or(mb) AS fb, bool_or(mc) AS fc, bool_or(md) AS fd FROM m),
+ l AS (SELECT m.*, CASE WHEN fa THEN 'all' WHEN fb THEN 'relaxed_entity_filter' WHEN fc THEN 'relaxed_time_filter' WHEN fd THEN 'entity_over_topic_fallback' ELSE 'pre_filter_topk_fallback' END AS step FROM m, f WHERE CASE WHEN fa THEN ma WHEN fb THEN mb WHEN fc THEN mc WHEN fd THEN md ELSE inside END)"""
+
+
+_TOPIC = "(category = 'de' OR (article_id % 4 = 0 AND 'de' = 'en'))"
+_STRICT = f"({_TOPIC} OR contains(head, 'schaft') OR contains(head, 'ering'))"
+
+
+def _wanted(**more):
+    from newsloom.operators import metadata, rerank
+
+    q = rerank.Question(text="the", intent="topic_news", topic="de", explicit_topic=True, entities=("open ai",), days=5.0)
+    return metadata.Wanted(**{"question": q, "lexical_terms": ("schaftl",), "signals": {"de": ("schaft", "ering")}, "least": 5} | more)
+
+
+@query(f"WITH {_CANDIDATES}, {_ladder(_TOPIC, _STRICT, '''published_at >= TIMESTAMP '2024-01-06' ''')} SELECT article_id, scoped, step FROM l")
+def metadata_filter(spark, sf_dir):
+    """Candidates by topic, entity, time and source, with the fallbacks (F-05, F-06, F-07, F-08, F-09, F-10, F-15, F-16)."""
+    from newsloom.operators import metadata
+
+    return metadata.filtered(candidates(spark, sf_dir), _wanted(time_range="7d"), F.expr("timestamp_ntz '2024-01-13'")).select("article_id", "scoped", "step")
+
+
+@query(f"WITH {_CANDIDATES}, {_ladder(_TOPIC, _STRICT, '''published_at > TIMESTAMP '2100-01-01' ''')} SELECT article_id, scoped, step FROM l")
+def metadata_fallback(spark, sf_dir):
+    """The same for a time that no candidate has (F-16)."""
+    from newsloom.operators import metadata
+
+    return metadata.filtered(candidates(spark, sf_dir), _wanted(time_range="24h"), F.expr("timestamp_ntz '2100-01-02'")).select("article_id", "scoped", "step")
+
+
+@query()
+def retrieved(spark, sf_dir):
+    """From candidates to results: scope, filter, guard, rerank, diversify (R-05, F-17, O-10); tested against a sequential model."""
+    from newsloom.operators import metadata
+
+    text = F.lower("text")
+    found = metadata.retrieve(candidates(spark, sf_dir), _wanted(time_range="7d"), F.expr("timestamp_ntz '2024-01-13'"), [F.desc("hybrid_score"), F.col("article_id")], 10, text.contains("worthless"), text.contains("ation"), F.col("vector_score") > 0.5)
+    return found.select("article_id", "step", F.round("final_score", 6).alias("final_score"))
