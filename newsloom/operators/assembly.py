@@ -51,8 +51,8 @@ def with_parent(chunks: DataFrame, parents: DataFrame, key: str, columns: list[s
 def only_if_any(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key is among keys; all rows if none is."""
     marked = rows.join(keys.select(key).distinct().withColumn("_hit", F.lit(True)), key, "left")
-    some = F.coalesce(F.bool_or("_hit").over(Window.partitionBy()), F.lit(False))
-    return marked.withColumn("_some", some).where(~F.col("_some") | F.col("_hit")).drop("_hit", "_some")
+    some = marked.agg(F.coalesce(F.bool_or("_hit"), F.lit(False)).alias("_some"))  # one row
+    return marked.join(F.broadcast(some)).where(~F.col("_some") | F.col("_hit")).drop("_hit", "_some")
 
 
 def best_sentences(articles: DataFrame, key: str, text: str, question: str, n: int) -> DataFrame:

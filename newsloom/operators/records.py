@@ -161,3 +161,77 @@ def images_under(json: Column) -> Column:
     value = r'"((?:[^"\\]|\\.)*)"'
     direct = F.regexp_extract_all(json, F.lit(key + r"(?:\[\s*)?(?:\{[^{}]*?\"(?:url|contentUrl)\"\s*:\s*)?" + value), 1)
     return F.array_distinct(F.filter(F.transform(direct, lambda v: F.replace(v, F.lit("\\/"), F.lit("/"))), lambda v: v != ""))
+
+
+def real_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks of a vector store without the rows that only pad it."""
+    return chunks.where(~T.truthy(F.col("is_padding")))
+
+
+def looked_up(chunks: DataFrame, url: str, limit: int) -> DataFrame:
+    """The first ``limit`` chunks of an address, by number; of the canonical address only if none has it as its own."""
+    wanted = (F.col("url") == url) | (F.col("canonical_url") == url)
+    few = chunks.where(wanted)
+    own = few.agg(F.coalesce(F.bool_or(F.col("url") == url), F.lit(False)).alias("_own"))  # one row
+    return few.join(F.broadcast(own)).where(~F.col("_own") | (F.col("url") == url)).drop("_own").orderBy("chunk_index").limit(limit)
+
+
+def reset(df: DataFrame, path: str) -> str:
+    """A new, empty version of a table with df's columns; returns its path."""
+    from newsloom.operators.tables import swap
+
+    return swap(df.limit(0), path)
+
+
+def embedded(chunks: DataFrame, embed, text: str = "embedding_text", to: str = "embedding", size: int = 64) -> DataFrame:
+    """chunks with the vectors that ``embed`` (from a list of texts to a list of vectors) makes of their texts, ``size`` at a time."""
+    import pandas as pd
+
+    @F.pandas_udf("array<float>")
+    def made(texts: pd.Series) -> pd.Series:
+        out: list = []
+        for at in range(0, len(texts), size):
+            out += [list(map(float, v)) for v in embed(texts.iloc[at : at + size].tolist())]
+        if len(out) != len(texts):
+            raise ValueError("as many vectors as texts are needed")
+        return pd.Series(out, index=texts.index)
+
+    return chunks.withColumn(to, made(F.coalesce(F.col(text), F.lit(""))))
+
+
+def report(counts: DataFrame, path: str) -> str:
+    """A small table of counts as one JSON file of lines in a new folder; returns the folder."""
+    import uuid
+
+    folder = f"{path}/report-{uuid.uuid4().hex}"
+    counts.coalesce(1).write.json(folder)
+    return folder
+
+
+def parse_order(documents: DataFrame) -> DataFrame:
+    """Raw documents in the order in which they are parsed: latest published or crawled, then source, then address, all falling."""
+    return documents.orderBy(F.coalesce("published_at", "crawled_at").desc(), F.desc("source"), F.desc("url"))
+
+
+def crawl_totals(pages: DataFrame, source: str) -> DataFrame:
+    """One row for each source: pages, found, new, repeated and failed articles. pages: found, new, failed."""
+    return pages.groupBy(source).agg(F.count("*").alias("pages"), F.sum("found").alias("found"), F.sum("new").alias("new"), F.sum(F.col("found") - F.col("new")).alias("repeated"), F.count_if("failed").alias("failed"))
+
+
+def relaxed(question: Column) -> Column:
+    """A question without its words for today and newest, for a second try."""
+    return T.collapse(F.regexp_replace(question, r"(?iU)hôm nay|hom nay|mới nhất|moi nhat", " "))
+
+
+def stripped(html: Column) -> Column:
+    """The text between tags, entities of HTML resolved for the five of XML; comments go."""
+    text = F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), r"(?s)<[^>]*>", "")
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def parents(chunks: DataFrame) -> DataFrame:
+    """Articles from their chunks (article_id, chunk_index, text, title, source): the first chunk's title and source, all texts in order."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda c: c["text"])
+    return chunks.groupBy("article_id").agg(F.min_by("title", "chunk_index").alias("title"), F.min_by("source", "chunk_index").alias("source"), F.array_join(ordered, "\n\n").alias("content"))

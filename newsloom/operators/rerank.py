@@ -221,3 +221,9 @@ def evidence(candidates: DataFrame, vector: str, *others: str) -> DataFrame:
     """One row: the best vector score, the best of any, and whether they suffice (0.05 and 0.15)."""
     best = candidates.agg(F.max(vector).alias("best_vector"), F.max(F.greatest(vector, *others)).alias("best_any"))
     return best.withColumn("sufficient", F.coalesce((F.col("best_vector") >= 0.05) & (F.col("best_any") >= 0.15), F.lit(False)))
+
+
+def weak(ranked: DataFrame, least: float) -> DataFrame:
+    """One row: how many candidates, their best final score, and whether that is below ``least`` (or there is none)."""
+    best = F.max("final_score")
+    return ranked.agg(F.count("*").alias("candidates"), best.alias("best"), F.coalesce(best < least, F.lit(True)).alias("weak"))

@@ -65,11 +65,27 @@ def article_topics(spark, sf_dir):
     return classify.topics(a, "category", "title", "summary", "content", lexicon=_LEX, aliases=[("de", "second")]).select("article_id", "primary_topic", "topic_confidence")
 
 
-@query(f"WITH {ART} SELECT count(*) AS articles, 'general_news' AS least_common FROM art")
-def default_topics(spark, sf_dir):
-    """The built-in topics run over all articles; texts of other languages mostly have none (T-08)."""
-    a = articles(spark, sf_dir).withColumn("summary", F.lit(None).cast("string"))
-    return classify.topics(a, "category", "title", "summary", "content").agg(F.count("primary_topic").alias("articles"), F.max(F.when(F.col("primary_topic") == "general_news", F.col("primary_topic"))).alias("least_common"))
+#: Titles that the built-in lexicon files under each topic, under none, or under two at once.
+_TITLES = ("Chứng khoán và cổ phiếu tăng", "AI và chip mới", "Quốc hội bàn chính sách", "Chiến tranh ở Trung Đông", "Startup gọi vốn", "Chung cư và dự án nhà ở", "Tuyển sinh và y tế", "Trời đẹp", "Nga và Mỹ, ngân hàng", "Doanh nghiệp bất động sản", "")
+
+
+def _builtin(words: tuple[str, ...], weight: int) -> str:
+    return f"{weight} * (" + _sql_hits("t", words) + ")"
+
+
+@query(
+    f"""WITH n AS (SELECT doc_id, trim({FOLD.format('[' + ', '.join("'" + x + "'" for x in _TITLES) + f'][doc_id % {len(_TITLES)} + 1]')}) AS t FROM documents),
+ s AS (SELECT doc_id, [{', '.join(f"{{'s': CAST({_builtin(words, 3)} AS DOUBLE), 'o': {-i}, 't': '{t}'}}" for i, (t, (_, words)) in enumerate(classify.TOPICS.items()))}] AS scored FROM n),
+ b AS (SELECT doc_id, list_sort(scored, 'DESC') AS r, list_sum(list_transform(scored, lambda x: x.s)) AS total FROM s)
+ SELECT doc_id, CASE WHEN r[1].s < 3 THEN 'general_news' ELSE r[1].t END AS primary_topic, CASE WHEN r[1].s < 3 THEN 0.0 ELSE round(r[1].s / total, 4) END AS topic_confidence,
+  CASE WHEN r[1].s < 3 THEN '' ELSE array_to_string(list_transform(list_filter(r[2:], lambda x: x.s > 0 AND (x.s >= 3 OR x.s >= r[1].s * 0.5))[1:3], lambda x: x.t), ',') END AS secondary FROM b"""
+)
+def builtin_topics(spark, sf_dir):
+    """The built-in lexicon over titles that fit each topic, none, or two, with secondary topics (T-08, O-13)."""
+    title = F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("doc_id") % len(_TITLES) + 1).cast("int"))
+    d = table(spark, sf_dir, "documents").select("doc_id", title.alias("title"), *(F.lit(None).cast("string").alias(c) for c in ("category", "summary", "content")))
+    found = classify.topics(d, "category", "title", "summary", "content")
+    return found.select("doc_id", "primary_topic", "topic_confidence", F.array_join("secondary_topics", ",").alias("secondary"))
 
 
 _NAMES = [("word", "THE", ("the", "thé"), 0.9), ("word", "Der", ("der",), 0.8), ("suffix", "Con La", ("con la",), 0.7)]

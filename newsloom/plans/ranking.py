@@ -47,6 +47,12 @@ def scoped_candidates(spark, sf_dir):
     return rerank.scoped(candidates(spark, sf_dir), F.col("primary_topic") == "de", 5).select("article_id", "scoped")
 
 
+@query(f"WITH {_CAND}, n AS (SELECT count(*) FILTER (WHERE category = 'de') >= 1000000000 AS scoped FROM cand) SELECT article_id, scoped FROM cand, n WHERE NOT scoped OR category = 'de'")
+def unscoped_candidates(spark, sf_dir):
+    """All candidates where the topic has too few (F-15)."""
+    return rerank.scoped(candidates(spark, sf_dir), F.col("primary_topic") == "de", 1_000_000_000).select("article_id", "scoped")
+
+
 @query(
     f"""WITH {_CAND}, m AS (SELECT article_id, category = 'fr' AND published_at > TIMESTAMP '2025-01-01' AS a, category = 'fr' AND published_at >= TIMESTAMP '2024-01-15' AS b FROM cand), f AS (SELECT bool_or(a) AS fa, bool_or(b) AS fb FROM m)
  SELECT article_id, CASE WHEN fa THEN 'strict' WHEN fb THEN 'relaxed_time' ELSE 'pre_filter' END AS step FROM m, f WHERE CASE WHEN fa THEN a WHEN fb THEN b ELSE true END"""
@@ -83,3 +89,42 @@ def filtered_candidates(spark, sf_dir):
 
     local = F.to_date(F.col("published_at") + F.expr("interval 7 hours"))
     return candidates(spark, sf_dir).where((local == F.lit("2024-01-12").cast("date")) & F.lower("source").isin("src1", "src2", "src3", "src4") & truthy(F.col("has_images"))).select("article_id")
+
+
+@query(
+    f"""WITH {_CAND}, g AS (SELECT source, max(v) AS best, strftime(max(published_at), '%Y-%m-%d %H:%M:%S') AS newest FROM cand GROUP BY source) SELECT source, round(best, 9) AS best, newest, row_number() OVER (ORDER BY best DESC, newest DESC, source) AS place FROM g"""
+)
+def articles_in_order(spark, sf_dir):
+    """Groups by their best score, then by time as text (O-07, O-10)."""
+    from pyspark.sql import Window
+
+    g = candidates(spark, sf_dir).groupBy("source").agg(F.max("vector_score").alias("best"), F.date_format(F.max("published_at"), "yyyy-MM-dd HH:mm:ss").alias("newest"))
+    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("best"), F.desc("newest"), "source")  # one row for each source
+    return g.select("source", F.round("best", 9).alias("best"), "newest", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query(f"WITH {_CAND} SELECT count(*) AS candidates, max(h) AS best, coalesce(max(h) < 0.99, true) AS weak FROM cand")
+def weak_context(spark, sf_dir):
+    """Whether even the best final score is below a limit (F-20)."""
+    return rerank.weak(candidates(spark, sf_dir).withColumn("final_score", F.col("hybrid_score")), 0.99).select("candidates", "best", "weak")
+
+
+def _weighted(name: str, w: tuple) -> str:
+    return f"WHEN '{name}' THEN rel * {w[0]} + rec * {w[1]} + t * {w[3]}"
+
+
+@query(
+    f"""WITH {_CAND}, k AS (SELECT unnest({list(rerank.WEIGHTS)}) AS intent), r AS (SELECT *, 0.35 * ({_B.format('h')}) + 0.30 * ({_B.format('v')}) + 0.25 * ({_B.format('b')}) AS rel, CASE WHEN category = 'en' THEN 1.0 WHEN article_id % 4 = 0 THEN 0.5 ELSE 0.0 END AS t, least(1.0, greatest(0.0, exp(-epoch(TIMESTAMP '2024-02-01' - published_at) / 86400.0 / 5.0))) AS rec,
+  least(0.2, (row_number() OVER (PARTITION BY source ORDER BY h DESC, article_id) - 1) * 0.05) AS div FROM cand)
+ SELECT intent, article_id, round(CASE intent {' '.join(_weighted(n, w) for n, w in rerank.WEIGHTS.items())} END + 0.7 * 0.05 - div - (CASE WHEN t > 0 THEN 0 ELSE 0.45 END), 6) AS final_score FROM r, k"""
+)
+def reranked_by_intent(spark, sf_dir):
+    """The composite with the weights of every intent and a topic of middling certainty (X-57, X-59)."""
+    out = None
+    for intent in rerank.WEIGHTS:
+        q = rerank.Question(intent=intent, topic="en", topic_confidence=0.5, days=5.0)
+        found = rerank.rerank(candidates(spark, sf_dir), q, F.expr("timestamp_ntz '2024-02-01'"), [F.desc("hybrid_score"), F.col("article_id")])
+        # the quality of overviews has a query of its own; it is left out here
+        one = found.select(F.lit(intent).alias("intent"), "article_id", F.round(F.col("final_score") - F.col("quality_score") * rerank.WEIGHTS[intent][4], 6).alias("final_score"))
+        out = one if out is None else out.unionByName(one)
+    return out

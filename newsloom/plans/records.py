@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import records as R
 from newsloom.plans.registry import query
-from newsloom.sources.views import ART, articles, table
+from newsloom.sources.views import ART, CHUNKS, articles, chunks, table
 
 _GOLD = f"""{ART}, gold AS (SELECT *, CASE WHEN article_id % 7 = 0 THEN true WHEN article_id % 7 = 1 THEN NULL ELSE false END AS is_duplicate, CASE WHEN article_id % 3 = 0 THEN NULL ELSE published_at END AS seen_at, published_at + INTERVAL 2 HOUR AS crawled_at, published_at + to_hours(article_id % 5) AS updated_at,
  CASE category WHEN 'en' THEN 'economy_finance_stock' WHEN 'de' THEN 'real_estate' ELSE 'general_news' END AS topic FROM art)"""
@@ -122,3 +122,71 @@ def json_images(spark, sf_dir):
     i = F.col("doc_id")
     given = F.when(i % 4 == 0, '{"a": {"image": "http:\\/\\/a\\/1"}, "b": 1}').when(i % 4 == 1, '[{"thumbnail": {"@type": "I", "url": "http://b/2"}}, {"image": ["http://b/3"]}, {"avatar": "http://b/2"}]').when(i % 4 == 2, '{"x": [{"image": {"contentUrl": "http://c/4"}}]}').otherwise("{}")
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(R.images_under(given), ",").alias("images"))
+
+
+@query("SELECT source, count(*) AS pages, sum(doc_id % 7)::BIGINT AS found, sum(doc_id % 7 // 2)::BIGINT AS new, sum(doc_id % 7 - doc_id % 7 // 2)::BIGINT AS repeated, count(*) FILTER (WHERE doc_id % 13 = 0) AS failed FROM documents GROUP BY source")
+def crawl_totals(spark, sf_dir):
+    """Totals of a crawl for each source (A-23)."""
+    pages = table(spark, sf_dir, "documents").selectExpr("source", "doc_id % 7 as found", "doc_id % 7 div 2 as new", "doc_id % 13 = 0 as failed")
+    return R.crawl_totals(pages, "source")
+
+
+@query(f"WITH {CHUNKS} SELECT article_id, chunk_index, md5(text) AS hash FROM chunk WHERE ord % 10 <> 0")
+def stored_chunks(spark, sf_dir):
+    """All chunks of a store but the padding (S-08)."""
+    c = chunks(spark, sf_dir).withColumn("is_padding", F.when(F.col("ord") % 10 == 0, "True").otherwise(F.when(F.col("ord") % 3 == 0, F.lit(None)).otherwise("false")))
+    return R.real_chunks(c).select("article_id", "chunk_index", F.md5("text").alias("hash"))
+
+
+@query("SELECT 'own' AS kind, doc_id FROM documents WHERE doc_id % 50 = 7 AND doc_id % 2 = 1 UNION ALL SELECT 'canonical', doc_id FROM documents WHERE doc_id % 50 = 8")
+def chunks_by_address(spark, sf_dir):
+    """Look-ups by address, with the canonical one where there is no other (S-09, J-07)."""
+    d = table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    c = d.select("doc_id", i.alias("chunk_index"), F.when((i % 50 == 7) & (i % 2 == 1), "u7").otherwise("x").alias("url"), F.when(i % 50 == 8, "u8").when(i % 50 == 9, "u7").otherwise("y").alias("canonical_url"))
+    return R.looked_up(c, "u7", 1 << 30).select(F.lit("own").alias("kind"), "doc_id").unionByName(R.looked_up(c, "u8", 1 << 30).select(F.lit("canonical").alias("kind"), "doc_id"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace('Tin ' || source || ' hôm nay MỚI NHẤT', '(?i)hôm nay|hom nay|mới nhất|moi nhat', ' ', 'g'), '\\s+', ' ', 'g')) AS question FROM documents")
+def relaxed_questions(spark, sf_dir):
+    """Questions without their words for today and newest (F-26)."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", R.relaxed(F.concat(F.lit("Tin "), "source", F.lit(" hôm nay MỚI NHẤT"))).alias("question"))
+
+
+@query(r"SELECT page_id, md5(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<[^>]*>', '', 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;', '&')) AS stripped FROM pages")
+def stripped_pages(spark, sf_dir):
+    """Pages without tags, scripts' text included (X-02)."""
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(R.stripped(F.col("html"))).alias("stripped"))
+
+
+@query(f"WITH {CHUNKS} SELECT article_id, arg_min(source, chunk_index) AS source, md5(string_agg(text, chr(10) || chr(10) ORDER BY chunk_index)) AS content FROM chunk GROUP BY article_id")
+def parent_articles(spark, sf_dir):
+    """Articles from their chunks (T-23)."""
+    found = R.parents(chunks(spark, sf_dir).withColumn("title", F.col("text")))
+    return found.select("article_id", "source", F.md5("content").alias("content"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN doc_id % 4 = 0 THEN doc_id * 3 ELSE doc_id END DESC, source DESC, 'u' || doc_id DESC) AS place FROM documents ORDER BY place LIMIT 60")
+def parse_order(spark, sf_dir):
+    """The first raw documents to be parsed (O-03)."""
+    i = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.lit("u"), i.cast("string")).alias("url"), F.when(i % 4 == 0, i * 3).alias("published_at"), i.alias("crawled_at"))
+    first = R.parse_order(d).limit(60)
+    return first.select("doc_id", F.expr("row_number() over (order by coalesce(published_at, crawled_at) desc, source desc, url desc)").cast("long").alias("place"))
+
+
+@query("SELECT o_orderkey AS article_id, list(l_linenumber ORDER BY l_linenumber % 3 = 0 DESC, l_linenumber)[1] AS first_position, count(*) AS images FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def ordered_images(spark, sf_dir):
+    """Images with the representative first, then by position (O-11)."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    first = F.min_by("l_linenumber", F.struct((F.col("l_linenumber") % 3 != 0).alias("other"), F.col("l_linenumber")))
+    return lines.groupBy(F.col("l_orderkey").alias("article_id")).agg(first.alias("first_position"), F.count("*").alias("images"))
+
+
+@query("SELECT doc_id, source FROM documents")
+def images_if_any(spark, sf_dir):
+    """A semi join that would leave nothing leaves all (J-10)."""
+    from newsloom.operators import assembly
+
+    return assembly.only_if_any(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels").where("toxic = 7"), "doc_id")
