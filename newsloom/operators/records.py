@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -185,8 +186,6 @@ def reset(df: DataFrame, path: str) -> str:
 
 def embedded(chunks: DataFrame, embed, text: str = "embedding_text", to: str = "embedding", size: int = 64) -> DataFrame:
     """chunks with the vectors that ``embed`` (from a list of texts to a list of vectors) makes of their texts, ``size`` at a time."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def made(texts: pd.Series) -> pd.Series:
         out: list = []
