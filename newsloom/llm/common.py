@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +110,13 @@ def share_count(size: int, most: int, spark: SparkSession, least: int = 1 << 20)
     return max(1, -(-size // most), min(partitions(spark), -(-size // least)))
 
 
+def memory_returned() -> None:
+    """Give the memory of finished work back to the system; a Python worker lives on and others need the room."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     """How many partitions the cluster wants for a shuffle of this input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

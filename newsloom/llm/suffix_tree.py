@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import checkpoint_dir, cut, dropped, got, in_slices, partitions, put, released, share_count, text_bytes, text_size
+from newsloom.llm.common import checkpoint_dir, cut, dropped, got, in_slices, memory_returned, partitions, put, released, share_count, text_bytes, text_size
 from newsloom.llm.pretoken import mixed
 from newsloom.llm.windows import bucket_of, from_planes, lowered, planes, word_hashes
 
@@ -372,9 +372,11 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, depth: int = 6, least_
             places, hashes, train, elsewhere = tokenised(batch, folds, held)
             put(f"{folder}/tokens", str(pack), places.packed(Places.TOKENS))
             yield asked(pack, unigram_requests(hashes, train, elsewhere, buckets))
+            memory_returned()
 
     def told(owned):
         def answered(table: pa.Table) -> pa.Table:
+            memory_returned()
             blobs = table.column("blob").to_pylist()
             real = [i for i, b in enumerate(blobs) if b is not None]
             found, tokens, different = [], None, None
@@ -394,6 +396,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, depth: int = 6, least_
 
     def learned(table: pa.Table, level: int, tokens: int, different: int) -> tuple[int, Places]:
         """A pack after the answers of a level; its names are saved with those of level 0."""
+        memory_returned()
         pack = table.column("pack")[0].as_py()
         answers = [(b, x) for b, x in zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True) if x is not None]
         places = Places()
