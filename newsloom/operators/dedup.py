@@ -17,33 +17,37 @@ def first_occurrence(df: DataFrame, keys: list[str], *order: Column) -> DataFram
     return newest_by_key(df, F.struct(*keys), *order)
 
 
-def greedy_groups(df: DataFrame, order: str, url: str, content: str, rounds: int = 60) -> DataFrame:
+def greedy_groups(df: DataFrame, order: str, url: str, content: str) -> DataFrame:
     """df with is_duplicate and group_id as by a pass in the given order.
 
     A row joins the group of the first earlier row of its url (not empty), else of its content; rows without either
     begin a group. order must be unique; group_id is the order of the group's first row. Parents are found by two
-    windows, and roots by jumping over parents, which halves every chain in a round.
+    windows, in which rows without a url or content are each by themselves, and roots by jumping over parents, which
+    halves every chain in a round, until none moves.
     """
-    by_url = F.when(F.coalesce(F.col(url), F.lit("")) != "", F.min(order).over(Window.partitionBy(url)))
-    by_content = F.min(order).over(Window.partitionBy(content))
+
+    def first(key: Column) -> Column:
+        alone = F.when(key.isNull(), F.col(order))
+        return F.when(key.isNotNull(), F.min(order).over(Window.partitionBy(key, alone)))
+
+    by_url, by_content = first(F.nullif(F.col(url), F.lit(""))), first(F.col(content))
     parent = F.when(by_url < F.col(order), by_url).when(by_content < F.col(order), by_content)
     linked = df.withColumn("_parent", parent)
-    roots = linked.select(F.col(order).alias("_id"), F.coalesce("_parent", F.col(order)).alias("_root"))
-    checkpointed(df)
-    for _ in range(rounds):
-        roots = roots.checkpoint()
-        after = roots.join(roots.select(F.col("_id").alias("_root"), F.col("_root").alias("_next")), "_root").select("_id", F.col("_next").alias("_root"), (F.col("_next") != F.col("_root")).alias("_moved"))
-        after = after.checkpoint()
+    roots, moved = settled(linked.select(F.col(order).alias("_id"), F.coalesce("_parent", F.col(order)).alias("_root"))), True
+    while moved:
+        step = roots.select(F.col("_id").alias("_root"), F.col("_root").alias("_next"))
+        after = settled(roots.join(step, "_root").select("_id", F.col("_next").alias("_root"), (F.col("_next") != F.col("_root")).alias("_moved")))
+        moved = not after.where("_moved").isEmpty()
         roots = after.select("_id", "_root")
-        if after.where("_moved").isEmpty():
-            break
     return linked.join(roots, linked[order] == roots["_id"]).select(*df.columns, F.col("_parent").isNotNull().alias("is_duplicate"), F.col("_root").alias("group_id"))
 
 
-def checkpointed(df: DataFrame) -> None:
-    """Make sure that there is a folder for checkpoints: the session's, or one of our own where none is set."""
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once into the session's checkpoint folder (one of our own where none is set, in local tests), without lineage and without the estimate of its size, which joins in a loop would multiply."""
     import tempfile
 
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsloom-"))
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsloom-"))
+    made = df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(made.queryExecution().toRdd(), made.schema(), False), spark)
