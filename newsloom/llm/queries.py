@@ -81,6 +81,25 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: Words of a text: runs of bytes other than white space of ASCII.
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+_SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Links by counting common shingles of all pairs, groups by walking along links.
+_OP1 = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_SMALL)} AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM d, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS t(i) WHERE len(w) > 0),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ r(doc_id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
+ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY 1, 2"""
+
+_OP4 = f"""WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+ x AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS g FROM d, unnest(generate_series(1, len(w) - 12)) AS t(i)), m AS (SELECT g, min(doc_id) AS least FROM x GROUP BY 1),
+ gone AS (SELECT DISTINCT doc_id, i + k AS place FROM x JOIN m USING (g), range(13) AS t(k) WHERE least < doc_id),
+ word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM d), kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS text FROM word ANTI JOIN gone USING (doc_id, place) GROUP BY 1)
+ SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
 def oracle_sql() -> dict:
     """DuckDB SQL by name, for those that SQL can express."""
-    return {}
+    return {"op1_ngram_jaccard": _OP1, "op4_substring_dedup": _OP4}
