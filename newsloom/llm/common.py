@@ -30,7 +30,7 @@ CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 @contextmanager
 def cleaning(spark: SparkSession):
     """What is executed within leaves no shuffle files behind once it has ended; a plan executed again makes them again."""
-    before = spark.conf.get(CLEAN)
+    before = spark.conf.get(CLEAN, "false")
     spark.conf.set(CLEAN, "true")
     try:
         yield
