@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import compression_quality, ngram_jaccard, packing, queries, substring_dedup
-from newsloom.llm.common import checkpoint_dir
+from newsloom.llm.common import checkpoint_dir, dropped
 from newsloom.llm.windows import row_hash
 
 
@@ -23,7 +23,7 @@ def unused(docs: DataFrame, name: str) -> str:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier doesn't reject (score of 0.3 or more). Null and empty texts score alike.
 
-    The classifier learns from the labelled rows of docs.
+    The classifier learns from the labelled rows of docs. Repeated rows stay as often as they come; an empty table stays empty.
     """
     model = compression_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     name = unused(docs, "_score")
@@ -59,7 +59,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their place in sequences of 2048 ids."""
+    """Pieces of documents with their place in sequences of 2048 ids.
+
+    A null or empty text is one piece of its end id; repeated rows are packed as often as they come; an empty table gives no rows.
+    """
     return packing.pack(packing.pieces(docs, queries.tokenizer("word_bpe_49k.json"), 2048, end_id=1), docs.count(), 2048)
 
 
@@ -70,11 +73,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; what each returns is written to the shared checkpoint folder and read by the next."""
+    """All stages in order; what each returns is written to the shared checkpoint folder, read by the next, and removed when that one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if number:
+            dropped(f"{folder}/{number - 1}")
     return docs
