@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import cut, partitions, text_bytes
 from newsloom.llm.components import components
 from newsloom.llm.pretoken import mixed, spread
-from newsloom.llm.windows import answers, cell_of, looked_up, lowered, packed, repeated, sketches, window_hashes, word_hashes
+from newsloom.llm.windows import answers, cell_of, chained, looked_up, lowered, packed, repeated, sketches, window_hashes, word_hashes
 
 #: Links need similarity of at least NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -47,14 +47,8 @@ def shingle_sets(raw: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.nda
     short = np.flatnonzero((counts > 0) & (counts < size))
     if len(short):
         begin = np.concatenate(([0], np.cumsum(counts)))[short]
-        whole = []
-        for at, k in zip(begin.tolist(), counts[short].tolist(), strict=True):
-            total = np.uint64(k)
-            with np.errstate(over="ignore"):
-                for w in words[at : at + k]:
-                    total = total * np.uint64(0xA24BAED4963EE407) + w
-            whole.append(total)
-        found, owner = np.concatenate((found, mixed(np.array(whole, np.uint64)))), np.concatenate((owner, short))
+        whole = [chained([words[at + i : at + i + 1] for i in range(k)])[0] for at, k in zip(begin.tolist(), counts[short].tolist(), strict=True)]
+        found, owner = np.concatenate((found, np.array(whole, np.uint64))), np.concatenate((owner, short))
     order = np.lexsort((found, owner))
     found, owner = found[order], owner[order]
     new = np.ones(len(found), bool)

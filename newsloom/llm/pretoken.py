@@ -7,6 +7,7 @@ tokenizers library as a whole, so every text gets the library's ids.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import unicodedata
 from functools import lru_cache
@@ -44,24 +45,6 @@ def lower_case() -> np.ndarray:
     return out
 
 
-@lru_cache
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd multiplier modulo 2**64, and of its inverse."""
-    base = 0x9E3779B97F4A7C15
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        steps = np.full(n, b, np.uint64)
-        steps[0] = 1
-        out.append(np.cumprod(steps, dtype=np.uint64))
-    return out[0], out[1]
-
-
-@lru_cache
-def noise(n: int, seed: int = 11) -> np.ndarray:
-    """A random odd 64-bit number for each symbol."""
-    return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers, so that all their bits can be used."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -69,15 +52,39 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(symbols: np.ndarray, alphabet: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of symbols: equal spans, equal hashes, wherever they lie."""
-    n = len(symbols)
-    if n == 0 or len(starts) == 0:
-        return np.zeros(len(starts), np.uint64)
-    up, down = powers(1 << max(20, int(n - 1).bit_length()))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(noise(alphabet)[symbols] * up[:n], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+#: Spans of so many bytes or fewer are hashed eight bytes at a time, all together; longer ones one by one.
+SHORT = 64
+
+
+def blocks(data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The first eight bytes from each place as one number, with zeros from a size on. data: bytes, with eight more at the end."""
+    every = np.ndarray(len(data) - 7, "<u8", data.data, strides=(1,))
+    cut = np.minimum(sizes, 8).astype(np.uint64) * np.uint64(8)
+    mask = np.where(cut == 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (cut & np.uint64(63))) - np.uint64(1))
+    return every[at] & mask
+
+
+def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of symbols (uint8 or uint16): equal spans, equal hashes, wherever they lie.
+
+    Each block of eight bytes is scrambled into what came before it, so no structure of a word makes hashes meet: spans of up
+    to eight bytes meet those of equal length never, others by chance only. Long spans have the digest of a keyed hash.
+    """
+    if len(starts) == 0:
+        return np.zeros(0, np.uint64)
+    width = symbols.dtype.itemsize
+    data = np.concatenate((np.ascontiguousarray(symbols).view(np.uint8), np.zeros(8, np.uint8)))
+    at, sizes = starts.astype(np.int64) * width, (ends - starts).astype(np.int64) * width
+    out = mixed(blocks(data, at, sizes) ^ (sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    live = np.flatnonzero((sizes > 8) & (sizes <= SHORT))
+    step = 8
+    while len(live):
+        out[live] = mixed((out[live] + np.uint64(0xD6E8FEB86659FD93)) ^ blocks(data, at[live] + step, sizes[live] - step))
+        step += 8
+        live = live[sizes[live] > step]
+    for i in np.flatnonzero(sizes > SHORT).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[at[i] : at[i] + sizes[i]].data, digest_size=8, key=b"span").digest(), "little")
+    return out
 
 
 def code_points(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +142,9 @@ class Words:
     """Ids of whole texts by looking up each distinct word once.
 
     encode_words: from a list of words to a list of id lists. encode_text: from one text to its ids, for texts with
-    anything special. The cache holds at most ``most`` words and starts anew when full.
+    anything special. Words are found by a hash and then compared letter by letter; a text with a word that
+    another one's hash hides is encoded whole. The cache holds at most ``most`` words, of 2**26 letters in all or
+    so, and starts anew when full.
     """
 
     def __init__(self, style: str, encode_words, encode_text, special: tuple[str, ...], most: int = 800_000):
@@ -147,15 +156,24 @@ class Words:
         self.where: dict[int, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.letters, self.written = np.zeros(1 << 16, np.uint16), 0
+        self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
-    def learn(self, keys: list[int], words: list[str]) -> None:
+    def learn(self, keys: list[int], words: list[str], letters: np.ndarray, sizes: np.ndarray) -> None:
+        """Keep the ids of new words, and their letters, laid end to end."""
         ids = self.encode_words(words)
         lengths = np.fromiter(map(len, ids), np.int32, len(ids))
         total, at, n = int(lengths.sum()), len(self.where), len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         while at + n > len(self.begin):
-            self.begin, self.length = np.concatenate((self.begin, np.zeros_like(self.begin))), np.concatenate((self.length, np.zeros_like(self.length)))
+            self.begin, self.length, self.first, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.length, self.first, self.size))
+        while self.written + len(letters) > len(self.letters):
+            self.letters = np.concatenate((self.letters, np.zeros_like(self.letters)))
+        self.letters[self.written : self.written + len(letters)] = letters
+        self.size[at : at + n] = sizes
+        self.first[at : at + n] = self.written + np.cumsum(sizes) - sizes
+        self.written += len(letters)
         self.flat[self.used : self.used + total] = np.fromiter((x for one in ids for x in one), np.uint32, total)
         self.length[at : at + n] = lengths
         self.begin[at : at + n] = self.used + np.concatenate(([0], np.cumsum(lengths[:-1]))) if n else 0
@@ -193,16 +211,26 @@ class Words:
         if odd.any():
             plain = ~odd[row]
             begins, stops, row = begins[plain], stops[plain], row[plain]
-        keys, at, inverse = np.unique(span_hashes(np.minimum(cp, KNOWN), KNOWN + 1, begins, stops), return_index=True, return_inverse=True)
-        if len(self.where) + len(keys) > self.most:
+        letters, sizes = np.minimum(cp, KNOWN).astype(np.uint16), stops - begins
+        keys, at, inverse = np.unique(span_hashes(letters, begins, stops), return_index=True, return_inverse=True)
+        if len(self.where) + len(keys) > self.most or self.written > 1 << 26:
             self.clear()
         known = keys.tolist()
         new = [i for i, k in enumerate(known) if k not in self.where]
         if new:
-            text = [cp[b:e].tobytes().decode("utf-32-le") for b, e in zip(begins[at[new]].tolist(), stops[at[new]].tolist(), strict=True)]
-            self.learn([known[i] for i in new], text)
-        place = np.fromiter((self.where[k] for k in known), np.int64, len(known))
-        begin, length = self.begin[place][inverse], self.length[place][inverse].astype(np.int64)
+            b, e = begins[at[new]], stops[at[new]]
+            text = [cp[x:y].tobytes().decode("utf-32-le") for x, y in zip(b.tolist(), e.tolist(), strict=True)]
+            self.learn([known[i] for i in new], text, letters[spread(b, e - b)], e - b)
+        place = np.fromiter((self.where[k] for k in known), np.int64, len(known))[inverse]
+        hidden = self.size[place] != sizes
+        same = np.flatnonzero(~hidden)
+        wrong = np.flatnonzero(letters[spread(begins[same], sizes[same])] != self.letters[spread(self.first[place[same]], sizes[same])])
+        hidden[same[np.searchsorted(np.cumsum(sizes[same]), wrong, side="right")]] = True
+        if hidden.any():
+            odd[row[hidden]] = True
+            plain = ~odd[row]
+            place, row = place[plain], row[plain]
+        begin, length = self.begin[place], self.length[place].astype(np.int64)
         ids = self.flat[spread(begin, length)]
         counts = np.bincount(row, weights=length, minlength=rows).astype(np.int64)
         bounds = np.concatenate(([0], np.cumsum(counts)))

@@ -53,21 +53,26 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     while at < len(begins):
         stop = int(np.searchsorted(begins, begins[at] + (2 << 20)))
         low, high = begins[at], ends[stop - 1]
-        out[at:stop] = span_hashes(raw[low:high], 256, begins[at:stop] - low, ends[at:stop] - low)
+        out[at:stop] = span_hashes(raw[low:high], begins[at:stop] - low, ends[at:stop] - low)
         at = stop
     return out, rows, (begins, ends)
 
 
+def chained(words: list[np.ndarray]) -> np.ndarray:
+    """The hash of each sequence of words' hashes; every step scrambles, so that sequences meet by chance only."""
+    total = np.full(len(words[0]), len(words), np.uint64)
+    for w in words:
+        total = (total ^ (total >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + w
+    return mixed(total)
+
+
 def window_hashes(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each run of ``size`` words of one row, and the number of its first word."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     first = np.flatnonzero(rows[: len(rows) - size + 1] == rows[size - 1 :])
-    total = np.zeros(n, np.uint64)
-    for k in range(size):
-        total = total * np.uint64(0xD6E8FEB86659FD93) + words[k : k + n]
-    return mixed(total[first]), first
+    return chained([words[k : k + n] for k in range(size)])[first], first
 
 
 def packed(docs: DataFrame) -> tuple[DataFrame, int]:
