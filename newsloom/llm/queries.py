@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import audio, bpe, compression_quality, ngram_jaccard, nn_descent, packing, records, sharding, substring_dedup, suffix_tree
+from newsloom.llm import audio, bpe, compression_quality, long_matches, ngram_jaccard, nn_descent, packing, records, sharding, substring_dedup, suffix_tree
 from newsloom.llm.common import fold
 
 
@@ -76,6 +76,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_long_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove strings of 100 bytes that begin earlier in the corpus."""
+    return long_matches.deduplicate(documents(spark, sf_dir), 100)
+
+
 def queries() -> dict:
     """Queries by name."""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}

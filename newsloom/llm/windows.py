@@ -75,7 +75,7 @@ def window_hashes(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.nd
     return chained([words[k : k + n] for k in range(size)])[first], first
 
 
-def packed(docs: DataFrame) -> tuple[DataFrame, int]:
+def packed(docs: DataFrame, range_bytes: int = RANGE) -> tuple[DataFrame, int]:
     """doc_id, text, _pack and row_hash, dealt by _pack: the exchange that all passes share; and into how many ranges to deal hashes.
 
     Rows alike in id and text are dealt by their input partition too, so that many of them don't meet in one pack.
@@ -85,7 +85,7 @@ def packed(docs: DataFrame) -> tuple[DataFrame, int]:
     packs = share_count(size, PACK, spark, PACK >> 4)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_hash", row_hash())
     dealt = keyed.select("doc_id", "text", F.pmod(F.xxhash64("row_hash", F.spark_partition_id()), F.lit(packs)).cast("int").alias("_pack"), "row_hash")
-    return dealt.repartition(partitions(spark), "_pack"), share_count(size, RANGE, spark)
+    return dealt.repartition(partitions(spark), "_pack"), share_count(size, range_bytes, spark)
 
 
 def row_hash() -> Column:
