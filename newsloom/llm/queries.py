@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import audio, bpe, compression_quality, long_matches, ngram_jaccard, nn_descent, packing, records, sharding, substring_dedup, suffix_tree
+from newsloom.llm import audio, bpe, centroids, compression_quality, long_matches, ngram_jaccard, nn_descent, packing, product_codes, records, sharding, substring_dedup, suffix_tree
 from newsloom.llm.common import fold
 
 
@@ -76,11 +76,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of four parts of every vector."""
+    return product_codes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=4, entries=256, rounds=4, scale=1024)
+
+
 def op12_long_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove strings of 100 bytes that begin earlier in the corpus."""
     return long_matches.deduplicate(documents(spark, sf_dir), 100)
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen clusters of all vectors of 64 components."""
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16, rounds=3, dims=64, scale=64)
+
+
 def queries() -> dict:
     """Queries by name."""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
@@ -105,6 +115,42 @@ _OP4 = f"""WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w
  SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_GAP = "list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+
+
+def _nearest(rows: str, entries: str, group: str) -> str:
+    """Every row of a group with the nearest entry of that group, ties to the smaller number."""
+    return f"SELECT * EXCLUDE (c, r) FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, {group} ORDER BY d, j) AS r FROM (SELECT v.*, e.j, e.c, {_GAP} AS d FROM {rows} v JOIN {entries} e USING ({group}))) WHERE r = 1"
+
+
+def _moved(assigned: str, entries: str, group: str) -> str:
+    """Entries as the floors of their members' means; those without members stay."""
+    return f"""SELECT e.{group}, e.j, coalesce(m.c, e.c) AS c FROM {entries} e LEFT JOIN (SELECT {group}, j, list(s ORDER BY k) AS c FROM (SELECT {group}, j, k, floor(sum(y) / count(*))::BIGINT AS s
+ FROM (SELECT {group}, j, unnest(x) AS y, generate_subscripts(x, 1) AS k FROM {assigned}) GROUP BY ALL) GROUP BY 1, 2) m USING ({group}, j)"""
+
+
+def _rounds(rows: str, group: str, rounds: int) -> str:
+    """Entries e1, e2, ... and the rows' entries a0, a1, ... from e0."""
+    steps = [f"a0 AS MATERIALIZED ({_nearest(rows, 'e0', group)})"]
+    for i in range(rounds):
+        steps += [f"e{i + 1} AS MATERIALIZED ({_moved(f'a{i}', f'e{i}', group)})", f"a{i + 1} AS MATERIALIZED ({_nearest(rows, f'e{i + 1}', group)})"]
+    return ", ".join(steps)
+
+
+_OP11 = f"""WITH w AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE {_FINITE}),
+ v AS MATERIALIZED (SELECT vec_id, part, x[part * len(x) // 4 + 1 : (part + 1) * len(x) // 4] AS x FROM w, range(4) AS t(part)),
+ e0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS j, x AS c FROM v QUALIFY j < 256), {_rounds("v", "part", 4)},
+ s AS (SELECT vec_id, string_agg(printf('%02x', j), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY 1)
+ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, j, k)) FROM (SELECT part, j, unnest(c) AS y, generate_subscripts(c, 1) AS k FROM e4)) AS codebooks_sha256
+ FROM s JOIN w USING (vec_id)"""
+
+_OP13 = f"""WITH v AS MATERIALIZED (SELECT vec_id, 0 AS one, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = 64 AND {_FINITE}),
+ e0 AS MATERIALIZED (SELECT one, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS j, x AS c FROM v QUALIFY j < 16), {_rounds("v", "one", 3)},
+ h AS (SELECT j, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM e3)
+ SELECT vec_id, j::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256 FROM a3 JOIN h USING (j)"""
+
+
 def oracle_sql() -> dict:
     """DuckDB SQL by name, for those that SQL can express."""
-    return {"op1_ngram_jaccard": _OP1, "op4_substring_dedup": _OP4}
+    return {"op1_ngram_jaccard": _OP1, "op4_substring_dedup": _OP4, "op11_product_codes": _OP11, "op13_centroids": _OP13}
