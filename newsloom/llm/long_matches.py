@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import cut, memory_returned, text_bytes
-from newsloom.llm.pretoken import blocks, mixed, spread
-from newsloom.llm.run_index import marked, runs_of
+from newsloom.llm.pretoken import blocks, mixed, span_hashes, spread
+from newsloom.llm.run_index import cut_out, marked, runs_of, whole_windows
 from newsloom.llm.substring_dedup import identities
 from newsloom.llm.windows import answers, bucket_of, cell_of, from_planes, looked_up, packed, planes, repeated, sketches
 
-#: Bytes of a gram; window starts that are worked on at once; bytes of text of a range; messages to a range that are merged at once.
-GRAM, STARTS, RANGE, FAN = 32, 1 << 20, 8 << 20, 1024
+#: Bytes of a gram; window starts that are worked on at once; bytes of text of a range; messages to a range that are merged at once; snippets compared at once.
+GRAM, STARTS, RANGE, FAN, CHUNK = 32, 1 << 20, 8 << 20, 1024, 1 << 14
 #: What a snippet says beside its bytes: length, anchor, id and hash of its row, start in the row, pack.
 KINDS = (np.uint16, np.uint64, np.int64, np.int64, np.int64, np.int32)
 
@@ -56,11 +56,7 @@ def least_of(values: np.ndarray, width: int) -> np.ndarray:
 def anchors(raw: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor: the anchor's hash, first window start, number of windows, row."""
     gram = min(GRAM, max(1, size // 3))
-    ok = np.diff(starts) >= size
-    steps = np.zeros(len(raw) + 1, np.int8)
-    steps[starts[:-1][ok]] += 1
-    np.subtract.at(steps, starts[1:][ok] - size + 1, 1)
-    valid = np.cumsum(steps[:-1], dtype=np.int8) > 0
+    valid = whole_windows(starts, size)
     out = ([], [], [])
     for low in range(0, len(raw) - size + 1, STARTS):
         high = min(low + STARTS, len(raw) - size + 1)
@@ -89,13 +85,13 @@ def occurrences(raw: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndar
     return hashes, rows
 
 
-def message(snippets: list[bytes], *columns) -> bytes:
-    """Snippets and what is said of each."""
-    head = np.array([len(snippets)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes(np.asarray(c).astype(k)) for c, k in zip(columns, KINDS, strict=True)) + b"".join(snippets))
+def message(raw: np.ndarray, *columns) -> bytes:
+    """Snippets, end to end, and what is said of each."""
+    head = np.array([len(columns[0])], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes(np.asarray(c).astype(k)) for c, k in zip(columns, KINDS, strict=True)) + raw.tobytes())
 
 
-def said(blob: bytes) -> tuple[list[bytes], list[np.ndarray]]:
+def said(blob: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
     """The snippets and columns of message()."""
     data = zstandard.ZstdDecompressor().decompress(blob)
     n, at, columns = int(np.frombuffer(data, "<i8", 1)[0]), 8, []
@@ -103,26 +99,42 @@ def said(blob: bytes) -> tuple[list[bytes], list[np.ndarray]]:
         width = n * np.dtype(kind).itemsize
         columns.append(from_planes(data[at : at + width], kind))
         at += width
-    edges = (at + np.concatenate(([0], np.cumsum(columns[0], dtype=np.int64)))).tolist()
-    return [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], columns
-
-
-def earliest(blobs: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
-    """Each distinct snippet at its first place, in the order of anchors and places; once for each pack that has it there."""
-    found: dict[bytes, list[tuple]] = {}
-    for blob in blobs:
-        snippets, (_, anchor, ids, rows, start, pack) = said(blob)
-        for snippet, *entry in zip(snippets, anchor.tolist(), ids.tolist(), rows.tolist(), start.tolist(), pack.tolist(), strict=True):
-            entry = tuple(entry)
-            known = found.get(snippet)
-            if known is None or entry[:4] < known[0][:4]:
-                found[snippet] = [entry]
-            elif entry[:4] == known[0][:4] and entry not in known:
-                known.append(entry)
-    entries = sorted((entry, snippet) for snippet, all_ in found.items() for entry in all_)
-    snippets = [s for _, s in entries]
-    columns = zip(*(e for e, _ in entries), strict=True) if entries else [()] * 5
-    return snippets, [np.array([len(s) for s in snippets], np.uint16), *(np.array(c, k) for c, k in zip(columns, KINDS[1:], strict=True))]
+    return np.frombuffer(data, np.uint8, offset=at), columns
+
+
+def alike(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A number for each text: the same for equal texts. Found by a hash, and compared byte by byte."""
+    hashes = span_hashes(raw, starts[:-1], starts[1:], short=256)
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    size, model = np.diff(starts), first[number]
+    equal = bool((size == size[model]).all())
+    for low in range(0, len(size) if equal else 0, CHUNK):
+        mine, its = slice(low, low + CHUNK), model[low : low + CHUNK]
+        equal &= bool((raw[starts[low] : starts[min(low + CHUNK, len(size))]] == raw[spread(starts[its], size[mine])]).all())
+    if equal:
+        return number
+    texts: dict[bytes, int] = {}  # two texts of one hash: never seen
+    return np.array([texts.setdefault(raw[a:b].tobytes(), len(texts)) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)])
+
+
+def earliest(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Each distinct snippet at its first place, in the order of anchors and places, once for each pack that has it there: number, bytes, columns."""
+    parts = [said(blob) for blob in blobs]
+    raw = np.concatenate([p[0] for p in parts])
+    columns = [np.concatenate([p[1][k] for p in parts]) for k in range(len(KINDS))]
+    del parts
+    lengths, anchor, ids, rows, start, pack = columns
+    starts = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+    number = alike(raw, starts)
+    order = np.lexsort((pack, start, rows, ids, number))
+    same = number[order][1:] == number[order][:-1]
+    head = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(len(order)), 0))
+    first = order[head]
+    tied = (ids[order] == ids[first]) & (rows[order] == rows[first]) & (start[order] == start[first])
+    tied[1:] &= ~(same & (pack[order][1:] == pack[order][:-1]))
+    chosen = order[tied]
+    chosen = chosen[np.lexsort((pack[chosen], number[chosen], start[chosen], rows[chosen], ids[chosen], anchor[chosen]))]
+    return number[chosen], cut_out(raw, starts[chosen], lengths[chosen].astype(np.int64))[0], [c[chosen] for c in columns]
 
 
 def first_windows(packs: DataFrame, flagged: DataFrame, size: int, buckets: int) -> DataFrame:
@@ -137,13 +149,13 @@ def first_windows(packs: DataFrame, flagged: DataFrame, size: int, buckets: int)
             hashes, first, count, row = hashes[hit], first[hit], count[hit], row[hit]
             ids, keys = identities(docs)[row], docs.column("row_hash").to_numpy()[row]
             start = first - starts[row]
-            data, seen, chosen = raw.tobytes(), set(), []
-            for i in np.lexsort((start, keys, ids)).tolist():
-                snippet = data[first[i] : first[i] + count[i] + size - 1]
-                if snippet not in seen:
-                    seen.add(snippet)
-                    chosen.append(i)
-            chosen = np.array(chosen, np.int64)
+            lengths = count + size - 1
+            order = np.lexsort((start, keys, ids))
+            chosen = order[:0]
+            if len(order):
+                snippets, edges = cut_out(raw, first[order], lengths[order])
+                chosen = order[np.sort(np.unique(alike(snippets, edges), return_index=True)[1])]
+                del snippets
             bucket = bucket_of(hashes[chosen], buckets).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             chosen, bucket = chosen[order], bucket[order]
@@ -151,17 +163,17 @@ def first_windows(packs: DataFrame, flagged: DataFrame, size: int, buckets: int)
             edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist() if len(chosen) else [0]
             for low, high in zip(edges[:-1], edges[1:], strict=True):
                 at = chosen[low:high]
-                snippets = [data[a : a + n] for a, n in zip(first[at].tolist(), (count[at] + size - 1).tolist(), strict=True)]
                 out[0].append(int(bucket[low]))
                 out[1].append(pack)
-                out[2].append(message(snippets, count[at] + size - 1, hashes[at], ids[at], keys[at], start[at], np.full(len(at), pack)))
+                out[2].append(message(cut_out(raw, first[at], lengths[at])[0], lengths[at], hashes[at], ids[at], keys[at], start[at], np.full(len(at), pack)))
+        memory_returned()
         return pa.table([pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "_pack", "blob"])
 
     wanted = packs.groupBy("_pack").cogroup(flagged.groupBy("_pack")).applyInArrow(asked, "bucket int, _pack int, blob binary")
 
     def merged(table: pa.Table) -> pa.Table:
-        snippets, columns = earliest(table.column("blob").to_pylist())
-        return pa.table([table.column("bucket").slice(0, 1), table.column("_pack").slice(0, 1), pa.array([message(snippets, *columns)], pa.binary())], ["bucket", "_pack", "blob"])
+        _, raw, columns = earliest(table.column("blob").to_pylist())
+        return pa.table([table.column("bucket").slice(0, 1), table.column("_pack").slice(0, 1), pa.array([message(raw, *columns)], pa.binary())], ["bucket", "_pack", "blob"])
 
     many = flagged.agg(F.max("_pack")).first()[0] or 0
     while many > FAN:  # so that a snippet that nearly all packs have reaches its range a bounded number of times
@@ -169,20 +181,20 @@ def first_windows(packs: DataFrame, flagged: DataFrame, size: int, buckets: int)
         wanted = wanted.withColumn("_pack", F.pmod(F.xxhash64("_pack"), F.lit(many + 1)).cast("int")).groupBy("bucket", "_pack").applyInArrow(merged, "bucket int, _pack int, blob binary")
 
     def owned(table: pa.Table) -> pa.Table:
-        snippets, (lengths, anchor, ids, rows, start, pack) = earliest(table.column("blob").to_pylist())
-        new = np.ones(len(snippets), bool)  # entries of one snippet differ by their pack only and lie together
-        new[1:] = [a != b for a, b in zip(snippets[1:], snippets[:-1], strict=True)]
-        distinct = [s for s, n in zip(snippets, new.tolist(), strict=True) if n]
-        raw = np.frombuffer(b"".join(distinct), np.uint8)
+        number, raw, (lengths, anchor, _, rows, start, pack) = earliest(table.column("blob").to_pylist())
+        new = np.ones(len(number), bool)  # entries of one snippet differ by their pack only and lie together
+        new[1:] = number[1:] != number[:-1]
+        edges = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+        if not new.all():
+            raw, _ = cut_out(raw, edges[:-1][new], np.diff(edges)[new])
         starts = np.concatenate(([0], np.cumsum(lengths[new], dtype=np.int64)))
         _, group = np.unique(anchor[new], return_inverse=True)
         later = marked(raw, starts, group, size)
-        windows = np.repeat(starts[1:], np.diff(starts)) - np.arange(len(raw)) >= size
-        at, number = runs_of(windows & ~later, starts)
+        at, windows = runs_of(whole_windows(starts, size) & ~later, starts)
         of = np.searchsorted(starts, at, side="right") - 1
         which = np.cumsum(new) - 1
         low, high = np.searchsorted(of, which, side="left"), np.searchsorted(of, which, side="right")
-        entry = np.repeat(np.arange(len(snippets)), high - low)
+        entry = np.repeat(np.arange(len(number)), high - low)
         run = spread(low, high - low)
         order = np.argsort(pack[entry], kind="stable")
         entry, run = entry[order], run[order]
@@ -192,7 +204,7 @@ def first_windows(packs: DataFrame, flagged: DataFrame, size: int, buckets: int)
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             e, r = entry[a:b], run[a:b]
             out[0].append(int(owner[a]))
-            out[1].append(planes(rows[e]) + planes(start[e] + at[r] - starts[of[r]]) + planes(number[r]))
+            out[1].append(planes(rows[e]) + planes(start[e] + at[r] - starts[of[r]]) + planes(windows[r]))
         memory_returned()
         return pa.table([pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.binary()), strict=True)], ["_pack", "runs"])
 

@@ -64,7 +64,7 @@ def blocks(data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return every[at] & mask
 
 
-def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, short: int = SHORT) -> np.ndarray:
     """A 64-bit hash of each span of symbols (uint8 or uint16): equal spans, equal hashes, wherever they lie.
 
     Each block of eight bytes is scrambled into what came before it, so no structure of a word makes hashes meet: spans of up
@@ -76,13 +76,13 @@ def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     data = np.concatenate((np.ascontiguousarray(symbols).view(np.uint8), np.zeros(8, np.uint8)))
     at, sizes = starts.astype(np.int64) * width, (ends - starts).astype(np.int64) * width
     out = mixed(blocks(data, at, sizes) ^ (sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    live = np.flatnonzero((sizes > 8) & (sizes <= SHORT))
+    live = np.flatnonzero((sizes > 8) & (sizes <= short))
     step = 8
     while len(live):
         out[live] = mixed((out[live] + np.uint64(0xD6E8FEB86659FD93)) ^ blocks(data, at[live] + step, sizes[live] - step))
         step += 8
         live = live[sizes[live] > step]
-    for i in np.flatnonzero(sizes > SHORT).tolist():
+    for i in np.flatnonzero(sizes > short).tolist():
         out[i] = int.from_bytes(hashlib.blake2b(data[at[i] : at[i] + sizes[i]].data, digest_size=8, key=b"span").digest(), "little")
     return out
 

@@ -157,17 +157,26 @@ def runs_of(flags: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first, np.flatnonzero(end) - first
 
 
+def whole_windows(starts: np.ndarray, size: int) -> np.ndarray:
+    """For each byte of texts end to end, whether ``size`` bytes of its text begin there."""
+    long = np.diff(starts) >= size
+    steps = np.zeros(int(starts[-1]) + 1, np.int8)
+    np.add.at(steps, starts[:-1][long], 1)
+    np.subtract.at(steps, starts[1:][long] - size + 1, 1)
+    return np.cumsum(steps[:-1], dtype=np.int8) > 0
+
+
 def cut_out(raw: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans of bytes laid end to end, and the first byte of each (one more than spans)."""
     return raw[spread(at, lengths)], np.concatenate(([0], np.cumsum(lengths)))
 
 
-def marked(raw: np.ndarray, starts: np.ndarray, groups: np.ndarray, size: int, most: int = 1 << 20) -> np.ndarray:
+def marked(raw: np.ndarray, starts: np.ndarray, groups: np.ndarray, size: int, most: int = 1 << 19) -> np.ndarray:
     """For each byte of texts in order, whether the ``size`` bytes from there, within the text, also begin at an earlier place.
 
     Texts that may share such strings have one group, and lie together by group, in order within it. Of each group the first
     texts are indexed, and all later ones are streamed against the index: what matches is marked; what is left of a text goes
-    on to the next turn, in which four times as many of each group are indexed. No index holds over ``most`` bytes, or one text.
+    on to the next turn, in which four times as many of each group are indexed. No index and no stream holds over ``most`` bytes, or one text.
     """
     out = np.zeros(len(raw), bool)
     begin, length, group = starts[:-1].copy(), np.diff(starts), groups
@@ -196,19 +205,20 @@ def marked(raw: np.ndarray, starts: np.ndarray, groups: np.ndarray, size: int, m
             text = np.searchsorted(index.begins, again, side="right") - 1
             out[begin[chosen][text] + again - index.begins[text]] = True
             others = np.flatnonzero(~pick[a:z]) + a
-            if not len(others):
-                continue
-            query, first = cut_out(raw, begin[others], length[others])
-            found = index.matching(query, first) >= size
-            origin = spread(begin[others], length[others])
-            out[origin[found]] = True
-            # windows that are still open, as runs, with the bytes that they cover
-            open_ = ~found
-            room = np.repeat(first[1:], length[others]) - np.arange(len(query)) >= size
-            at, windows = runs_of(open_ & room, first)
-            left[0].append(origin[at])
-            left[1].append(windows + size - 1)
-            left[2].append(group[others][np.searchsorted(first, at, side="right") - 1])
+            parts = np.cumsum(length[others]) // most
+            for part in np.split(others, np.flatnonzero(np.diff(parts)) + 1) if len(others) else ():
+                query, first = cut_out(raw, begin[part], length[part])
+                found = index.matching(query, first) >= size
+                at, windows = runs_of(found, first)
+                text = np.searchsorted(first, at, side="right") - 1
+                for place, n in zip((begin[part][text] + at - first[text]).tolist(), windows.tolist(), strict=True):
+                    out[place : place + n] = True
+                # windows that are still open, as runs, with the bytes that they cover
+                at, windows = runs_of(whole_windows(first, size) & ~found, first)
+                text = np.searchsorted(first, at, side="right") - 1
+                left[0].append(begin[part][text] + at - first[text])
+                left[1].append(windows + size - 1)
+                left[2].append(group[part][text])
         begin, length, group = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in left)
         many *= 4
     return out
