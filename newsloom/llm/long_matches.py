@@ -28,6 +28,7 @@ from newsloom.llm.windows import answers, bucket_of, cell_of, from_planes, looke
 
 #: Bytes of a gram; window starts that are worked on at once; bytes of text of a range; messages to a range that are merged at once; snippets compared at once.
 GRAM, STARTS, RANGE, FAN, CHUNK = 32, 1 << 20, 8 << 20, 1024, 1 << 14
+SEED = np.uint64(0x6A09E667F3BCC909)
 #: What a snippet says beside its bytes: length, anchor, id and hash of its row, start in the row, pack.
 KINDS = (np.uint16, np.uint64, np.int64, np.int64, np.int64, np.int32)
 
@@ -72,7 +73,7 @@ def anchors(raw: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray,
         end = own.copy()
         end[:-1] &= ~own[1:] | (place[1:] != place[:-1])
         first = np.flatnonzero(begin)
-        out[0].append(hashes[place[first]])
+        out[0].append(mixed(hashes[place[first]] ^ SEED))  # least hashes, dealt evenly again
         out[1].append(first + low)
         out[2].append(np.flatnonzero(end) + 1 - first)
     hashes, first, count = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in zip(out, (np.uint64, np.int64, np.int64), strict=True))
@@ -189,7 +190,7 @@ def first_windows(packs: DataFrame, flagged: DataFrame, size: int, buckets: int)
             raw, _ = cut_out(raw, edges[:-1][new], np.diff(edges)[new])
         starts = np.concatenate(([0], np.cumsum(lengths[new], dtype=np.int64)))
         _, group = np.unique(anchor[new], return_inverse=True)
-        later = marked(raw, starts, group, size)
+        later = marked(raw, starts, group, size, within=False)  # windows of one snippet differ, as their anchors lie differently
         at, windows = runs_of(whole_windows(starts, size) & ~later, starts)
         of = np.searchsorted(starts, at, side="right") - 1
         which = np.cumsum(new) - 1

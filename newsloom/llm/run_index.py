@@ -171,12 +171,13 @@ def cut_out(raw: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> tuple[np.nd
     return raw[spread(at, lengths)], np.concatenate(([0], np.cumsum(lengths)))
 
 
-def marked(raw: np.ndarray, starts: np.ndarray, groups: np.ndarray, size: int, most: int = 1 << 19) -> np.ndarray:
+def marked(raw: np.ndarray, starts: np.ndarray, groups: np.ndarray, size: int, most: int = 1 << 19, within: bool = True) -> np.ndarray:
     """For each byte of texts in order, whether the ``size`` bytes from there, within the text, also begin at an earlier place.
 
     Texts that may share such strings have one group, and lie together by group, in order within it. Of each group the first
     texts are indexed, and all later ones are streamed against the index: what matches is marked; what is left of a text goes
     on to the next turn, in which four times as many of each group are indexed. No index and no stream holds over ``most`` bytes, or one text.
+    within: whether a text can repeat a string of its own; if not, a text alone in its group is done.
     """
     out = np.zeros(len(raw), bool)
     begin, length, group = starts[:-1].copy(), np.diff(starts), groups
@@ -184,6 +185,10 @@ def marked(raw: np.ndarray, starts: np.ndarray, groups: np.ndarray, size: int, m
     while len(begin):
         keep = length >= size
         begin, length, group = begin[keep], length[keep], group[keep]
+        if not within and len(group):
+            _, own, number = np.unique(group, return_inverse=True, return_counts=True)
+            keep = number[own] > 1
+            begin, length, group = begin[keep], length[keep], group[keep]
         if not len(begin):
             break
         head = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
@@ -191,8 +196,8 @@ def marked(raw: np.ndarray, starts: np.ndarray, groups: np.ndarray, size: int, m
         pick = nth < many
         # whole groups up to so many bytes; a group of more gives its first texts only
         picked = np.where(pick, length, 0)
-        within = np.cumsum(picked) - np.repeat((np.cumsum(picked) - picked)[head], np.diff(np.append(head, len(group))))
-        pick &= (within <= most) | (nth == 0)
+        so_far = np.cumsum(picked) - np.repeat((np.cumsum(picked) - picked)[head], np.diff(np.append(head, len(group))))
+        pick &= (so_far <= most) | (nth == 0)
         picked = np.where(pick, length, 0)
         total = np.add.reduceat(picked, head)
         share = np.repeat(np.cumsum(total) // most, np.diff(np.append(head, len(group))))
