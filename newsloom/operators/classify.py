@@ -55,16 +55,21 @@ def topics(df: DataFrame, category: str, title: str, summary: str, content: str,
         score = score + F.when(alias == topic, ALIAS_WEIGHT).otherwise(0.0) + F.when(lock == topic, LOCK_WEIGHT).otherwise(0.0)
         scores.append(F.struct((-score).alias("neg"), F.lit(order).alias("order"), F.lit(topic).alias("topic")))
     ranked = wide.withColumn("_s", F.array_sort(F.array(*scores)))
-    best = -F.col("_s")[0]["neg"]
-    total = F.aggregate("_s", F.lit(0.0), lambda a, s: a - s["neg"])
-    general = best < LEAST
-    second = F.slice(F.transform(F.filter(F.slice("_s", 2, len(lexicon)), lambda s: (s["neg"] < 0) & ((-s["neg"] >= LEAST) | (-s["neg"] >= best * 0.5))), lambda s: s["topic"]), 1, 3)
     more = F.array().cast("array<string>")
     for name, found in (extra or {}).items():
         more = F.when(T.has_keyword(folded[0], name) & (F.size(more) == 0), F.array(*(F.lit(t) for t in found))).otherwise(more)
+    return decided(ranked, df.columns, len(lexicon), more)
+
+
+def decided(ranked: DataFrame, columns: list[str], size: int, more: Column) -> DataFrame:
+    """columns, primary_topic, topic_confidence, secondary_topics from _s: structs of neg (less the score), order and topic, sorted. more: further secondary topics."""
+    best = -F.col("_s")[0]["neg"]
+    total = F.aggregate("_s", F.lit(0.0), lambda a, s: a - s["neg"])
+    general = best < LEAST
+    second = F.slice(F.transform(F.filter(F.slice("_s", 2, size), lambda s: (s["neg"] < 0) & ((-s["neg"] >= LEAST) | (-s["neg"] >= best * 0.5))), lambda s: s["topic"]), 1, 3)
     second = F.array_distinct(F.concat(second, F.filter(more, lambda t: t != F.col("_s")[0]["topic"])))
     return ranked.select(
-        *df.columns,
+        *columns,
         F.when(general, GENERAL[0]).otherwise(F.col("_s")[0]["topic"]).alias("primary_topic"),
         F.when(general, 0.0).otherwise(F.round(F.least(F.lit(1.0), best / total), 4)).alias("topic_confidence"),
         F.when(general, F.array().cast("array<string>")).otherwise(second).alias("secondary_topics"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,15 +42,21 @@ def greedy_groups(df: DataFrame, order: str, url: str, content: str) -> DataFram
     return linked.join(roots, linked[order] == roots["_id"]).select(*df.columns, F.col("_parent").isNotNull().alias("is_duplicate"), F.col("_root").alias("group_id"))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once into the session's checkpoint folder (one of our own where none is set, in local tests), without lineage and without the estimate of its size, which joins in a loop would multiply."""
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share; one of our own where none is set, in local tests."""
     import tempfile
 
-    spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found and not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="newsloom-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once into the shared folder, without lineage and without the estimate of its size, which joins in a loop would multiply."""
+    spark = df.sparkSession
+    shared_folder(spark)
     made = df.checkpoint()._jdf
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(made.queryExecution().toRdd(), made.schema(), False), spark)

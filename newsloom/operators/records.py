@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import ids
 from newsloom.functions import text as T
-from newsloom.operators.dedup import newest_by_key
+from newsloom.operators.dedup import newest_by_key, settled
 
 #: Other names of topics in filters; letters of the narrow accent table; a context's length and its mark.
 TOPIC_FILTERS = {
@@ -156,12 +156,35 @@ def holds_hash(manifest: DataFrame, hashes: DataFrame) -> DataFrame:
     return hashes.join(known, "hash", "left_semi")
 
 
-def images_under(json: Column) -> Column:
-    """All values of image keys anywhere in a JSON text, in the order of the text, each once: strings under a key, or under its url or contentUrl."""
-    key = r'"(?:image|images|image_url|thumbnail|thumbnailUrl|avatar)"\s*:\s*'
-    value = r'"((?:[^"\\]|\\.)*)"'
-    direct = F.regexp_extract_all(json, F.lit(key + r"(?:\[\s*)?(?:\{[^{}]*?\"(?:url|contentUrl)\"\s*:\s*)?" + value), 1)
-    return F.array_distinct(F.filter(F.transform(direct, lambda v: F.replace(v, F.lit("\\/"), F.lit("/"))), lambda v: v != ""))
+#: Keys under which a JSON object holds images, in the order in which they are read.
+IMAGE_KEYS = ("image", "imageUrl", "thumbnailUrl", "url", "contentUrl")
+
+
+def images_under(df: DataFrame, key: str, json: str) -> DataFrame:
+    """key, path, value: the image values of each row's JSON, in the order of path within a row.
+
+    A walk from the root: a string is a value unless blank; a list stands for its members in order; an object for what it
+    holds under the image keys, in their order. All else holds none. One step of the walk is one pass over what is still
+    open, whatever its depth. Null and broken JSON has no values; of a key that an object repeats the last counts.
+    """
+    spark = df.sparkSession
+    setting = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        open_ = settled(df.select(key, F.array().cast("array<int>").alias("path"), F.try_parse_json(F.col(json)).alias("v")).where("v IS NOT NULL"))
+        found = None
+        while found is None or not open_.isEmpty():
+            kinds = open_.withColumn("kind", F.schema_of_variant("v"))
+            strings = kinds.where("kind = 'STRING'").select(key, "path", F.try_variant_get("v", "$", "string").alias("value")).where(F.col("value").rlike(r"(?U)\S"))
+            found = strings if found is None else found.unionByName(strings)
+            lists = kinds.where(F.col("kind").startswith("ARRAY")).select(key, "path", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("i", "v"))
+            held = F.array(*(F.try_variant_get("v", f"$.{name}", "variant") for name in IMAGE_KEYS))
+            objects = kinds.where(F.col("kind").startswith("OBJECT")).select(key, "path", F.posexplode(held).alias("i", "v")).where("v IS NOT NULL")
+            open_ = settled(lists.unionByName(objects).select(key, F.concat("path", F.array("i")).alias("path"), "v"))
+    finally:
+        spark.conf.set(setting, before)
+    return found
 
 
 def real_chunks(chunks: DataFrame) -> DataFrame:

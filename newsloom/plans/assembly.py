@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.operators import assembly
+from newsloom.operators import assembly, followups
 from newsloom.plans.registry import query
 from newsloom.sources.views import ART, CHUNKS, articles, chunks, table
 
@@ -72,6 +72,34 @@ def follow_ups(spark, sf_dir):
     return assembly.previous_turn(c, "conv_id", "turn", "text").drop("text")
 
 
+_ASKED = "[' nguồn 2', ' tin này nói gì', ' xem ảnh [1]', ' rút gọn', '', ' bài báo số 7', ' giải thích thêm ý trên'][turn // 2 % 7 + 1]"
+_REFERS = "regexp_matches(q, 'bai nay|bai do|bai bao nay|bai bao do|tin nay|tin do|nguon nay|nguon do|y tren|doan tren')"
+
+
+@query(
+    f"""WITH RECURSIVE c AS (SELECT *, role <> 'user' AS answer, lower(strip_accents(replace(text, 'đ', 'd'))) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+ f AS (SELECT conv_id, n, turn, answer, trim(regexp_replace(x || lower(strip_accents({_ASKED})), '\\s+', ' ', 'g')) AS q, list_filter(string_split(x, chr(10)), lambda l: trim(l) <> '')[1:3] AS lines FROM c),
+ g AS (SELECT *, CASE WHEN answer THEN NULL ELSE coalesce(nullif(regexp_extract(q, '\\[(\\d{{1,2}})\\]', 1), ''), nullif(regexp_extract(q, '(?:nguon|source)\\s*(?:so)?\\s*(\\d{{1,2}})', 1), ''), nullif(regexp_extract(q, '(?:bai\\s+bao|article)\\s*(?:so)?\\s*(\\d{{1,2}})', 1), ''), nullif(regexp_extract(q, '(?:bai|tin)\\s*(?:so)?\\s*(\\d{{1,2}})', 1), ''))::INTEGER END AS cited, {_REFERS} AS refers,
+  list_filter(regexp_extract_all(q, '[\\pL\\pN_]+'), lambda t: length(t) >= 3 AND NOT list_contains(['tom','tat','bai','bao','tin','nguon','source','article','noi','dung','nay','cua','cho','toi','hay','minh','duoc','khong','can'], t) AND NOT regexp_matches(t, '^\\d+$')) AS terms FROM f),
+ r(conv_id, n, turn, answer, q, cited, refers, lines, chosen, status, found) AS (SELECT conv_id, 0::BIGINT, NULL::BIGINT, true, '', NULL::INTEGER, false, []::VARCHAR[], NULL::INTEGER, '', NULL::INTEGER FROM (SELECT DISTINCT conv_id FROM g)
+  UNION ALL SELECT conv_id, n, turn, answer, q, cited, refers, held, CASE WHEN answer AND len(lines) > 0 THEN NULL WHEN status = 'source' THEN found ELSE chosen END, status, CASE WHEN status = 'none' THEN NULL ELSE found END FROM (
+   SELECT *, CASE WHEN answer THEN '' WHEN len(held) = 0 THEN 'none' WHEN number IS NOT NULL AND number > len(held) THEN 'clarify' WHEN number IS NOT NULL AND len(terms) > 0 AND len(words) > 0 AND NOT list_has_any(terms, words) THEN 'none' WHEN number IS NOT NULL THEN 'source' WHEN NOT refers THEN 'none' WHEN len(held) = 1 THEN 'source' ELSE 'clarify' END AS status,
+    CASE WHEN number IS NOT NULL THEN number WHEN len(held) = 1 THEN 1 END AS found FROM (
+    SELECT g.*, r.chosen, CASE WHEN g.answer AND len(g.lines) > 0 THEN g.lines ELSE r.lines END AS held, coalesce(g.cited, r.chosen) AS number, list_filter(regexp_extract_all(coalesce(r.lines[coalesce(g.cited, r.chosen)], ''), '[\\pL\\pN_]+'), lambda t: length(t) >= 3) AS words FROM r JOIN g ON g.conv_id = r.conv_id AND g.n = r.n + 1)))
+ SELECT conv_id, turn, status, coalesce(found, 0) AS citation_id, CASE WHEN regexp_matches(q, 'tom tat ngan hon|noi ngan gon|ngan gon hon|rut gon|viet ngan hon') THEN 'followup_simplify' WHEN regexp_matches(q, 'xem anh|hinh anh|anh cua') AND (refers OR cited IS NOT NULL) THEN 'followup_media_lookup' WHEN regexp_matches(q, 'tom tat|noi gi|noi dung gi|bai nay|tin nay|nguon nay') AND (refers OR cited IS NOT NULL) THEN 'followup_article_summary'
+  WHEN cited IS NOT NULL THEN 'followup_citation_question' WHEN regexp_matches(q, 'giai thich them|y tren|doan tren') THEN 'followup_expand' END AS intent FROM r WHERE NOT answer"""
+)
+def resolved_follow_ups(spark, sf_dir):
+    """Questions of all conversations, with phrases of follow-ups at their ends, resolved against the lines of the answers before them (R-10, X-22)."""
+    phrases = F.array(*map(F.lit, (" nguồn 2", " tin này nói gì", " xem ảnh [1]", " rút gọn", "", " bài báo số 7", " giải thích thêm ý trên")))
+    asked = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("role") == "user", phrases[F.floor(F.col("turn") / 2 % 7).cast("int")]).otherwise(""))
+    lines = F.slice(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 1, 3)
+    empty = F.lit(None).cast("string")
+    source = F.transform(lines, lambda x, i: F.struct((i + 1).cast("int").alias("citation_id"), empty.alias("article_id"), empty.alias("url"), x.alias("title"), empty.alias("snippet"), empty.alias("source"), empty.alias("topic")))
+    c = table(spark, sf_dir, "conversations").withColumns({"text": asked, "sources": F.when(F.col("role") != "user", source)})
+    return followups.resolve(c, "conv_id", "turn", "role", "text", "sources").withColumn("citation_id", F.coalesce("citation_id", F.lit(0)))
+
+
 @query()
 def extractive_answers(spark, sf_dir):
     """The sentences that answer best, in order (T-22, O-14, X-14, X-21)."""

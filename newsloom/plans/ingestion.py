@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import ids, urls
 from newsloom.functions import text as T
-from newsloom.operators import chunking, classify, ingest
+from newsloom.operators import chunking, classify, ingest, lexicon
 from newsloom.plans.registry import query
 from newsloom.plans.texts import FOLD
 from newsloom.sources.views import ART, articles, table
@@ -102,6 +102,26 @@ def article_entities(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("e")).select("doc_id", "e.type", "e.name", "e.mentions")
 
 
+_TOKENS = r"regexp_extract_all(trim(regexp_replace({0}, '\s+', ' ', 'g')), '[\pL\pN_]+|[^\pL\pN_]')"
+
+
+@query(
+    f"""WITH b AS (SELECT item_id, {_TOKENS.format(FOLD.format('text'))} AS w FROM benchmark), g AS (SELECT item_id, w[i : i + 2] AS g FROM b, unnest(range(1, len(w) - 1)) AS t(i) WHERE w[i + 1] = ' ' AND length(w[i]) > 1 AND length(w[i + 2]) > 1 AND w[i] <> w[i + 2] AND regexp_matches(w[i] || w[i + 2], '^[\\pL\\pN_]+$')),
+ x AS (SELECT DISTINCT item_id, array_to_string(g, '') AS alias FROM g), d AS (SELECT doc_id, {_TOKENS.format(FOLD.format('text'))} AS w FROM documents),
+ m AS (SELECT doc_id, array_to_string(w[i : i + 2], '') AS alias, count(*) AS n FROM d, unnest(range(1, len(w) - 1)) AS t(i) WHERE w[i + 1] = ' ' GROUP BY 1, 2)
+ SELECT doc_id, 'passage' AS type, item_id::VARCHAR AS name, sum(n)::BIGINT AS mentions FROM m JOIN x USING (alias) GROUP BY ALL"""
+)
+def lexicon_entities(spark, sf_dir):
+    """Entities of a lexicon of over a thousand aliases, the pairs of words of the benchmark's passages, in all documents (T-11, X-12, Q-17)."""
+    words = F.regexp_extract_all(T.normalized(F.col("text")), F.lit(r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_]"), 0)
+    w = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w")).where(F.size("w") >= 3)
+    g = w.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.slice("w", i, 3))).alias("g"))
+    one, two = F.col("g")[0], F.col("g")[2]
+    g = g.where((F.col("g")[1] == " ") & (F.length(one) > 1) & (F.length(two) > 1) & (one != two) & F.concat(one, two).rlike(r"^[\p{L}\p{N}_]+$"))
+    aliases = g.select(F.lit("passage").alias("type"), F.col("item_id").cast("string").alias("name"), F.array_join("g", "").alias("alias"), F.lit(0.9).alias("confidence"))
+    return lexicon.entities(table(spark, sf_dir, "documents"), "doc_id", "text", aliases).drop("confidence")
+
+
 @query()
 def article_chunks(spark, sf_dir):
     """Chunks of articles (T-12, T-13, T-14, X-13, X-17, X-18, Q-11, Q-12)."""

@@ -116,12 +116,22 @@ def related_articles(spark, sf_dir):
     return R.related(a, "source", [F.col("article_id")], given, ["title"]).select("source", "article_id", "title")
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'http://a/1' WHEN 1 THEN 'http://b/2,http://b/3' WHEN 2 THEN 'http://c/4' ELSE '' END AS images FROM documents")
+@query(
+    """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN [string_split(text, chr(10))[1], source, lang] WHEN doc_id % 4 = 1 THEN [lang, text, source] WHEN doc_id % 4 = 2 THEN [text] ELSE [] END AS v FROM documents)
+ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS place, value FROM (SELECT doc_id, unnest(v) AS value, generate_subscripts(v, 1) AS i FROM d) WHERE regexp_matches(value, '[^\\s]')"""
+)
 def json_images(spark, sf_dir):
-    """Image values anywhere in JSON (X-72)."""
-    i = F.col("doc_id")
-    given = F.when(i % 4 == 0, '{"a": {"image": "http:\\/\\/a\\/1"}, "b": 1}').when(i % 4 == 1, '[{"thumbnail": {"@type": "I", "url": "http://b/2"}}, {"image": ["http://b/3"]}, {"avatar": "http://b/2"}]').when(i % 4 == 2, '{"x": [{"image": {"contentUrl": "http://c/4"}}]}').otherwise("{}")
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(R.images_under(given), ",").alias("images"))
+    """Image values of JSON made of whole documents: under keys, in lists and objects, escaped, repeated, broken (X-72, X-71)."""
+    from pyspark.sql import Window
+
+    text, title, i = F.col("text"), F.substring_index("text", "\n", 1), F.col("doc_id") % 4
+    inner = F.struct(title.alias("contentUrl"), F.lit("no").alias("caption"))
+    first = F.to_json(F.struct(F.array(F.struct(F.array(inner).alias("url"))).alias("image"), F.col("source").alias("imageUrl"), F.col("lang").alias("contentUrl"), F.struct(F.lit("no").alias("image")).alias("other")))
+    second = F.concat(F.lit('[{"url": "gone", "url": '), F.to_json(F.array("lang", "text")), F.lit('}, 1, null, {"thumbnailUrl": '), F.regexp_replace(F.to_json(F.array("source")), r"^\[|\]$", ""), F.lit("}]"))
+    third = F.regexp_replace(F.to_json(F.array("text")), r"^\[|\]$", "")
+    given = table(spark, sf_dir, "documents").select("doc_id", F.when(i == 0, first).when(i == 1, second).when(i == 2, third).otherwise(F.concat(F.lit("{"), text)).alias("json"))
+    found = R.images_under(given, "doc_id", "json")
+    return found.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("path")) - 1).alias("place"), "value")
 
 
 @query("SELECT source, count(*) AS pages, sum(doc_id % 7)::BIGINT AS found, sum(doc_id % 7 // 2)::BIGINT AS new, sum(doc_id % 7 - doc_id % 7 // 2)::BIGINT AS repeated, count(*) FILTER (WHERE doc_id % 13 = 0) AS failed FROM documents GROUP BY source")

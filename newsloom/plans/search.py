@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from newsloom.operators import retrieval
+from newsloom.operators import inverted, retrieval
+from newsloom.operators.dedup import shared_folder
 from newsloom.plans.registry import query
 from newsloom.sources.views import articles, table
 
@@ -31,6 +34,22 @@ def bm25_filtered(spark, sf_dir):
     return retrieval.bm25(d, "doc_id", "text", QUESTION, 10, F.lower("source") == "src3").select("doc_id", F.round("bm25_score", 6).alias("bm25_score"))
 
 
+_ASKED = _TOKENS.split("),\n dl AS")[0].replace("documents", "benchmark").replace("doc_id", "item_id").replace("w AS", "qw AS").replace("t AS", "qt AS").replace("FROM w", "FROM qw") + ")"
+
+
+@query(
+    f"""WITH {_TOKENS}, {_ASKED}, q AS (SELECT DISTINCT item_id, token FROM qt), f AS (SELECT doc_id, token, count(*) AS f FROM t WHERE token IN (SELECT token FROM q) GROUP BY 1, 2), fd AS (SELECT token, count(*) AS d FROM f GROUP BY 1),
+ s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * l / a))), 9) AS s FROM q JOIN f USING (token) JOIN fd USING (token) JOIN dl USING (doc_id), st GROUP BY 1, 2)
+ SELECT item_id, doc_id, round(s, 6) AS bm25_score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5"""
+)
+def bm25_questions(spark, sf_dir):
+    """A table of questions, the benchmark's passages, answered from a stored index (A-15, J-15, R-02, O-05, W-11)."""
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    inverted.build(table(spark, sf_dir, "documents"), "doc_id", "text", folder)
+    found = inverted.search(spark, folder, table(spark, sf_dir, "benchmark"), 5, "item_id", "text")
+    return found.select(F.col("qid").alias("item_id"), F.col("key").alias("doc_id"), F.round("bm25_score", 6).alias("bm25_score"), "rank")
+
+
 @query(f"WITH {_TOKENS} SELECT token AS term, count(*) AS documents, sum(f)::BIGINT AS occurrences FROM (SELECT doc_id, token, count(*) AS f FROM t GROUP BY 1, 2) GROUP BY 1")
 def postings_statistics(spark, sf_dir):
     """The index of all terms (A-15)."""
