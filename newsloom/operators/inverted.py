@@ -25,7 +25,7 @@ from newsloom.operators.retrieval import K1, B
 
 #: Texts of a block; blocks that a question scores first; rows of a questions' table that are broadcast; digits of a score; questions that a block scores at once; terms that
 #: are named to the scan.
-TEXTS, PROBED, SMALL, DIGITS, SLICE, FEW = 512, 2, 200_000, 9, 1024, 500
+TEXTS, PROBED, SMALL, DIGITS, SLICE, FEW = 2048, 2, 200_000, 9, 1024, 500
 
 
 def build(chunks: DataFrame, key: str, text: str, path: str, buckets: int = 64) -> None:
