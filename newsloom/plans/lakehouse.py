@@ -165,3 +165,24 @@ def image_scan(spark, sf_dir):
     """Children of a list of parents (S-05, S-09)."""
     wanted = spark.createDataFrame([(i,) for i in (1, 2, 3, 5, 8, 13, 21, 34)], "l_orderkey long")
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag").join(F.broadcast(wanted), "l_orderkey", "left_semi")
+
+
+@query(
+    """WITH n AS (SELECT o_orderkey, o_custkey, o_totalprice + 1 AS o_totalprice, 'changed' AS note FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey + 1000000000, o_custkey, o_totalprice, 'new' FROM orders WHERE o_orderkey % 5 = 0)
+ SELECT * FROM (SELECT * FROM n UNION ALL SELECT o_orderkey, o_custkey, o_totalprice, NULL FROM orders WHERE o_orderkey % 3 <> 0) WHERE o_custkey % 10 <> 4"""
+)
+def bucketed_upserts(spark, sf_dir):
+    """A stored table of hash buckets with a commit log: all orders, then changed and new ones with a further column, then a delete by key (K-01, K-02, K-07, K-08, K-10)."""
+    import uuid
+
+    from newsloom.operators.bucketed import Table
+    from newsloom.operators.dedup import shared_folder
+
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    kept = Table(spark, f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}").create(orders.schema, ["o_orderkey"], 32)
+    kept.upsert(orders)
+    new = orders.where("o_orderkey % 5 = 0").withColumns({"o_orderkey": F.col("o_orderkey") + 1000000000, "note": F.lit("new")})
+    changed = orders.where("o_orderkey % 3 = 0").withColumns({"o_totalprice": F.col("o_totalprice") + 1, "note": F.lit("changed")})
+    kept.upsert(changed.unionByName(new))
+    kept.delete(kept.read().where("o_custkey % 10 = 4"))
+    return kept.read()
