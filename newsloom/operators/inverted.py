@@ -68,14 +68,23 @@ def build(chunks: DataFrame, key: str, text: str, path: str, buckets: int = 64)
                     ["term", "block", "most", "least", "keys", "tfs", "lengths"],
                 )
 
-    schema = f"term string, block string, most int, least int, keys array<{kind}>, tfs array<int>, lengths array<int>"
+    schema = rows_of(kind)
     rows = tokens.mapInArrow(posted, schema).withColumn("bucket", bucket("term", buckets))
     rows.repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(97))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
-    stored = chunks.sparkSession.read.parquet(f"{path}/postings")
+    stored = chunks.sparkSession.read.schema(f"{schema}, bucket int").parquet(f"{path}/postings")
     terms = stored.groupBy("bucket", "term").agg(F.sum(F.size("keys").cast("long")).alias("documents"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("occurrences"))
     terms.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/terms")
-    total = chunks.sparkSession.read.parquet(f"{path}/terms").agg(F.coalesce(F.sum("occurrences"), F.lit(0)).alias("tokens"))
-    chunks.agg(F.count("*").alias("texts")).join(total).withColumn("buckets", F.lit(buckets)).coalesce(1).write.parquet(f"{path}/corpus")
+    total = chunks.sparkSession.read.schema(TERMS).parquet(f"{path}/terms").agg(F.coalesce(F.sum("occurrences"), F.lit(0)).alias("tokens"))
+    chunks.agg(F.count("*").alias("texts")).join(total).withColumns({"buckets": F.lit(buckets), "kind": F.lit(kind)}).coalesce(1).write.parquet(f"{path}/corpus")
+
+
+#: Columns of the terms' table.
+TERMS = "term string, documents long, occurrences long, bucket int"
+
+
+def rows_of(kind: str) -> str:
+    """Columns of postings, without the bucket, of keys of a type; an index without words has no file that could tell them."""
+    return f"term string, block string, most int, least int, keys array<{kind}>, tfs array<int>, lengths array<int>"
 
 
 def bucket(term: str, buckets: int):
@@ -104,8 +113,8 @@ def search(spark: SparkSession, path: str, questions: DataFrame, top: int, qid:
     own = F.col("bucket").isin([r["bucket"] for r in asked.select("bucket").distinct().collect()])
     if rows <= FEW:
         own &= F.col("term").isin([r["term"] for r in asked.select("term").distinct().collect()])
-    postings = spark.read.parquet(f"{path}/postings").where(own).join(wanted, ["bucket", "term"])
-    df = spark.read.parquet(f"{path}/terms").where(own).join(wanted, ["bucket", "term"])
+    postings = spark.read.schema(f"{rows_of(corpus['kind'])}, bucket int").parquet(f"{path}/postings").where(own).join(wanted, ["bucket", "term"])
+    df = spark.read.schema(TERMS).parquet(f"{path}/terms").where(own).join(wanted, ["bucket", "term"])
     idf = F.log(1 + (corpus["texts"] - F.col("documents") + 0.5) / (F.col("documents") + 0.5))
     weighed = settled(asked.join(df.select("term", idf.alias("idf")), "term").select("qid", "term", "idf"))
     most = F.col("most") * (K1 + 1) / (F.col("most") + K1 * (1 - B + B * F.col("least") / average))
