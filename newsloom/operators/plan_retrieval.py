@@ -161,7 +161,7 @@ def retrieve(candidates: DataFrame, plans: DataFrame, qid: str, as_of: Column, o
 
     candidates: qid, article_id, title, text, source, primary_topic, secondary_topics, entity_names, published_at, has_images, vector_score,
     bm25_score, hybrid_score; as many for a question as router.candidate_count says. order: how they came, total within a question.
-    denied, allowed, soft: what the topic's guard thinks of a candidate; they may read ``plan``. plans: a row for each question
+    denied, allowed, soft: what the topic's guard thinks of a candidate; they may read ``plan`` and ``_body``, the folded title and text. plans: a row for each question
     with any columns of PLAN; of a question that comes twice each plan is a question of its own only if its key differs, so keys must be unique.
 
     A question's candidates are scoped to its topic if that is sure and enough remain, then filtered by the first step of the

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.plans import assembly, evaluation, incremental, ingestion, lakehouse, quality, ranking, records, routing, search, texts  # noqa: F401  (they register queries)
+from newsloom.plans import answering, assembly, evaluation, incremental, ingestion, lakehouse, quality, ranking, records, routing, search, texts  # noqa: F401  (they register queries)
 from newsloom.plans.registry import ORACLES, QUERIES
 
 
