@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from newsloom.operators import dedup, tables
+from newsloom.operators import dedup, group_index, tables
 from newsloom.plans.registry import query
 from newsloom.sources.views import ART, articles, table
 
@@ -42,19 +44,35 @@ def gold_dedup(spark, sf_dir):
     return dedup.newest_by_key(a, F.col("content_hash"), F.desc("published_at"), F.col("article_id")).drop("published_at")
 
 
-@query(
-    f"""WITH RECURSIVE {ART}, k AS (SELECT article_id AS ord, CASE WHEN article_id % 3 = 0 THEN '' ELSE source || '/' || CAST(article_id % 101 AS VARCHAR) END AS url, content_hash FROM art),
+_GROUPS = f"""WITH RECURSIVE {ART}, k AS (SELECT article_id AS ord, CASE WHEN article_id % 3 = 0 THEN '' ELSE source || '/' || CAST(article_id % 101 AS VARCHAR) END AS url, content_hash FROM art),
  p AS (SELECT *, CASE WHEN url <> '' THEN min(ord) OVER (PARTITION BY url) END AS u, min(ord) OVER (PARTITION BY content_hash) AS h FROM k),
  q AS (SELECT ord, CASE WHEN u < ord THEN u WHEN h < ord THEN h END AS parent FROM p),
  r(ord, root) AS (SELECT ord, ord FROM q WHERE parent IS NULL UNION ALL SELECT q.ord, r.root FROM q JOIN r ON q.parent = r.ord)
  SELECT q.ord, q.parent IS NOT NULL AS is_duplicate, r.root AS group_id FROM q JOIN r USING (ord)"""
-)
+
+
+@query(_GROUPS)
 def dedup_groups(spark, sf_dir):
     """Greedy groups by url, else by content (W-02, Q-05)."""
-    a = articles(spark, sf_dir)
+    return dedup.greedy_groups(_keyed(spark, sf_dir), "ord", "url", "content_hash").select("ord", "is_duplicate", "group_id")
+
+
+def _keyed(spark, sf_dir):
+    """ord, url, content_hash of all articles."""
     url = F.when(F.col("article_id") % 3 == 0, "").otherwise(F.concat("source", F.lit("/"), (F.col("article_id") % 101).cast("string")))
-    keyed = a.select(F.col("article_id").alias("ord"), url.alias("url"), "content_hash")
-    return dedup.greedy_groups(keyed, "ord", "url", "content_hash").select("ord", "is_duplicate", "group_id")
+    return articles(spark, sf_dir).select(F.col("article_id").alias("ord"), url.alias("url"), "content_hash")
+
+
+@query(_GROUPS)
+def dedup_groups_batches(spark, sf_dir):
+    """The same groups from three batches, the last of them late, by a stored index of keys (W-02, K-06)."""
+    rows = _keyed(spark, sf_dir)
+    index = group_index.Groups(spark, f"{dedup.shared_folder(spark)}/groups-{uuid.uuid4().hex}", buckets=16)
+    half = rows.agg(F.expr("percentile_approx(ord, 0.5)")).first()[0] or 0
+    late = F.col("ord") % 10 == 3
+    for number, part in enumerate((rows.where(~late & (F.col("ord") < half)), rows.where(~late & (F.col("ord") >= half)), rows.where(late))):
+        index.absorb(part, "ord", "url", "content_hash", ("articles", number))
+    return index.of(rows, "ord", "url", "content_hash").select("ord", "is_duplicate", "group_id")
 
 
 @query(f"WITH {ART} SELECT source, min(article_id) AS article_id, title FROM art GROUP BY source, title")
