@@ -80,17 +80,21 @@ def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def best(owner: np.ndarray, other: np.ndarray, d: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each owner its ``keep`` nearest different others, in order."""
-    order = np.lexsort((other, d, owner))
-    owner, other, d = owner[order], other[order], d[order]
-    twice = np.zeros(len(owner), bool)
-    if len(owner):
-        by = np.lexsort((d, other, owner))
-        twice[by[1:]] = (owner[by[1:]] == owner[by[:-1]]) & (other[by[1:]] == other[by[:-1]])
-    owner, other, d = owner[~twice], other[~twice], d[~twice]
-    start = np.searchsorted(owner, owner, side="left")
-    top = np.arange(len(owner)) - start < keep
-    return owner[top], other[top], d[top]
+    """For each owner (a small number) its ``keep`` nearest different others, in order."""
+    if not len(owner):
+        return owner, other, d
+    names, code = (None, other) if other.max() < 1 << 31 else np.unique(other, return_inverse=True)
+    # the same pair comes up often: each once, with its least distance, by one sort of single numbers
+    pair = owner.astype(np.int64) << 31 | code
+    order = np.argsort(pair)
+    pair, d = pair[order], d[order]
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    pair, d = pair[first], np.minimum.reduceat(d, first)
+    owner, code = pair >> 31, pair & 0x7FFFFFFF
+    order = np.lexsort((d, owner))  # stable: of equal distances the smaller other is first
+    owner, code, d = owner[order], code[order], d[order]
+    top = np.arange(len(owner)) - np.searchsorted(owner, owner, side="left") < keep
+    return owner[top], code[top] if names is None else names[code[top]], d[top]
 
 
 def table_of(owner: np.ndarray, other: np.ndarray, d: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,10 +210,7 @@ def merged(state: DataFrame, proposed: DataFrame, k: int) -> DataFrame:
         all_d = np.concatenate((mine.far[known[:, 0], known[:, 1]], d))
         near, far = table_of(*best(all_owner, all_other, all_d, k), mine.n, k)
         behind, _ = table_of(*best(place[back], other[back], d[back], k), mine.n, k)
-        old = np.sort(mine.near, axis=1)
-        fresh = near >= 0
-        for row in range(mine.n):
-            fresh[row] &= ~np.isin(near[row], old[row])
+        fresh = (near >= 0) & ~(near[:, :, None] == mine.near[:, None, :]).any(axis=2)
         return state_row(mine.cell, mine.vectors, near, far, behind, fresh)
 
     return state.groupBy("cell").cogroup(proposed.groupBy("cell")).applyInArrow(merge, STATE)
@@ -504,13 +505,13 @@ def beam(net: DataFrame, vectors: np.ndarray, start: np.ndarray, keep: int, widt
     state = spark.createDataFrame(rows, BEAM)
     sample = min(PART, len(start))
     wanted = true_nearest(net, vectors[:sample], keep)
-    cells = net.groupBy("cell")
+    roads, places = net.select("cell", "first", "next").groupBy("cell"), net.select("cell", "n", "vectors").groupBy("cell")
     while True:
-        step = max(32, width // 6)
+        step = max(32, width // 2)  # a round passes over the whole net, so few rounds cost less than few expansions
         while True:
             asks = state.mapInArrow(asked(width, step), "cell int, blob binary").repartition(n, "cell")
-            reached = asks.groupBy("cell").cogroup(cells).applyInArrow(only(followed), "cell int, blob binary").repartition(n, "cell")
-            told = reached.groupBy("cell").cogroup(cells).applyInArrow(only(measured), "part int, blob binary")
+            reached = asks.groupBy("cell").cogroup(roads).applyInArrow(only(followed), "cell int, blob binary").repartition(n, "cell")
+            told = reached.groupBy("cell").cogroup(places).applyInArrow(only(measured), "part int, blob binary")
             state = cut(state.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(merged(width, step), BEAM))
             if not state.agg(F.sum("open").alias("open")).first()["open"]:
                 break
