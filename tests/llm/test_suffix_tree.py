@@ -3,6 +3,7 @@ import math
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from newsloom.llm import suffix_tree as s
@@ -88,3 +89,39 @@ def test_words_of_one_training_and_one_held_out_document(spark, monkeypatch):
     w = tokens(rows[-1][1])
     got = {r.doc_id: r.score for r in s.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), depth=3).collect()}
     assert got[held] == pytest.approx(sum(math.log10(p(tuple(w[:at]), x)) for at, x in enumerate(w)), rel=1e-7)
+
+
+def test_answers_are_removed_before_the_next_level_asks(docs, monkeypatch):
+    """The answers of one level and the requests of the next don't lie on disk together."""
+    cut, released, alive, asked = s.cut, s.released, [], []
+
+    def cutting(df):
+        if "blob" in df.columns:
+            asked.append(len(alive))
+        made = cut(df)
+        if "blob" in made.columns:
+            alive.append(made)
+        return made
+
+    def releasing(df):
+        alive[:] = [x for x in alive if x is not df]
+        released(df)
+
+    monkeypatch.setattr(s, "cut", cutting)
+    monkeypatch.setattr(s, "released", releasing)
+    s.score(docs)
+    assert len(asked) > 3 and not any(asked) and not alive
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_contexts_sent_as_names(depth):
+    """What is sent gives the same hashes, also where ranges of names follow each other, in less room for short contexts."""
+    rng = np.random.default_rng(5)
+    names = [rng.integers(0, 3000, 20000).astype(np.uint64) ** 2 for _ in range(depth)]
+    order = np.lexsort((*names[::-1], np.arange(20000) < 12000))
+    names = [x[order] for x in names]
+    hashed = s.chained(names)
+    sent = s.spelt(names if depth < 3 else [hashed], depth)
+    assert (s.hashes_of(sent, depth) == hashed).all()
+    assert depth == 3 or len(s.squeezed(*sent)) < 0.7 * len(s.squeezed(s.steps(np.sort(hashed))))
+    assert len(s.hashes_of([x[:0] for x in sent], depth)) == 0
