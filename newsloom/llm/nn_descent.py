@@ -133,20 +133,31 @@ def state_row(cell: int, vectors: np.ndarray, near: np.ndarray, far: np.ndarray,
     return pa.table(parts)
 
 
+def stacked(vec: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column as rows, in single precision."""
+    return vec.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(vec), -1)
+
+
+def lowest(d: np.ndarray, m: int) -> np.ndarray:
+    """Columns of the m least of each row, in order; m is less than the number of columns."""
+    top = np.argpartition(d, m, axis=1)[:, :m]
+    return np.take_along_axis(top, np.lexsort((top, np.take_along_axis(d, top, 1)), axis=1), 1)
+
+
 def begun(placed: DataFrame, k: int) -> DataFrame:
     """STATE in which each node knows its nearest in its own cell."""
 
     def made(table: pa.Table) -> pa.Table:
         table = table.sort_by("place")
         cell, n = table.column("cell")[0].as_py(), table.num_rows
-        x = np.array(table.column("vec").to_pylist(), np.float32)
+        x = stacked(table.column("vec"))
         near, far = np.full((n, k), -1, np.int64), np.full((n, k), np.inf, np.float32)
         for at in range(0, n, 512):
             d = squares(x[at : at + 512], x)
             d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
             m = min(k, n - 1)
             if m:
-                top = np.argsort(d, axis=1, kind="stable")[:, :m]
+                top = lowest(d, m)
                 near[at : at + len(d), :m] = top + (cell << CELL)
                 far[at : at + len(d), :m] = np.take_along_axis(d, top, 1)
         return state_row(cell, x, near, far, np.full((n, k), -1, np.int64), near >= 0)
@@ -168,7 +179,7 @@ def grown(placed: DataFrame, k: int) -> DataFrame:
 
     def made(table: pa.Table) -> pa.Table:
         address, n = table.column("address").to_numpy(), table.num_rows
-        x = np.array(table.column("vec").to_pylist(), np.float32)
+        x = stacked(table.column("vec"))
         m = min(k, n - 1)
         if m < 1:
             return rows_proposed([])
@@ -176,7 +187,7 @@ def grown(placed: DataFrame, k: int) -> DataFrame:
         for at in range(0, n, 512):
             d = squares(x[at : at + 512], x)
             d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
-            top = np.argsort(d, axis=1, kind="stable")[:, :m]
+            top = lowest(d, m)
             other.append(address[top].ravel())
             far.append(np.take_along_axis(d, top, 1).ravel())
         to = np.repeat(address, m)
@@ -331,9 +342,11 @@ def distance(a: str, b: str):
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda total, x: total + x))
 
 
-BEAM = "part int, open long, blob binary"
+BEAM = "part int, open long, blob binary, seen binary"
 #: Queries of one part of a beam.
 PART = 64
+#: Cells of one block of a net, at most.
+BLOCK = 64
 
 
 def blob(*columns: np.ndarray) -> bytes:
@@ -367,21 +380,45 @@ def turn(owner: np.ndarray, done: np.ndarray, width: int, step: int) -> np.ndarr
     return open_ & (before - before[np.searchsorted(owner, owner)] < step)
 
 
-def by_cell(owner: np.ndarray, address: np.ndarray) -> pa.Table:
-    """(cell, blob): queries and places, by the cell to which the addresses belong; each pair once."""
-    order = np.lexsort((owner, address))
-    owner, address = owner[order], address[order]
-    new = np.ones(len(owner), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (address[1:] != address[:-1])
-    owner, address = owner[new], address[new]
-    cell = address >> CELL
-    edge = np.flatnonzero(np.diff(cell, prepend=-1, append=-1)) if len(cell) else np.zeros(0, np.int64)
-    rows = [(int(cell[a]), blob(owner[a:z].astype(np.int32), (address[a:z] & 0xFFFFFFFF).astype(np.int32))) for a, z in zip(edge[:-1], edge[1:], strict=True)]
-    return pa.table({"cell": pa.array([c for c, _ in rows], pa.int32()), "blob": pa.array([x for _, x in rows], pa.binary())})
+def dealt(to: np.ndarray, name: str, *columns: np.ndarray) -> pa.Table:
+    """(name, blob): columns by the number to which they go."""
+    rows = sent(to, *columns)
+    size = [len(r[1]) // columns[0].itemsize for r in rows]
+    return pa.table({name: pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([np.int64(n).tobytes() + b"".join(r[1:]) for n, r in zip(size, rows, strict=True)], pa.binary())})
+
+
+def pairs(owner: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Queries and cells, each pair once, in order."""
+    pair = np.unique(owner.astype(np.int64) << 32 | cell)
+    return (pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32)
+
+
+BLOCKS = "block int, cell int, n int, vectors binary, first binary, roads binary"
+
+
+def blocked(net: DataFrame, blocks: int) -> DataFrame:
+    """BLOCKS: each cell's vectors and the cells to which the edges of each of its nodes lead (first: where each node's begin)."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, after = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("first", "next"))
+            starts, roads = [], []
+            for f, x in zip(first, after, strict=True):
+                count = np.diff(np.frombuffer(f, np.int32))
+                node, cell = pairs(np.repeat(np.arange(len(count)), count), np.frombuffer(x, np.int64) >> CELL)
+                starts.append(np.searchsorted(node, np.arange(len(count) + 1)).astype(np.int32).tobytes())
+                roads.append(cell.tobytes())
+            cell = batch.column(batch.schema.get_field_index("cell")).to_numpy()
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in ("cell", "n", "vectors")]
+            yield pa.RecordBatch.from_arrays([pa.array(cell % blocks, pa.int32()), *kept, pa.array(starts, pa.binary()), pa.array(roads, pa.binary())], names=["block", "cell", "n", "vectors", "first", "roads"])
+
+    return net.mapInArrow(made, BLOCKS)
 
 
-def true_nearest(net: DataFrame, wanted: np.ndarray, keep: int) -> np.ndarray:
-    """Addresses of the ``keep`` nearest nodes of each wanted vector, by comparing with all; a few vectors, one pass in blocks."""
+def true_nearest(net: DataFrame, wanted: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Addresses of the ``keep`` nearest nodes of each wanted vector and their squared distances, by comparing with all; a few vectors, one pass in blocks."""
+    centre = wanted.mean(axis=0)  # products about the centre lose less in single precision
+    about = wanted - centre
 
     def merged(d: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(d, axis=1, kind="stable")[:, :keep]
@@ -393,26 +430,29 @@ def true_nearest(net: DataFrame, wanted: np.ndarray, keep: int) -> np.ndarray:
             for row in batch.to_pylist():
                 x = np.frombuffer(row["vectors"], np.float32).reshape(row["n"], -1)
                 here = np.tile(np.arange(row["n"]) + (row["cell"] << CELL), (len(wanted), 1))
-                d, at = merged(np.concatenate((d, squares(wanted, x)), axis=1), np.concatenate((at, here), axis=1))
+                d, at = merged(np.concatenate((d, squares(about, x - centre)), axis=1), np.concatenate((at, here), axis=1))
         yield pa.RecordBatch.from_pydict({"d": pa.array([d.tobytes()], pa.binary()), "at": pa.array([at.tobytes()], pa.binary())})
 
     d, at = np.zeros((len(wanted), 0), np.float32), np.zeros((len(wanted), 0), np.int64)
-    for r in net.mapInArrow(made, "d binary, at binary").toLocalIterator():  # at most ``keep`` of each wanted vector from a partition
+    for r in net.mapInArrow(made, "d binary, at binary").collect():  # ``keep`` of each wanted vector from a partition: 12 bytes each, some 8 kB; an iterator would pass over the partitions one by one
         d, at = merged(np.concatenate((d, np.frombuffer(r["d"], np.float32).reshape(len(wanted), -1)), axis=1), np.concatenate((at, np.frombuffer(r["at"], np.int64).reshape(len(wanted), -1)), axis=1))
-    return at
+    return at, d
 
 
-def search(net: DataFrame, queries: DataFrame, keep: int, width: int = 200, goal: float = 0.96, at_once: int = 20_000) -> DataFrame:
+def search(net: DataFrame, queries: DataFrame, keep: int, width: int = 64, goal: float = 0.96, at_once: int = 20_000) -> DataFrame:
     """(query_id, address) of the ``keep`` nearest nodes that greedy search reaches, and all about as near as the last of them.
 
-    queries: query_id, qvec, address of the start. Each round expands, for every query, the nearest nodes found but not
-    expanded, if among its ``width`` nearest, until no query has such a node. Then the first queries' lists are compared with
-    their true neighbours; while fewer than ``goal`` of these were found, the width is doubled and the search goes on.
+    queries: query_id, qvec, address of the start. A query begins in its own cell. Each round expands, for every query, the
+    nearest nodes found but not expanded, if among its ``width`` nearest: the cells to which their edges lead are compared
+    with it as wholes, each once, until no query has such a node. Then the first queries' lists are compared with
+    their true neighbours; while fewer than ``goal`` of these were found, the width is doubled and the search begins again.
     Queries are searched ``at_once`` together (this bounds what is broadcast: their vectors), in an order given by a hash.
     """
     spark = net.sparkSession
     n = partitions(spark)
-    net = net.repartition(n, "cell").persist(StorageLevel.MEMORY_AND_DISK)  # every round reads it where it lies
+    cells = net.agg(F.max("cell").alias("last")).first()["last"]
+    blocks = max(n, -(-((cells or 0) + 1) // BLOCK))
+    net = blocked(net, blocks).repartition(n, "block").sortWithinPartitions("block").persist(StorageLevel.MEMORY_AND_DISK)  # every round reads it where it lies
     total = queries.count()
     batches = max(1, -(-total // at_once))
     found = None
@@ -420,7 +460,7 @@ def search(net: DataFrame, queries: DataFrame, keep: int, width: int = 200, goal
         mine = sorted(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == number).collect(), key=lambda r: (r["query_id"] * 0x9E3779B97F4A7C15 % 2**64, r["query_id"]))
         if not mine:
             continue
-        part, wide = beam(net, np.array([r["qvec"] for r in mine], np.float32), np.array([r["address"] for r in mine], np.int64), keep, width, goal, n)
+        part, wide = beam(net, np.array([r["qvec"] for r in mine], np.float32), np.array([r["address"] for r in mine], np.int64), keep, width, goal, blocks)
         width = wide
         ids = spark.sparkContext.broadcast(np.array([r["query_id"] for r in mine], np.int64))  # at_once numbers at most
 
@@ -432,7 +472,7 @@ def search(net: DataFrame, queries: DataFrame, keep: int, width: int = 200, goal
                     at = np.flatnonzero(rank == keep - 1)
                     limit = dict(zip(owner[at].tolist(), d[at].tolist(), strict=True))
                     last = np.array([limit.get(o, np.inf) for o in owner.tolist()])
-                    near = d <= last * (1 + 1e-4) + 1e-6  # ties of exact distances may differ in single precision
+                    near = d <= last + tolerance(last)
                     yield pa.RecordBatch.from_arrays([pa.array(ids.value[owner[near]]), pa.array(address[near])], ["query_id", "address"])
 
         rows = cut(part.mapInArrow(emitted, "query_id long, address long"))
@@ -441,11 +481,17 @@ def search(net: DataFrame, queries: DataFrame, keep: int, width: int = 200, goal
     return found if found is not None else spark.createDataFrame([], "query_id long, address long")
 
 
-def beam(net: DataFrame, vectors: np.ndarray, start: np.ndarray, keep: int, width: int, goal: float, n: int) -> tuple[DataFrame, int]:
-    """BEAM of the queries with these vectors, begun at these addresses, and the width at which the goal is met."""
+def beam(net: DataFrame, vectors: np.ndarray, start: np.ndarray, keep: int, width: int, goal: float, blocks: int) -> tuple[DataFrame, int]:
+    """BEAM of the queries with these vectors, begun at these addresses, and the width at which the goal is met. net: BLOCKS."""
     spark = net.sparkSession
     shared = spark.sparkContext.broadcast(vectors)
-    spare = 4  # nodes beyond the width are kept for the next width
+
+    def begun(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The cells in which the queries lie."""
+        for batch in rows:
+            for data in batch.column(0).to_pylist():
+                owner, address = unblob(data, np.int32, np.int64)
+                yield from dealt(owner // PART, "part", owner, (address >> CELL).astype(np.int32)).to_batches()
 
     def asked(width: int, step: int):
         def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,83 +499,136 @@ def beam(net: DataFrame, vectors: np.ndarray, start: np.ndarray, keep: int, widt
                 for data in batch.column(2).to_pylist():
                     owner, address, _, done = unblob(data, *FOUND)
                     now = turn(owner, done, width, step)
-                    yield from by_cell(owner[now], address[now]).to_batches()
+                    yield from dealt((address[now] >> CELL) % blocks, "block", owner[now], address[now]).to_batches()
 
         return made
 
     def followed(asks: pa.Table, own: pa.Table) -> pa.Table:
-        """Queries at places of a cell go on to the neighbours of these."""
-        owner, place = together(asks.column("blob").to_pylist(), np.int32, np.int32)
-        first, after = np.frombuffer(own.column("first")[0].as_py(), np.int32).astype(np.int64), np.frombuffer(own.column("next")[0].as_py(), np.int64)
-        count = first[place + 1] - first[place]
-        at = np.repeat(first[place] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        return by_cell(np.repeat(owner, count), after[at])
-
-    def measured(asks: pa.Table, own: pa.Table) -> pa.Table:
-        """(part, blob): distances of queries and the nodes of a cell that they reached."""
-        owner, place = together(asks.column("blob").to_pylist(), np.int32, np.int32)
-        pair = np.unique(owner.astype(np.int64) << 32 | place)
-        owner, place = (pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int64)
-        x = np.frombuffer(own.column("vectors")[0].as_py(), np.float32).reshape(own.column("n")[0].as_py(), -1)
-        d = np.concatenate([np.zeros(0, np.float32), *(((x[place[at : at + 65536]] - shared.value[owner[at : at + 65536]]) ** 2).sum(axis=1) for at in range(0, len(owner), 65536))])
-        address, group = place + (own.column("cell")[0].as_py() << CELL), owner // PART
-        edge = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
-        rows = [(int(group[a]), blob(owner[a:z], address[a:z], d[a:z])) for a, z in zip(edge[:-1], edge[1:], strict=True)]
-        return pa.table({"part": pa.array([g for g, _ in rows], pa.int32()), "blob": pa.array([x for _, x in rows], pa.binary())})
-
-    def merged(width: int, step: int):
+        """(part, blob): queries at nodes of a block, and the cells to which these nodes' edges lead."""
+        owner, address = together(asks.column("blob").to_pylist(), np.int32, np.int64)
+        order = np.argsort(address >> CELL, kind="stable")
+        owner, address = owner[order], address[order]
+        to = [[np.zeros(0, np.int32)], [np.zeros(0, np.int32)]]
+        for cell, first, roads in zip(*(own.column(c).to_pylist() for c in ("cell", "first", "roads")), strict=True):
+            a, z = np.searchsorted(address, (cell << CELL, (cell + 1) << CELL))
+            place, first, roads = address[a:z] & 0xFFFFFFFF, np.frombuffer(first, np.int32).astype(np.int64), np.frombuffer(roads, np.int32)
+            count = first[place + 1] - first[place]
+            to[0].append(np.repeat(owner[a:z], count))
+            to[1].append(roads[np.repeat(first[place] - (np.cumsum(count) - count), count) + np.arange(count.sum())])
+        owner, cell = pairs(*map(np.concatenate, to))
+        return dealt(owner // PART, "part", owner, cell)
+
+    def visits(most: int):
+        def made(state: pa.Table, roads: pa.Table) -> pa.Table:
+            """(block, blob): queries, the cells that are new to them, and the distance within which nodes there are of use."""
+            if not state.num_rows or not roads.num_rows:
+                return dealt(np.zeros(0, np.int32), "block", np.zeros(0, np.int32))
+            owner, cell = pairs(*together(roads.column("blob").to_pylist(), np.int32, np.int32))
+            seen = unblob(state.column("seen")[0].as_py(), np.int32, np.int32)
+            new = ~np.isin(owner.astype(np.int64) << 32 | cell, seen[0].astype(np.int64) << 32 | seen[1])
+            owner, cell = owner[new], cell[new]
+            low = state.column("part")[0].as_py() * PART
+            bound = np.full(PART, np.inf, np.float32)
+            whose, _, d, _ = unblob(state.column("blob")[0].as_py(), *FOUND)
+            at = np.arange(len(whose)) - np.searchsorted(whose, whose) == most - 1
+            bound[whose[at] - low] = d[at]
+            return dealt(cell % blocks, "block", owner, cell, bound[owner - low])
+
+        return made
+
+    def measured(most: int):
+        def made(asks: pa.Table, own: pa.Table) -> pa.Table:
+            """(part, blob, seen): distances of queries to nodes of a block's cells that are of use, and which cells these were."""
+            owner, cell, bound = together(asks.column("blob").to_pylist(), np.int32, np.int32, np.float32)
+            order = np.argsort(cell, kind="stable")
+            owner, cell, bound = owner[order], cell[order], bound[order]
+            found = [[np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]]
+            for name, n, data in zip(*(own.column(c).to_pylist() for c in ("cell", "n", "vectors")), strict=True):
+                a, z = np.searchsorted(cell, (name, name + 1))
+                x = np.frombuffer(data, np.float32).reshape(n, -1)
+                centre = x.mean(axis=0)  # products about the centre lose less in single precision
+                y = x - centre
+                for at in range(a, z, 512):
+                    who = owner[at : min(z, at + 512)]
+                    q = shared.value[who] - centre
+                    d, within = squares(q, y), bound[at : at + len(who)].copy()
+                    open_ = np.isinf(within) & (n > most)
+                    if open_.any():
+                        within[open_] = np.partition(d[open_], most - 1, axis=1)[:, most - 1]
+                    error = (x.shape[1] + 8) * 6e-8 * ((q * q).sum(axis=1) + (y * y).sum(axis=1).max())
+                    i, j = np.nonzero(d <= (within + 2 * error + tolerance(within))[:, None])
+                    found[0].append(who[i])
+                    found[1].append(j + (name << CELL))
+                    found[2].append(((x[j] - shared.value[who[i]]) ** 2).sum(axis=1))
+            who, address, d = map(np.concatenate, found)
+            told, known, none = dealt(who // PART, "part", who, address, d), dealt(owner // PART, "part", owner, cell), blob(np.zeros(0, np.int32))
+            told = told.append_column("seen", pa.array([none] * told.num_rows, pa.binary()))
+            return pa.concat_tables([told, pa.table({"part": known.column("part"), "blob": pa.array([none] * known.num_rows, pa.binary()), "seen": known.column("blob")})])
+
+        return made
+
+    def merged(width: int, step: int, most: int):
         def made(state: pa.Table, told: pa.Table) -> pa.Table:
             owner, address, d, done = unblob(state.column("blob")[0].as_py(), *FOUND)
             done = done | turn(owner, done, width, step)
             new_owner, new_address, new_d = together(told.column("blob").to_pylist(), np.int32, np.int64, np.float32)
             owner, address, d = np.concatenate((owner, new_owner)), np.concatenate((address, new_address)), np.concatenate((d, new_d))
             done = np.concatenate((done, np.zeros(len(new_owner), bool)))
-            order = np.lexsort((~done, address, owner))  # of one node known twice the expanded entry stays
-            owner, address, d, done = owner[order], address[order], d[order], done[order]
-            first = np.ones(len(owner), bool)
-            first[1:] = (owner[1:] != owner[:-1]) | (address[1:] != address[:-1])
-            owner, address, d, done = owner[first], address[first], d[first], done[first]
             order = np.lexsort((address, d, owner))
             owner, address, d, done = owner[order], address[order], d[order], done[order]
             rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-            stay = rank < spare * width
+            last = np.full(PART, np.inf, np.float32)
+            low = state.column("part")[0].as_py() * PART
+            at = rank == keep - 1
+            last[owner[at] - low] = d[at]
+            last = last[owner - low]
+            stay = (rank < most) | (d <= last + tolerance(last))  # all ties of the last stay
             left = int((~done & (rank < width)).sum())
-            return pa.table({"part": state.column("part"), "open": pa.array([left], pa.int64()), "blob": pa.array([blob(owner[stay], address[stay], d[stay], done[stay])], pa.binary())})
+            seen = together([*state.column("seen").to_pylist(), *told.column("seen").to_pylist()], np.int32, np.int32)
+            return pa.table({"part": state.column("part"), "open": pa.array([left], pa.int64()), "blob": pa.array([blob(owner[stay], address[stay], d[stay], done[stay])], pa.binary()), "seen": pa.array([blob(*seen)], pa.binary())})
 
         return made
 
-    rows = []
-    for at in range(0, len(start), PART):
-        own = start[at : at + PART]
-        rows.append((at // PART, len(own), bytearray(blob(np.arange(at, at + len(own), dtype=np.int32), own, np.zeros(len(own), np.float32), np.zeros(len(own), bool)))))
-    state = spark.createDataFrame(rows, BEAM)
+    nothing = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, bool))
+    parts = range(-(-len(start) // PART))
+    begin = cut(spark.createDataFrame([(p, 1, bytearray(blob(*nothing)), bytearray(blob(*nothing[:1], nothing[0]))) for p in parts], BEAM))
+    own = spark.createDataFrame([(bytearray(blob(np.arange(p * PART, min(len(start), (p + 1) * PART), dtype=np.int32), start[p * PART : (p + 1) * PART])),) for p in parts], "blob binary")
     sample = min(PART, len(start))
-    wanted = true_nearest(net, vectors[:sample], keep)
-    roads, places = net.select("cell", "first", "next").groupBy("cell"), net.select("cell", "n", "vectors").groupBy("cell")
+    wanted, far = true_nearest(net, vectors[:sample], keep)
+    nodes, places = net.select("block", "cell", "first", "roads").groupBy("block"), net.select("block", "cell", "n", "vectors").groupBy("block")
     while True:
-        step = max(32, width // 2)  # a round passes over the whole net, so few rounds cost less than few expansions
+        most, state, step = max(keep, width), begin, 0
+        roads = own.mapInArrow(begun, "part int, blob binary")
         while True:
-            asks = state.mapInArrow(asked(width, step), "cell int, blob binary").repartition(n, "cell")
-            reached = asks.groupBy("cell").cogroup(roads).applyInArrow(only(followed), "cell int, blob binary").repartition(n, "cell")
-            told = reached.groupBy("cell").cogroup(places).applyInArrow(only(measured), "part int, blob binary")
-            state = cut(state.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(merged(width, step), BEAM))
+            new = state.groupBy("part").cogroup(roads.groupBy("part")).applyInArrow(visits(most), "block int, blob binary")
+            told = new.groupBy("block").cogroup(places).applyInArrow(only(measured(most), "part", "seen"), "part int, blob binary, seen binary")
+            state = cut(state.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(merged(width, step, most), BEAM))
             if not state.agg(F.sum("open").alias("open")).first()["open"]:
                 break
-        owner, address, _, _ = unblob(bytes(state.where("part = 0").first()["blob"]), *FOUND)
-        rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-        hits = sum(len(np.intersect1d(address[(owner == i) & (rank < keep)], wanted[i])) for i in range(sample))
+            step = min(width, max(1, 2 * step))  # few at first, while the distance that a node must keep within is still wide
+            asks = state.mapInArrow(asked(width, step), "block int, blob binary")
+            roads = asks.groupBy("block").cogroup(nodes).applyInArrow(only(followed, "part"), "part int, blob binary")
+        owner, address, d, _ = unblob(bytes(state.where("part = 0").first()["blob"]), *FOUND)
+        first = (np.arange(len(owner)) - np.searchsorted(owner, owner) < keep) & (owner < sample)
+        # another node as near as the last of the true ones does as well
+        hits = sum((d[(owner == i) & first] <= far[i].max() + tolerance(far[i].max())).sum() for i in range(sample))
         # a list's own node is in both; it counts on neither side
         if hits - sample >= goal * (wanted.size - sample) or width >= 1 << 20:
             return state, width
         width *= 2
 
 
-def only(f):
+def tolerance(d: np.ndarray) -> np.ndarray:
+    """By how much squared distances in single precision may differ that are equal in exact ones."""
+    return d * np.float32(1e-4) + np.float32(1e-6)
+
+
+def only(f, key: str, *more: str):
     """f where both sides have rows; else nothing."""
 
     def made(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({"cell": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())}) if f.__name__ == "followed" else pa.table({"part": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
+            return pa.table({key: pa.array([], pa.int32())} | {name: pa.array([], pa.binary()) for name in ("blob", *more)})
         return f(left, right)
 
     return made
